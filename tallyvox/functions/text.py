@@ -1,41 +1,52 @@
 """Text columns: trimming, cleaning, case and tokens.
 
-Java's `\\s` and `\\w` are ASCII only, so the classes below spell out Unicode ones.
-Patterns that end in a run use a look-behind so that a long run is scanned once.
+Java's `\\s` and `\\w` are ASCII only, so patterns either set (?U) or spell out Unicode classes.
+Outer runs are trimmed by character list, not by pattern: a pattern would scan the whole text.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as str.strip() sees it, and word characters.
-SPACE = (
-    r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The characters that str.strip() removes.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
+    "           "
+    "    　"
 )
+# Character classes (white space needs the flag U), and ASCII punctuation.
+SPACE = r"\s\x1c-\x1f"
 WORD = r"\p{L}\p{N}_"
 CASED = r"\p{Lu}\p{Ll}\p{Lt}"
-EDGE = r"\p{P}\p{S}"
+PUNCTUATION = string.punctuation
 
 # What cleaning removes.
-URL_PATTERN = rf"http[^{SPACE}]+|www[^{SPACE}]+"
+URL_PATTERN = rf"(?U)http[^{SPACE}]+|www[^{SPACE}]+"
 TAG_PATTERN = rf"[@#][{WORD}]+"
 
 
 def strip(text: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and white space only."""
-    return ~F.coalesce(text.rlike(rf"[^{SPACE}]"), F.lit(False))
+    return F.coalesce(strip(text), F.lit("")) == ""
 
 
 def clean_text(text: Column) -> Column:
-    """Drop links, then mentions and hash tags, then outer white space."""
-    return strip(F.regexp_replace(F.regexp_replace(text, URL_PATTERN, ""), TAG_PATTERN, ""))
+    """Drop links, then mentions and hash tags, then outer white space.
+
+    The patterns run only on texts that contain their fixed parts.
+    """
+    linked = text.contains("http") | text.contains("www")
+    no_links = F.when(linked, F.regexp_replace(text, URL_PATTERN, "")).otherwise(text)
+    tagged = text.contains("@") | text.contains("#")
+    return strip(F.when(tagged, F.regexp_replace(no_links, TAG_PATTERN, "")).otherwise(no_links))
 
 
 def title_case(text: Column) -> Column:
@@ -54,9 +65,9 @@ def body_or_title(body: Column, title: Column) -> Column:
 
 def opinion_tokens(cleaned: Column) -> Column:
     """White-space tokens in their own case without edge punctuation, two letters or more."""
-    padded = F.concat(F.lit(" "), cleaned, F.lit(" "))
-    parts = F.split(padded, rf"(?:(?<![{EDGE}])[{EDGE}]++)?[{SPACE}]++[{EDGE}]*+")
-    return F.filter(parts, lambda t: F.length(t) > 1)
+    parts = F.split(cleaned, rf"(?U)[{SPACE}]+")
+    bare = F.transform(parts, lambda t: F.btrim(t, F.lit(PUNCTUATION)))
+    return F.filter(bare, lambda t: F.length(t) > 1)
 
 
 def word_tokens(text: Column) -> Column:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyvox.functions.literals import words
 from tallyvox.functions.text import letter_tokens
 from tallyvox.operators.lookup import fits_broadcast
 from tallyvox.operators.ranking import top_k_per_group
@@ -78,7 +79,9 @@ class LanguageModel:
         slots: dict[str, list[int]] = {}
         for row in rows:
             slots.setdefault(row.gram, [0] * len(languages))[languages.index(row.lang)] = row.log_p
-        return cls(languages, {gram: tuple(w) for gram, w in sorted(slots.items())})
+        # Likely words first: the lookup below scans from the front.
+        order = sorted(slots, key=lambda gram: (-max(slots[gram]), gram))
+        return cls(languages, {gram: tuple(slots[gram]) for gram in order})
 
 
 def _best(scores: Sequence[Column], languages: Sequence[str]) -> Column:
@@ -99,20 +102,22 @@ def with_language(
     text: str = "text",
     into: str = "message_language",
 ) -> DataFrame:
-    """Add the language inside the row: no join, no shuffle, the text stays where it is."""
-    grams = list(model.weights)
-    known = posts.withColumn(
-        "_known",
-        F.filter(F.array_distinct(letter_tokens(F.col(text))), lambda g: g.isin(grams)),
+    """Add the language inside the row: no join, no shuffle, the text stays where it is.
+
+    A hash-set test keeps the profile words of a text; each is then looked up once.
+    """
+    grams = words(model.weights)
+    known = (
+        posts.withColumn("_grams", F.array_distinct(letter_tokens(F.col(text))))
+        .withColumn("_known", F.expr(f"filter(_grams, g -> g IN ({grams}))"))
+        .withColumn("_at", F.expr(f"transform(_known, g -> array_position(array({grams}), g))"))
     )
-
-    def score(slot: int) -> Column:
-        pairs = [F.lit(x) for gram in grams for x in (gram, model.weights[gram][slot])]
-        table = F.create_map(*pairs)
-        zero = F.lit(0).cast("bigint")
-        return F.aggregate("_known", zero, lambda acc, g: acc + table[g].cast("bigint"))
-
-    scores = [score(slot) for slot in range(len(model.languages))]
+    scores = []
+    for slot in range(len(model.languages)):
+        weights = ", ".join(f"{w[slot]}L" for w in model.weights.values())
+        scores.append(
+            F.expr(f"aggregate(_at, 0L, (acc, p) -> acc + element_at(array({weights}), int(p)))")
+        )
     best = F.when(F.size("_known") > 0, _best(scores, model.languages))
     return known.withColumn(into, F.coalesce(best, F.lit(DEFAULT_LANGUAGE))).select(
         *posts.columns if into in posts.columns else [*posts.columns, into]

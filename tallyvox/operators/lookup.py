@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyvox.functions.literals import literal
+
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -32,11 +34,9 @@ def broadcast_if_small(frame: DataFrame, **bounds: int) -> DataFrame:
 
 
 def inline_frame(spark: SparkSession, rows: Iterable[Sequence], columns: Sequence[str]) -> DataFrame:
-    """A small table from literals; no Python workers and a size the optimizer can see."""
-    records = [
-        F.struct(*[F.lit(value).alias(name) for name, value in zip(columns, row)]) for row in rows
-    ]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*records)))
+    """A small table from constants: a local relation, whose size the optimizer knows."""
+    body = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
 
 
 @dataclass(frozen=True)

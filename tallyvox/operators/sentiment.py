@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyvox import fixed_values as fixed
+from tallyvox.functions.literals import rating, words
 from tallyvox.functions.scores import clip_score
 from tallyvox.functions.text import clean_text, opinion_tokens
 from tallyvox.operators.lookup import Dim
@@ -43,18 +44,6 @@ def lexicon_from(frame: DataFrame) -> dict[str, float]:
     return {row.token: float(row.valence) for row in rows}
 
 
-def _rated(token: Column, ratings: Mapping[str, float]) -> Column:
-    """Rating of a token, 0 if it has none; one hash-set test per distinct rating."""
-    groups: dict[float, list[str]] = {}
-    for word, rating in ratings.items():
-        groups.setdefault(float(rating), []).append(word)
-    chain = None
-    for rating, words in groups.items():
-        hit = token.isin(words)
-        chain = F.when(hit, rating) if chain is None else chain.when(hit, rating)
-    return F.lit(0.0) if chain is None else chain.otherwise(0.0)
-
-
 def compound(total: Column) -> Column:
     """Squash a sum of ratings into [-1, 1], four digits."""
     squashed = total / F.sqrt(total * total + fixed.NORMALIZATION_ALPHA)
@@ -70,64 +59,50 @@ def with_sentiment(
 ) -> DataFrame:
     """Add the compound score; texts that are blank, null or without a rated word get 0.0."""
     model = model or SentimentModel()
+    hits = f"""array_compact(transform(_low, (t, i) ->
+        CASE WHEN t IN ({words(model.lexicon)}) THEN i END))"""
     tokens = (
         posts.withColumn("_clean", clean_text(F.col(text)))
         .withColumn("_tok", opinion_tokens(F.col("_clean")))
         .withColumn("_low", F.transform("_tok", lambda t: F.lower(t)))
-        .withColumn(
-            "_hits",
-            F.array_compact(
-                F.transform("_low", lambda t, i: F.when(t.isin(list(model.lexicon)), i))
-            ),
-        )
+        .withColumn("_hits", F.expr(hits))
     )
     any_hit = F.size("_hits") > 0
     if rules:
-        is_caps = lambda t: (F.upper(t) == t) & (F.lower(t) != t)
-        caps = F.size(F.filter("_tok", is_caps))
-        scored = tokens.withColumns(
+        # Facts about the whole text, found only where there is something to rate.
+        caps = F.expr("size(filter(_tok, t -> upper(t) = t AND lower(t) != t))")
+        tokens = tokens.withColumns(
             {
-                "_mixed": F.when(any_hit, (caps > 0) & (caps < F.size("_tok"))),
+                "_caps": F.when(any_hit, caps),
                 "_pivot": F.when(any_hit, F.array_position("_low", F.lit(model.pivot)) - 1),
             }
-        )
-        rated = F.aggregate("_hits", F.lit(0.0), lambda acc, i: acc + _ruled(i, model))
-        total = _with_marks(F.col("_sum"), F.col("_clean"))
-    else:
-        scored = tokens
-        rated = F.aggregate(
-            "_hits", F.lit(0.0), lambda acc, i: acc + _rated(F.get("_low", i), model.lexicon)
-        )
-        total = F.col("_sum")
+        ).withColumn("_mixed", F.col("_caps").between(1, F.size("_tok") - 1))
+    one = _ruled(model) if rules else rating("get(_low, i)", model.lexicon)
+    total = F.expr(f"aggregate(_hits, 0D, (acc, i) -> acc + {one})")
+    summed = tokens.withColumn("_sum", F.when(any_hit, total))
+    marked = _with_marks(F.col("_sum"), F.col("_clean")) if rules else F.col("_sum")
     return (
-        scored.withColumn("_sum", F.when(any_hit, rated))
-        .withColumn("_total", total)
+        summed.withColumn("_total", marked)
         .withColumn(into, F.coalesce(compound(F.col("_total")), F.lit(0.0)))
         .select(*posts.columns if into in posts.columns else [*posts.columns, into])
     )
 
 
-def _ruled(i: Column, model: SentimentModel) -> Column:
-    """Rating of the hit at token i after capitals, boosters, negation and the pivot word."""
-    low, tok = F.col("_low"), F.col("_tok")
-    rating = _rated(F.get(low, i), model.lexicon)
-    shout = F.col("_mixed") & (F.upper(F.get(tok, i)) == F.get(tok, i))
-    push = F.when(shout, fixed.CAPS_BOOST).otherwise(0.0)
-    negated = F.lit(False)
+def _ruled(model: SentimentModel) -> str:
+    """SQL for the rating of the hit at token `i` after capitals, boosters, negation and the
+    pivot word."""
+    rated = rating("get(_low, i)", model.lexicon)
+    pushes = [f"CASE WHEN _mixed AND upper(get(_tok, i)) = get(_tok, i) THEN {fixed.CAPS_BOOST}D ELSE 0D END"]
+    negated = []
     for distance, decay in enumerate(fixed.BOOST_DECAY, start=1):
-        before = F.get(low, i - distance)
-        push = push + _rated(before, model.boosters) * decay
-        negated = negated | F.coalesce(before.isin(list(model.negators)), F.lit(False))
-    rating = rating + F.signum(rating) * push
-    rating = rating * F.when(negated, fixed.NEGATION_FACTOR).otherwise(1.0)
-    pivot = F.col("_pivot")
-    weight = (
-        F.when(pivot < 0, 1.0)
-        .when(i < pivot, fixed.BEFORE_PIVOT)
-        .when(i > pivot, fixed.AFTER_PIVOT)
-        .otherwise(1.0)
-    )
-    return rating * weight
+        before = f"get(_low, i - {distance})"
+        pushes.append(f"{rating(before, model.boosters)} * {decay}D")
+        if model.negators:
+            negated.append(f"coalesce({before} IN ({words(model.negators)}), false)")
+    return f"""({rated} + sign({rated}) * ({' + '.join(pushes)}))
+        * CASE WHEN {' OR '.join(negated) or 'false'} THEN {fixed.NEGATION_FACTOR}D ELSE 1D END
+        * CASE WHEN _pivot < 0 OR i = _pivot THEN 1D
+               WHEN i < _pivot THEN {fixed.BEFORE_PIVOT}D ELSE {fixed.AFTER_PIVOT}D END"""
 
 
 def _with_marks(total: Column, cleaned: Column) -> Column:

@@ -58,9 +58,10 @@ def stream_enrich(spark, sf_dir):
     """The documents table read as a stream, enriched and appended with exactly-once files."""
     pin_utc(spark)
     out, checkpoint = fresh_dir(spark, "enriched"), fresh_dir(spark, "checkpoint")
-    path = f"{sf_dir}/documents.parquet"
-    schema = spark.read.parquet(path).schema
-    posts = spark.sql(POSTS_DOCUMENTS, documents=feeds.posts_feed(spark, path, schema))
+    schema = table(spark, sf_dir, "documents").schema
+    # As a pattern, the path may be one file or a folder of files.
+    feed = feeds.posts_feed(spark, f"{sf_dir}/documents.parque[t]", schema)
+    posts = spark.sql(POSTS_DOCUMENTS, documents=feed)
     enriched = enrich(
         posts,
         models.language_model(spark, sf_dir),
