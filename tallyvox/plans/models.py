@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallyvox.operators.language import LanguageModel, text_fold, train_profile
 from tallyvox.operators.sentiment import SentimentModel
 from tallyvox.plans.adapters import table
+from tallyvox.session import fresh_dir
+from tallyvox.sources.posts import spread_small
 
 LANGUAGES = ("de", "en", "es", "fr")
 PROFILE_SIZE = 100
@@ -56,7 +58,7 @@ MARK = datetime(2024, 1, 15, 12, tzinfo=timezone.utc)
 
 
 def train_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("text", "lang")
+    documents = spread_small(table(spark, sf_dir, "documents").select("text", "lang"), "text")
     return documents.where(text_fold(F.col("text")) < TRAIN_FOLDS)
 
 
@@ -64,5 +66,12 @@ def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_profile(train_documents(spark, sf_dir), LANGUAGES, PROFILE_SIZE)
 
 
+def saved_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile trained once and written, so that its users do not train it again."""
+    path = fresh_dir(spark, "profile")
+    language_profile(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
     return LanguageModel.from_profile(language_profile(spark, sf_dir))

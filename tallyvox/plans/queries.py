@@ -44,6 +44,11 @@ def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return post_table.load_posts(posts_events(spark, sf_dir))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as posts, for queries whose cost is the work on the text."""
+    return post_table.spread_small(posts_documents(spark, sf_dir), "post_id")
+
+
 # --- sources and sinks ---------------------------------------------------------------------
 
 
@@ -300,7 +305,7 @@ def text_fallback(spark, sf_dir):
 @query
 def enrich_posts(spark, sf_dir):
     enriched = enrich(
-        posts_documents(spark, sf_dir),
+        texts(spark, sf_dir),
         models.language_model(spark, sf_dir),
         models.LOAD_TIME,
         countries=models.KEYWORDS,
@@ -320,7 +325,7 @@ def enrich_defaults(spark, sf_dir):
         F.when(number % 10 == 0, "").when(number % 10 == 1, F.lit(None))
         .when(number % 10 == 2, " \t\n ").otherwise(F.col("text"))
     )
-    posts = posts_documents(spark, sf_dir).withColumns(
+    posts = texts(spark, sf_dir).withColumns(
         {"text": blanked, "author": F.lit("someone")}
     )
     enriched = enrich(
@@ -336,7 +341,7 @@ def enrich_defaults(spark, sf_dir):
 @query
 def enrich_struct(spark, sf_dir):
     analysed = analysis_struct(
-        posts_documents(spark, sf_dir), models.language_model(spark, sf_dir)
+        texts(spark, sf_dir), models.language_model(spark, sf_dir)
     )
     return analysed.select(
         "post_id",
@@ -387,7 +392,7 @@ def detect_all_entities(spark, sf_dir):
 @query
 def gazetteer_ngram_join(spark, sf_dir):
     gazetteer = Dim.inline(spark, models.PHRASES, ["alias", "value"])
-    return entities.gazetteer_mentions(posts_documents(spark, sf_dir), gazetteer)
+    return entities.gazetteer_mentions(texts(spark, sf_dir), gazetteer)
 
 
 @query
@@ -572,7 +577,7 @@ def dedupe_posts(spark, sf_dir):
 
 @query
 def clean_text(spark, sf_dir):
-    return posts_documents(spark, sf_dir).select("post_id", text.clean_text(F.col("text")).alias("text"))
+    return texts(spark, sf_dir).select("post_id", text.clean_text(F.col("text")).alias("text"))
 
 
 @query
@@ -625,13 +630,13 @@ def lexicon_sentiment(spark, sf_dir):
     from tallyvox.fixed_values import LEXICON
 
     lexicon = Dim.inline(spark, list(LEXICON.items()), ["token", "valence"])
-    return sentiment.sentiment_by_join(posts_documents(spark, sf_dir), lexicon)
+    return sentiment.sentiment_by_join(texts(spark, sf_dir), lexicon)
 
 
 @query
 def lexicon_sentiment_rules(spark, sf_dir):
     """The in-row path with all rules."""
-    scored = sentiment.with_sentiment(posts_documents(spark, sf_dir), models.RULE_MODEL)
+    scored = sentiment.with_sentiment(texts(spark, sf_dir), models.RULE_MODEL)
     return scored.select("post_id", "sentiment_score")
 
 
@@ -641,7 +646,7 @@ def lang_profile_train(spark, sf_dir):
 
 
 def _test_documents(spark, sf_dir):
-    posts = posts_documents(spark, sf_dir).select("post_id", "text", "expected_language")
+    posts = texts(spark, sf_dir).select("post_id", "text", "expected_language")
     return posts.where(language.text_fold(F.col("text")) >= models.TRAIN_FOLDS)
 
 
@@ -660,9 +665,8 @@ def lang_confusion(spark, sf_dir):
     test = _test_documents(spark, sf_dir).withColumn(
         "key", F.struct("post_id", "expected_language")
     )
-    found = language.detect_by_join(
-        test, models.language_profile(spark, sf_dir), models.LANGUAGES, key="key"
-    )
+    profile = models.saved_profile(spark, sf_dir)
+    found = language.detect_by_join(test, profile, models.LANGUAGES, key="key")
     return language.confusion(
         found.select("key.expected_language", "message_language"), "expected_language"
     )
