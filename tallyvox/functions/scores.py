@@ -14,7 +14,7 @@ def clip_score(score: Column, low: float = -1.0, high: float = 1.0) -> Column:
 def histogram_bin(score: Column, bins: int, low: float = -1.0, high: float = 1.0) -> Column:
     """Number of the equal-width bin, 0 to bins-1; the upper bound falls in the last bin."""
     raw = F.floor((score - F.lit(low)) * F.lit(bins / (high - low)))
-    return F.least(F.lit(bins - 1), F.greatest(F.lit(0), raw.cast("int")))
+    return F.when(score.isNotNull(), F.least(F.lit(bins - 1), F.greatest(F.lit(0), raw.cast("int"))))
 
 
 def show_score(score: Column) -> Column:

@@ -78,3 +78,12 @@ def word_tokens(text: Column) -> Column:
 def letter_tokens(text: Column) -> Column:
     """Lower-cased runs of letters, in order."""
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
+
+
+def letter_trigrams(text: Column) -> Column:
+    """Groups of three letters of each word, the word set between blanks."""
+    padded = F.transform(letter_tokens(text), lambda t: F.concat(F.lit(" "), t, F.lit(" ")))
+    groups = F.transform(
+        padded, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, 3))
+    )
+    return F.flatten(groups)

@@ -180,25 +180,24 @@ def gazetteer_mentions(
         )
         .where(F.col("_len").between(1, max_words))
     )
+    texts = posts.select(key, word_tokens(F.col("text")).alias("_words"))
+    positions = texts.select(key, "_words", F.posexplode("_words").alias("_start", "_word"))
+    starts = F.col("_word") == F.col("_first")
+    ahead = F.slice("_words", F.col("_start") + 1, F.col("_len"))
     if gazetteer.is_small():
-        aliases = F.broadcast(aliases)
-    positions = (
-        posts.select(key, word_tokens(F.col("text")).alias("_words"))
-        .select(key, "_words", F.posexplode("_words").alias("_start", "_word"))
-        .select(
-            key,
-            "_start",
-            "_word",
-            F.concat(
-                F.array_join(F.slice("_words", F.col("_start") + 1, max_words), " "), F.lit(" ")
-            ).alias("_ahead"),
+        # The row stays in its task, so its words can be looked at where an alias may start.
+        matches = F.array_join(ahead, " ") == F.col("alias")
+        found = positions.join(F.broadcast(aliases), starts & matches)
+    else:
+        # The row is shuffled by its word, so it carries the next words and not the whole text.
+        blank = F.lit(" ")
+        window = F.concat(
+            F.array_join(F.slice("_words", F.col("_start") + 1, max_words), " "), blank
         )
-    )
-    hits = positions.join(
-        aliases,
-        (F.col("_word") == F.col("_first"))
-        & F.col("_ahead").startswith(F.concat(F.col("alias"), F.lit(" "))),
-    ).select(key, "value", "_start", (F.col("_start") + F.col("_len")).alias("_end"))
+        matches = F.col("_ahead").startswith(F.concat(F.col("alias"), blank))
+        carried = positions.select(key, "_start", "_word", window.alias("_ahead"))
+        found = carried.join(aliases, starts & matches)
+    hits = found.select(key, "value", "_start", (F.col("_start") + F.col("_len")).alias("_end"))
     # One text's hits only: a longer mention starts earlier or at the same word.
     earlier = (
         Window.partitionBy(key)

@@ -1,4 +1,4 @@
-"""Language identification with word profiles trained from labelled texts.
+"""Language identification with word (or letter group) profiles trained from labelled texts.
 
 Training is two aggregations; scoring is naive Bayes over the distinct profile words of a text.
 Log-probabilities are whole micro-units, so sums do not depend on the order of rows.
@@ -6,7 +6,7 @@ Log-probabilities are whole micro-units, so sums do not depend on the order of r
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,42 +21,57 @@ DEFAULT_LANGUAGE = "en"
 MAX_MODEL_ROWS = 50_000
 
 
-def word_counts(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+Grams = Callable[[Column], Column]  # text to an array of words or letter groups
+
+
+def gram_counts(
+    labelled: DataFrame, text: str = "text", lang: str = "lang", grams: Grams = letter_tokens
+) -> DataFrame:
     """(lang, gram, n): occurrences per language, summed before the shuffle."""
     return (
-        labelled.select(F.col(lang).alias("lang"), F.explode(letter_tokens(F.col(text))).alias("gram"))
+        labelled.select(F.col(lang).alias("lang"), F.explode(grams(F.col(text))).alias("gram"))
         .groupBy("lang", "gram")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def train_profile(
-    labelled: DataFrame, languages: Sequence[str], top: int = 100, text: str = "text", lang: str = "lang"
+    labelled: DataFrame,
+    languages: Sequence[str],
+    top: int = 100,
+    text: str = "text",
+    lang: str = "lang",
+    grams: Grams = letter_tokens,
 ) -> DataFrame:
-    """(gram, lang, n, log_p): for each of the most frequent words of any language, its smoothed
+    """(gram, lang, n, log_p): for each of the most frequent grams of any language, its smoothed
     log-probability in every language, `log((n + 1) / (total + distinct))`, in micro-units."""
-    counts = word_counts(labelled.where(F.col(lang).isin(list(languages))), text, lang)
+    if top * len(languages) > MAX_MODEL_ROWS:
+        raise ValueError(f"a profile has at most {MAX_MODEL_ROWS} grams")
+    counts = gram_counts(labelled.where(F.col(lang).isin(list(languages))), text, lang, grams)
+    # At most one row per language, and `top` rows per language: the two broadcasts are bounded.
     totals = counts.groupBy("lang").agg(
-        F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct_words")
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct_grams")
     )
-    grams = (
+    frequent = (
         top_k_per_group(counts, ["lang"], [F.col("n").desc(), F.col("gram")], top)
         .select("gram")
         .distinct()
     )
-    # Every profile word gets a row for every language, seen there or not.
-    complete = grams.select("gram", F.explode(F.array(*[F.lit(x) for x in languages])).alias("lang"))
+    # Every profile gram gets a row for every language, seen there or not. The vocabulary is
+    # cut to the profile before the join, so that the large side is only scanned.
+    seen = counts.join(F.broadcast(frequent), "gram", "left_semi")
+    complete = frequent.select(
+        "gram", F.explode(F.array(*[F.lit(x) for x in languages])).alias("lang")
+    )
+    n = F.coalesce("n", F.lit(0))
     return (
-        complete.join(counts, ["lang", "gram"], "left")
-        .join(F.broadcast(totals), "lang")  # one row per language of the given list
+        complete.join(seen, ["lang", "gram"], "left")
+        .join(F.broadcast(totals), "lang")
         .select(
             "gram",
             "lang",
-            F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-            F.round(
-                F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + F.col("distinct_words")))
-                * 1_000_000
-            )
+            n.cast("bigint").alias("n"),
+            F.round(F.log((n + 1) / (F.col("total") + F.col("distinct_grams"))) * 1_000_000)
             .cast("bigint")
             .alias("log_p"),
         )
@@ -101,16 +116,17 @@ def with_language(
     model: LanguageModel,
     text: str = "text",
     into: str = "message_language",
+    grams: Grams = letter_tokens,
 ) -> DataFrame:
     """Add the language inside the row: no join, no shuffle, the text stays where it is.
 
     A hash-set test keeps the profile words of a text; each is then looked up once.
     """
-    grams = words(model.weights)
+    profile = words(model.weights)
     known = (
-        posts.withColumn("_grams", F.array_distinct(letter_tokens(F.col(text))))
-        .withColumn("_known", F.expr(f"filter(_grams, g -> g IN ({grams}))"))
-        .withColumn("_at", F.expr(f"transform(_known, g -> array_position(array({grams}), g))"))
+        posts.withColumn("_grams", F.array_distinct(grams(F.col(text))))
+        .withColumn("_known", F.expr(f"filter(_grams, g -> g IN ({profile}))"))
+        .withColumn("_at", F.expr(f"transform(_known, g -> array_position(array({profile}), g))"))
     )
     scores = []
     for slot in range(len(model.languages)):
@@ -130,6 +146,7 @@ def detect_by_join(
     languages: Sequence[str],
     key: str = "post_id",
     text: str = "text",
+    grams: Grams = letter_tokens,
 ) -> DataFrame:
     """(key, message_language) for a profile of any size: one row per distinct word of a text,
     joined to one row per profile word, summed per text before the shuffle."""
@@ -139,11 +156,11 @@ def detect_by_join(
     )
     if fits_broadcast(profile):
         wide = F.broadcast(wide)
-    words = posts.select(
-        key, F.explode_outer(F.array_distinct(letter_tokens(F.col(text)))).alias("gram")
+    units = posts.select(
+        key, F.explode_outer(F.array_distinct(grams(F.col(text)))).alias("gram")
     )
     sums = (
-        words.join(wide, "gram", "left")
+        units.join(wide, "gram", "left")
         .groupBy(key)
         .agg(F.count("w0").alias("hits"), *[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(names))])
     )

@@ -17,22 +17,15 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 def fits_broadcast(
     frame: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAST_BYTES
 ) -> bool:
-    """Measure a frame, reading at most `rows` + 1 of its rows."""
+    """Measure a frame with one aggregation: a row count and the bytes of its values. A limit
+    would be no cheaper, as every task of a large frame would send its first rows to one task."""
     width = F.octet_length(F.to_json(F.struct("*")))
-    found = (
-        frame.limit(rows + 1)
-        .select(width.alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("bytes"))
-        .first()
-    )
+    found = frame.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
+    ).first()
     return found.n <= rows and found.bytes <= size
 
 
-def broadcast_if_small(frame: DataFrame, **bounds: int) -> DataFrame:
-    """Hint a broadcast after measuring; else leave the join to the adaptive planner."""
-    return F.broadcast(frame) if fits_broadcast(frame, **bounds) else frame
-
-
 def inline_frame(spark: SparkSession, rows: Iterable[Sequence], columns: Sequence[str]) -> DataFrame:
     """A small table from constants: a local relation, whose size the optimizer knows."""
     body = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)

@@ -22,15 +22,18 @@ def upsert(
     key: str = POST_KEY,
     mutable: Sequence[str] = MUTABLE_COLUMNS,
     broadcast_updates: bool | None = None,
+    unique_updates: bool = False,
 ) -> DataFrame:
-    """Merge a batch into a table with unique keys.
+    """Merge a batch into a table with unique keys; the batch is made unique first.
 
     A batch that fits a broadcast leaves the base where it is: it is scanned, not shuffled.
     A larger batch goes through one full outer join on the key.
     """
-    updates = dedupe_posts(updates.select(*base.columns), key)
+    updates = updates.select(*base.columns)
     if broadcast_updates is None:
         broadcast_updates = fits_broadcast(updates.select(key, *mutable))
+    if not unique_updates:
+        updates = dedupe_posts(updates, key)
     fresh_values = updates.select(
         F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in mutable]
     )
@@ -154,9 +157,8 @@ def read_current(spark: SparkSession, root: str, upto: int | None = None) -> Dat
     base = spark.read.parquet(path)
     if log is None:
         return base
-    later = log.where(F.col("batch_id") > version)
-    base = base.withColumn("batch_id", F.lit(version).cast("bigint"))
-    return fold_log(base.unionByName(later), "batch_id")
+    later = fold_log(log.where(F.col("batch_id") > version), "batch_id")
+    return upsert(base, later, unique_updates=True)
 
 
 def compact(spark: SparkSession, root: str) -> str | None:

@@ -549,7 +549,7 @@ ORACLE["stream_dedupe"] = f"""
 SELECT post_id, subreddit, {stamp('created_utc')} AS created_utc FROM {PE}"""
 ORACLE["stream_late_split"] = f"""
 WITH {_marks(PE, f"least(3, {_SLICE} + CASE WHEN subreddit = 'click' AND upvotes > 40 THEN 1 ELSE 0 END)")}
-SELECT post_id, CAST(slice AS INTEGER) AS batch_id, coalesce(created_utc <= mark, false) AS late
+SELECT post_id, CAST(slice AS BIGINT) AS batch_id, coalesce(created_utc <= mark, false) AS late
 FROM arrived JOIN marks USING (slice)"""
 ORACLE["stream_upsert"] = MERGED_VIEW
 ORACLE["stream_restart"] = MERGED_VIEW

@@ -118,9 +118,7 @@ def stream_late_split(spark, sf_dir):
         return sinks.late_split_sink(_posts_feed(spark, landing), out, checkpoint)
 
     land([posts.where(arrives == i) for i in range(4)], landing, start)
-    return spark.read.parquet(f"{out}/rows").select(
-        "post_id", F.col("batch_id").cast("int").alias("batch_id"), F.col("late").cast("boolean").alias("late")
-    )
+    return sinks.read_split(spark, out).select("post_id", "batch_id", "late")
 
 
 @stream_query

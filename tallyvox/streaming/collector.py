@@ -5,11 +5,13 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyvox.operators.enrich import enrich
 from tallyvox.operators.language import LanguageModel
 from tallyvox.operators.merge import write_log_batch
+from tallyvox.operators.quality import is_bot
 from tallyvox.sources.landed import read_listings, read_replies
 from tallyvox.streaming.sinks import run_batches
 
@@ -35,9 +37,17 @@ def collect(
 
     File offsets live in the checkpoint: after a failure or restart the job goes on with the
     files it has not committed, so no post is lost and none is counted twice. A cycle without
-    new files is a success that writes nothing.
+    new files is a success that writes nothing. The counts of each batch are in the query's
+    progress under `observedMetrics`, at no extra job.
     """
-    items = landed_posts(spark, landing, maxFilesPerTrigger=str(files_per_batch))
+    bot = is_bot(F.col("author"), enrich_options.get("strict_bots", False))
+    items = landed_posts(spark, landing, maxFilesPerTrigger=str(files_per_batch)).observe(
+        "batch",
+        F.count(F.lit(1)).alias("items"),
+        F.count_if(F.col("parent_post_id").isNull()).alias("posts"),
+        F.count_if(F.col("parent_post_id").isNotNull()).alias("comments"),
+        F.count_if(~bot).alias("kept"),
+    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
         enriched = enrich(batch, language_model, load_time=datetime.now(timezone.utc), **enrich_options)

@@ -4,8 +4,8 @@ replaces what its first attempt left behind."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +15,23 @@ from tallyvox.operators.merge import write_log_batch
 ONCE = {"availableNow": True}
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """Start a stream with no more state partitions than there are cores.
+
+    A stream keeps the number of its first start; every batch opens each state partition, so
+    on a small machine the session's default would cost more than the work. On a cluster with
+    more cores than the session's number, that number holds.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_batches(
     stream: DataFrame,
     write: Callable[[DataFrame, int], None],
@@ -22,27 +39,29 @@ def run_batches(
     mode: str = "append",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    return (
-        stream.writeStream.foreachBatch(write)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or ONCE))
-        .start()
-    )
+    with state_partitions(stream.sparkSession):
+        return (
+            stream.writeStream.foreachBatch(write)
+            .outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or ONCE))
+            .start()
+        )
 
 
 def append_sink(
     stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Parquet files with the file sink's own commit log: each row once."""
-    return (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(**(trigger or ONCE))
-        .start()
-    )
+    with state_partitions(stream.sparkSession):
+        return (
+            stream.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(**(trigger or ONCE))
+            .start()
+        )
 
 
 def upsert_sink(
@@ -87,29 +106,35 @@ def late_split_sink(
 ) -> StreamingQuery:
     """Split each batch at the high-water mark: rows not newer than the mark go to the folder
     late=true, the others to late=false. The mark is the newest time of all earlier batches
-    minus the allowed lateness; it is stored per batch, so a repeated batch sees the same mark."""
+    minus the allowed lateness. Each batch stores the newest time up to itself, so a repeated
+    batch sees the same mark and only one small file is read for it."""
     marks, rows = f"{path}/marks", f"{path}/rows"
 
-    def mark_before(spark: SparkSession, batch_id: int):
-        try:
-            stored = spark.read.schema("newest timestamp, batch_id bigint").parquet(marks)
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-        mark = F.max("newest") - F.expr(f"INTERVAL {lateness}")
-        return stored.where(F.col("batch_id") < batch_id).agg(mark.alias("mark")).first().mark
+    def newest_before(spark: SparkSession, batch_id: int):
+        if batch_id == 0:
+            return None
+        stored = spark.read.schema("newest timestamp").parquet(f"{marks}/batch_id={batch_id - 1}")
+        return stored.first().newest
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        mark = mark_before(spark, batch_id)
-        late = F.lit(False) if mark is None else F.col("created_utc") <= F.lit(mark)
+        newest = F.lit(newest_before(spark, batch_id)).cast("timestamp")
+        late = F.col("created_utc") <= newest - F.expr(f"INTERVAL {lateness}")
         here = f"{rows}/batch_id={batch_id}"
         split = batch.withColumn("late", F.coalesce(late, F.lit(False)))
         split.write.mode("overwrite").partitionBy("late").parquet(here)
-        newest = spark.read.schema("created_utc timestamp").parquet(here)
-        newest.agg(F.max("created_utc").alias("newest")).coalesce(1).write.mode(
+        # Read back one column of this batch; greatest skips a null on either side.
+        stored = spark.read.schema("created_utc timestamp").parquet(here)
+        stored.agg(F.greatest(F.max("created_utc"), newest).alias("newest")).write.mode(
             "overwrite"
         ).parquet(f"{marks}/batch_id={batch_id}")
 
     return run_batches(stream, write, checkpoint, trigger=trigger)
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """All rows with the id of their batch and whether they came late."""
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.withColumns(
+        {"batch_id": F.col("batch_id").cast("bigint"), "late": F.col("late").cast("boolean")}
+    )
