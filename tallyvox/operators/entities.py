@@ -8,48 +8,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvox import fixed_values as fixed
+from tallyvox.functions.literals import literal
 from tallyvox.functions.text import strip, title_case, word_tokens
 from tallyvox.operators.lookup import Dim
 
-# Keyword chains are compiled into the plan, so their length is bounded.
-MAX_KEYWORDS = 500
+# Up to this many keywords are compiled as one chain; longer lists are one constant array.
+MAX_CHAIN = 64
+MAX_COUNTRIES = 300
 
 Keywords = Sequence[tuple[str, str]]
 
 
-def _checked(keywords: Keywords) -> Keywords:
-    if len(keywords) > MAX_KEYWORDS:
-        raise ValueError(
-            f"{len(keywords)} keywords: use gazetteer_mentions, which joins, beyond {MAX_KEYWORDS}"
-        )
-    return keywords
+def _hits(keywords: Keywords) -> str:
+    """SQL for the entries of a long keyword list that occur in `_lowered`, in list order."""
+    entries = ", ".join(
+        f"struct({literal(keyword)} AS keyword, {literal(value)} AS value)"
+        for keyword, value in keywords
+    )
+    return f"filter(array({entries}), k -> contains(_lowered, k.keyword))"
 
 
-def first_hit(lowered: Column, keywords: Keywords) -> Column:
-    """Value of the first keyword of the list that occurs in the text as a substring.
+def first_hit(keywords: Keywords) -> Column:
+    """Value of the first keyword of the list that occurs in `_lowered` as a substring.
 
-    `lowered` is the lower-cased text. List order decides, not the position in the text.
-    The chain stops at the first hit and needs no join, so it adds no shuffle.
+    List order decides, not the position in the text. A short list is a chain that stops at the
+    first hit. No list needs a join, so none adds a shuffle.
     """
-    chain = None
-    for keyword, value in _checked(keywords):
-        hit = lowered.contains(keyword)
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return F.lit(None).cast("string") if chain is None else chain
+    if not keywords:
+        return F.lit(None).cast("string")
+    if len(keywords) > MAX_CHAIN:
+        return F.expr(f"get({_hits(keywords)}, 0).value")
+    chain = F
+    for keyword, value in keywords:
+        chain = chain.when(F.col("_lowered").contains(keyword), value)
+    return chain
 
 
-def all_hits(lowered: Column, keywords: Keywords) -> Column:
+def all_hits(keywords: Keywords) -> Column:
     """All values with a hit, distinct, sorted and joined by commas; null without a hit."""
-    by_value: dict[str, list[str]] = {}
-    for keyword, value in _checked(keywords):
-        by_value.setdefault(value, []).append(keyword)
-    hits = []
-    for value in sorted(by_value):
-        any_hit = F.lit(False)
-        for keyword in by_value[value]:
-            any_hit = any_hit | lowered.contains(keyword)
-        hits.append(F.when(any_hit, value))
-    joined = F.concat_ws(",", *hits)
+    if len(keywords) > MAX_CHAIN:
+        found = F.expr(f"transform({_hits(keywords)}, k -> k.value)")
+        joined = F.array_join(F.array_sort(F.array_distinct(found)), ",")
+    else:
+        by_value: dict[str, list[str]] = {}
+        for keyword, value in keywords:
+            by_value.setdefault(value, []).append(keyword)
+        hits = []
+        for value in sorted(by_value):
+            any_hit = F.lit(False)
+            for keyword in by_value[value]:
+                any_hit = any_hit | F.col("_lowered").contains(keyword)
+            hits.append(F.when(any_hit, value))
+        joined = F.concat_ws(",", *hits)
     return F.when(joined != "", joined)
 
 
@@ -61,17 +71,16 @@ def with_entities(
 ) -> DataFrame:
     """Set `country` and `leader` from `text`."""
     match = all_hits if multiple else first_hit
-    lowered = F.col("_lowered")
     return (
         posts.withColumn("_lowered", F.lower("text"))
-        .withColumns({"country": match(lowered, countries), "leader": match(lowered, leaders)})
+        .withColumns({"country": match(countries), "leader": match(leaders)})
         .drop("_lowered")
     )
 
 
 def explode_list(posts: DataFrame, column: str, into: str) -> DataFrame:
     """One row per item of a comma list, trimmed, without blank items; null lists vanish."""
-    item = F.explode(F.split(F.coalesce(F.col(column), F.lit("")), ","))
+    item = F.explode_outer(F.split(F.coalesce(F.col(column), F.lit("")), ","))
     return (
         posts.withColumn(into, item).withColumn(into, strip(F.col(into))).where(F.col(into) != "")
     )
@@ -124,7 +133,7 @@ def country_iso(
     nearest name within `max_edits`. Ties go to the first alpha-2 code. Meant for rows that are
     already aggregated by country; the ISO list is compiled into the plan.
     """
-    if len(countries) > MAX_KEYWORDS:
+    if len(countries) > MAX_COUNTRIES:
         raise ValueError("the ISO list is larger than the set of countries")
     query = F.lower(F.col(column))
     table = F.array(
@@ -180,8 +189,9 @@ def gazetteer_mentions(
         )
         .where(F.col("_len").between(1, max_words))
     )
+    # The outer form: for the plain one, the optimizer adds a filter that splits the text again.
     texts = posts.select(key, word_tokens(F.col("text")).alias("_words"))
-    positions = texts.select(key, "_words", F.posexplode("_words").alias("_start", "_word"))
+    positions = texts.select(key, "_words", F.posexplode_outer("_words").alias("_start", "_word"))
     starts = F.col("_word") == F.col("_first")
     ahead = F.slice("_words", F.col("_start") + 1, F.col("_len"))
     if gazetteer.is_small():

@@ -16,6 +16,7 @@ from tallyvox.functions.literals import words
 from tallyvox.functions.text import letter_tokens
 from tallyvox.operators.lookup import fits_broadcast
 from tallyvox.operators.ranking import top_k_per_group
+from tallyvox.session import fresh_dir
 
 DEFAULT_LANGUAGE = "en"
 MAX_MODEL_ROWS = 50_000
@@ -28,8 +29,11 @@ def gram_counts(
     labelled: DataFrame, text: str = "text", lang: str = "lang", grams: Grams = letter_tokens
 ) -> DataFrame:
     """(lang, gram, n): occurrences per language, summed before the shuffle."""
+    # The outer form: for the plain one, the optimizer adds a filter that splits the text again.
+    units = F.explode_outer(grams(F.col(text))).alias("gram")
     return (
-        labelled.select(F.col(lang).alias("lang"), F.explode(grams(F.col(text))).alias("gram"))
+        labelled.select(F.col(lang).alias("lang"), units)
+        .where(F.col("gram").isNotNull())
         .groupBy("lang", "gram")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -44,10 +48,17 @@ def train_profile(
     grams: Grams = letter_tokens,
 ) -> DataFrame:
     """(gram, lang, n, log_p): for each of the most frequent grams of any language, its smoothed
-    log-probability in every language, `log((n + 1) / (total + distinct))`, in micro-units."""
+    log-probability in every language, `log((n + 1) / (total + distinct))`, in micro-units.
+
+    The texts are read once: their counts are written, and all later steps read the counts.
+    """
     if top * len(languages) > MAX_MODEL_ROWS:
         raise ValueError(f"a profile has at most {MAX_MODEL_ROWS} grams")
-    counts = gram_counts(labelled.where(F.col(lang).isin(list(languages))), text, lang, grams)
+    spark = labelled.sparkSession
+    path = fresh_dir(spark, "gram-counts")
+    known = labelled.where(F.col(lang).isin(list(languages)))
+    gram_counts(known, text, lang, grams).write.parquet(path)
+    counts = spark.read.parquet(path)
     # At most one row per language, and `top` rows per language: the two broadcasts are bounded.
     totals = counts.groupBy("lang").agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct_grams")

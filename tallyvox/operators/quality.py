@@ -73,9 +73,9 @@ def contract_violations(
             F.lit(1).cast("bigint").alias("amount"),
         ),
     )
-    rows = posts.select(
-        F.col(key), F.inline(F.array_compact(F.array(*checks, null_key)))
-    )
+    # The outer form: for the plain one, the optimizer adds a filter that repeats the checks.
+    found = F.inline_outer(F.array_compact(F.array(*checks, null_key)))
+    rows = posts.select(F.col(key), found).where(F.col("column_name").isNotNull())
     repeats = (
         posts.where(F.col(key).isNotNull())
         .groupBy(key)

@@ -110,7 +110,7 @@ def headline_metrics(loaded: DataFrame) -> DataFrame:
         items = F.split(F.coalesce(F.col(column), F.lit("")), ",")
         return F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("entity")))
 
-    entry = F.explode(
+    entry = F.explode_outer(
         F.concat(
             tagged("country", "country"),
             tagged("leader", "leader"),

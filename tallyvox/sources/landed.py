@@ -43,7 +43,9 @@ def parse_listing(
     source = F.col(source) if isinstance(source, str) else source
     if isinstance(pages.select(listing).schema[0].dataType, T.StringType):
         listing = F.from_json(listing, LISTING_SCHEMA)
-    nodes = pages.select(source.alias("_source"), F.explode(listing["data"]["children"]).alias("_n"))
+    # The outer form: for the plain one, the optimizer adds a filter that parses the text again.
+    node = F.explode_outer(listing["data"]["children"]).alias("_n")
+    nodes = pages.select(source.alias("_source"), node)
     data = F.col("_n")["data"]
     return nodes.select(
         *_post_columns(
@@ -69,9 +71,8 @@ def parse_comments(
     if isinstance(replies.select(reply).schema[0].dataType, T.StringType):
         reply = F.from_json(reply, REPLY_SCHEMA)
     second = F.get(reply, F.lit(1))
-    nodes = replies.select(
-        post_id.alias("_parent"), F.explode(second["data"]["children"]).alias("_n")
-    ).where(F.col("_n")["kind"] == COMMENT_KIND)
+    node = F.explode_outer(second["data"]["children"]).alias("_n")
+    nodes = replies.select(post_id.alias("_parent"), node).where(F.col("_n")["kind"] == COMMENT_KIND)
     data = F.col("_n")["data"]
     return nodes.select(
         *_post_columns(

@@ -15,7 +15,7 @@ def flatten_gazetteer(entries: DataFrame, value: Column, order: Column) -> DataF
     aliases = entries.select(
         value.alias("value"),
         order.alias("_entry"),
-        F.posexplode(F.concat(F.array("name"), alternatives)).alias("_pos", "_alias"),
+        F.posexplode_outer(F.concat(F.array("name"), alternatives)).alias("_pos", "_alias"),
     )
     return aliases.groupBy(F.lower("_alias").alias("alias")).agg(
         F.max_by("value", F.struct("_entry", "_pos")).alias("value")

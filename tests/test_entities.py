@@ -40,6 +40,22 @@ def test_first_hit_against_plain_python(spark):
     assert {r.text: r.country for r in found} == {v: expected(v) for v in values}
 
 
+def test_long_lists_give_the_same(spark):
+    """A list beyond the chain limit is evaluated as an array, with the same results."""
+    filler = [(f"zz{i}q", f"Z{i}") for i in range(entities.MAX_CHAIN)]
+    long = filler[:9] + fixed.COUNTRY_KEYWORDS + filler[9:]
+    posts = texts(spark, "russia and China", "zz3q and usage", "zz60q", "none", "", None, "it's 'uk'")
+    quoted = [("it's", "Q"), *long]
+    for multiple in (False, True):
+        short = entities.with_entities(posts, fixed.COUNTRY_KEYWORDS, multiple=multiple)
+        both = entities.with_entities(posts, long, quoted, multiple=multiple)
+        short, both = ({r.post_id: r for r in f.collect()} for f in (short, both))
+        assert [short[str(i)].country for i in (0, 3, 4, 5, 6)] == [both[str(i)].country for i in (0, 3, 4, 5, 6)]
+        assert both["2"].country == "Z60"
+        assert both["1"].country == ("US,Z3" if multiple else "Z3")
+        assert both["6"].leader == ("GB,Q" if multiple else "Q")
+
+
 def test_all_hits(spark):
     posts = texts(spark, "russia and china, america", "none")
     found = entities.with_entities(posts, multiple=True).orderBy("post_id").collect()
