@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvox.operators.ranking import top_k_per_group
+from tallyvox.schema import PARTITION_COLUMN
 
 
 def posts_only(items: DataFrame) -> DataFrame:
@@ -22,8 +23,15 @@ def with_kind(items: DataFrame) -> DataFrame:
 
 
 def newer_than(posts: DataFrame, mark) -> DataFrame:
-    """Strictly after the high-water mark; comments are not passed through this filter."""
-    return posts.where(F.col("created_utc") > F.lit(mark).cast("timestamp"))
+    """Strictly after the high-water mark; comments are not passed through this filter.
+
+    A table stored by day also gets the condition on its day folders, which skips older ones.
+    """
+    mark = F.lit(mark).cast("timestamp")
+    newer = posts.where(F.col("created_utc") > mark)
+    if PARTITION_COLUMN in posts.columns:
+        newer = newer.where(F.col(PARTITION_COLUMN) >= F.to_date(mark))
+    return newer
 
 
 def comments_of(posts: DataFrame, comments: DataFrame) -> DataFrame:

@@ -482,7 +482,7 @@ ORACLE["latest_per_source"] = f"""
 SELECT post_id, subreddit, {stamp('created_utc')} AS created_utc, upvotes FROM {PE}
 QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY pe.created_utc DESC, post_id) = 1"""
 ORACLE["stream_source_cursor"] = f"""
-SELECT post_id, subreddit, {stamp('created_utc')} AS created_utc FROM {PE}
+SELECT post_id, subreddit, {stamp('created_utc')} AS created_utc, 't3_' || post_id AS after FROM {PE}
 QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY pe.created_utc DESC, post_id DESC) = 1"""
 ORACLE["comments_per_post_k"] = f"""
 SELECT post_id, author, text, turn, parent_post_id FROM {PT} WHERE parent_post_id IS NOT NULL

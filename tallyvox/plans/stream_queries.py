@@ -21,7 +21,7 @@ from tallyvox.plans.adapters import POSTS_DOCUMENTS, posts_events, table
 from tallyvox.plans.queries import Query, _merged_view, _upsert_pair, six, stamp
 from tallyvox.schema import POST_SCHEMA
 from tallyvox.session import fresh_dir, pin_utc
-from tallyvox.sources.landed import read_listings
+from tallyvox.sources.landed import cursor_token, read_listings
 from tallyvox.sources.posts import load_posts
 from tallyvox.streaming import feeds, sinks
 
@@ -103,7 +103,9 @@ def stream_source_cursor(spark, sf_dir):
 
     land(_in_time_order(posts_events(spark, sf_dir)), landing, start)
     latest = sinks.latest_changes(spark, out, ["subreddit"])
-    return latest.withColumn("created_utc", stamp(F.col("created_utc")))
+    return latest.withColumns(
+        {"after": cursor_token(F.col("post_id")), "created_utc": stamp(F.col("created_utc"))}
+    )
 
 
 @stream_query

@@ -25,6 +25,7 @@ POST_SCHEMA = T.StructType(
 )
 
 POST_KEY = "post_id"
+PARTITION_COLUMN = "created_date"  # the stored table has one folder per day
 # Columns that a later copy of a record replaces; all others keep the first-seen value.
 MUTABLE_COLUMNS = ("upvotes", "num_comments", "last_processed")
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tallyvox.functions.scores import clip_score
 from tallyvox.functions.times import day_of_week, hour_of_day
-from tallyvox.schema import POST_SCHEMA
+from tallyvox.schema import PARTITION_COLUMN, POST_SCHEMA
 
 REPORT_COLUMNS = [
     "post_id",
@@ -19,7 +19,6 @@ REPORT_COLUMNS = [
     "upvotes",
     "created_utc",
 ]
-PARTITION_COLUMN = "created_date"
 
 
 def create_if_absent(spark: SparkSession, path: str) -> None:

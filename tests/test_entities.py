@@ -177,3 +177,7 @@ def test_read_gazetteer(spark, tmp_path):
         for alias in [name, *alternatives]:
             expected[alias.lower()] = code
     assert found == expected
+    leaders = tmp_path / "leaders.json"
+    leaders.write_text(json.dumps([{"name": n, "alternatives": a} for n, a in fixed.LEADER_GAZETTEER]))
+    found = {r.alias: r.value for r in read_gazetteer(spark, str(leaders), value="name").collect()}
+    assert found["vdl"] == "Ursula von der Leyen" and len(found) == 32

@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+from tallyvox.operators.threads import newer_than
 from tallyvox.schema import POST_SCHEMA
 from tallyvox.sources import landed
 from tallyvox.sources.posts import append_posts, create_if_absent, load_posts, scan_posts, spread_small
@@ -83,6 +84,16 @@ def test_post_table(spark):
     assert [(r.post_id, r.sentiment_score, r.hour_of_day, r.day_of_week) for r in loaded] == [("a", -1.0, 0, 1)]
 
 
+def test_newer_than_skips_day_folders(spark):
+    path = fresh_dir(spark, "posts")
+    rows = [dict(post(str(d), upvotes=1), created_utc=datetime(2024, 1, d, 12)) for d in range(1, 5)]
+    append_posts(spark.createDataFrame(rows, POST_SCHEMA), path)
+    newer = newer_than(scan_posts(spark, path), datetime(2024, 1, 3, 11))
+    assert {r.post_id for r in newer.collect()} == {"3", "4"}
+    scan = newer._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_date" in scan
+
+
 def test_spread_only_small(spark):
     few = spark.range(0, 10, 1, 1)
     many = spark.range(0, 10, 1, 64)
