@@ -38,10 +38,11 @@ def first_hit(keywords: Keywords) -> Column:
         return F.lit(None).cast("string")
     if len(keywords) > MAX_CHAIN:
         return F.expr(f"get({_hits(keywords)}, 0).value")
-    chain = F
-    for keyword, value in keywords:
-        chain = chain.when(F.col("_lowered").contains(keyword), value)
-    return chain
+    cases = " ".join(
+        f"WHEN contains(_lowered, {literal(keyword)}) THEN {literal(value)}"
+        for keyword, value in keywords
+    )
+    return F.expr(f"CASE {cases} END")
 
 
 def all_hits(keywords: Keywords) -> Column:

@@ -52,14 +52,12 @@ def train_profile(
 
     The texts are read once: their counts are written, and all later steps read the counts.
     """
-    if top * len(languages) > MAX_MODEL_ROWS:
-        raise ValueError(f"a profile has at most {MAX_MODEL_ROWS} grams")
     spark = labelled.sparkSession
     path = fresh_dir(spark, "gram-counts")
     known = labelled.where(F.col(lang).isin(list(languages)))
     gram_counts(known, text, lang, grams).write.parquet(path)
     counts = spark.read.parquet(path)
-    # At most one row per language, and `top` rows per language: the two broadcasts are bounded.
+    # At most one row per language, so the broadcast below is bounded.
     totals = counts.groupBy("lang").agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct_grams")
     )
@@ -70,7 +68,8 @@ def train_profile(
     )
     # Every profile gram gets a row for every language, seen there or not. The vocabulary is
     # cut to the profile before the join, so that the large side is only scanned.
-    seen = counts.join(F.broadcast(frequent), "gram", "left_semi")
+    bounded = top * len(languages) <= MAX_MODEL_ROWS  # the most rows `frequent` can have
+    seen = counts.join(F.broadcast(frequent) if bounded else frequent, "gram", "left_semi")
     complete = frequent.select(
         "gram", F.explode(F.array(*[F.lit(x) for x in languages])).alias("lang")
     )
@@ -133,6 +132,8 @@ def with_language(
 
     A hash-set test keeps the profile words of a text; each is then looked up once.
     """
+    if not model.weights:
+        return posts.withColumn(into, F.lit(DEFAULT_LANGUAGE))
     profile = words(model.weights)
     known = (
         posts.withColumn("_grams", F.array_distinct(grams(F.col(text))))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyvox.fixed_values import LEADER_ALIASES, LEXICON
 from tallyvox.functions import scores, text, times
 from tallyvox.operators import entities, language, merge, quality, ranking, sentiment, threads
 from tallyvox.operators.enrich import analysis_struct, enrich
@@ -411,8 +412,6 @@ def normalize_country(spark, sf_dir):
 
 @query
 def normalize_leader(spark, sf_dir):
-    from tallyvox.fixed_values import LEADER_ALIASES
-
     items = entities.explode_list(posts_events(spark, sf_dir).select("leader"), "leader", "item")
     counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("mentions"))
     aliases = Dim.inline(spark, list(LEADER_ALIASES.items()), ["alias", "canonical"])
@@ -627,8 +626,6 @@ def format_posts(spark, sf_dir):
 @query
 def lexicon_sentiment(spark, sf_dir):
     """The join path: any size of lexicon."""
-    from tallyvox.fixed_values import LEXICON
-
     lexicon = Dim.inline(spark, list(LEXICON.items()), ["token", "valence"])
     return sentiment.sentiment_by_join(texts(spark, sf_dir), lexicon)
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyvox.operators.enrich import enrich
 from tallyvox.operators.language import LanguageModel
-from tallyvox.operators.merge import write_log_batch
+from tallyvox.operators.merge import compact, write_log_batch
 from tallyvox.operators.quality import is_bot
 from tallyvox.sources.landed import read_listings, read_replies
 from tallyvox.streaming.sinks import run_batches
@@ -31,6 +31,7 @@ def collect(
     language_model: LanguageModel,
     interval: str | None = "5 seconds",
     files_per_batch: int = 1000,
+    compact_every: int | None = None,
     **enrich_options,
 ) -> StreamingQuery:
     """Start the job. With `interval` None it takes what has landed and ends.
@@ -38,7 +39,8 @@ def collect(
     File offsets live in the checkpoint: after a failure or restart the job goes on with the
     files it has not committed, so no post is lost and none is counted twice. A cycle without
     new files is a success that writes nothing. The counts of each batch are in the query's
-    progress under `observedMetrics`, at no extra job.
+    progress under `observedMetrics`, at no extra job. With `compact_every`, each n-th batch
+    folds the change log into a new snapshot, which keeps later reads short.
     """
     bot = is_bot(F.col("author"), enrich_options.get("strict_bots", False))
     items = landed_posts(spark, landing, maxFilesPerTrigger=str(files_per_batch)).observe(
@@ -52,6 +54,8 @@ def collect(
     def write(batch: DataFrame, batch_id: int) -> None:
         enriched = enrich(batch, language_model, load_time=datetime.now(timezone.utc), **enrich_options)
         write_log_batch(enriched, table, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact(batch.sparkSession, table)
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return run_batches(items, write, checkpoint, trigger=trigger)

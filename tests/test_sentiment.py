@@ -108,3 +108,23 @@ def test_words_with_quotes(spark):
     model = SentimentModel(lexicon={"o'neil": 1.0, "back\\slash": -1.0})
     found = scored(spark, ["o'neil", "x back\\slash y"], model=model)
     assert found == [0.25, -0.25]
+
+
+def test_scorer_hook(spark):
+    """A user's model replaces the built-in one, here through mapInPandas."""
+    from datetime import datetime
+
+    from tallyvox.operators.enrich import enrich
+    from tallyvox.operators.language import LanguageModel
+
+    posts = spark.createDataFrame([("1", "ann", "good"), ("2", "abot", "good")], "post_id string, author string, text string")
+
+    def scorer(frame):
+        def score(batches):
+            for batch in batches:
+                yield batch.assign(sentiment_score=batch["text"].str.len() / 10)
+
+        return frame.mapInPandas(score, "post_id string, author string, text string, sentiment_score double")
+
+    found = enrich(posts, LanguageModel((), {}), datetime(2024, 1, 1), scorer=scorer).collect()
+    assert [(r.post_id, r.sentiment_score, r.message_language) for r in found] == [("1", 0.4, "en")]

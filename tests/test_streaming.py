@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyvox.operators.language import LanguageModel
-from tallyvox.operators.merge import read_current
+from tallyvox.operators.merge import current_version, read_current
 from tallyvox.plans.adapters import posts_events
 from tallyvox.plans.stream_queries import land
 from tallyvox.schema import POST_SCHEMA
@@ -57,6 +57,22 @@ def test_collector_end_to_end(spark, tmp_path):
     assert (second["a"].upvotes, second["a"].text) == (50, "body")
 
 
+def test_collector_compacts(spark, tmp_path):
+    table, checkpoint = dirs(spark, "table", "checkpoint")
+    versions = []
+    for i in range(3):
+        page = json.loads(json.dumps(PAGE))
+        page["data"]["children"][0]["data"]["score"] = i
+        landing_zone(tmp_path, page, f"{i}.json")
+        collect(
+            spark, str(tmp_path), table, checkpoint, MODEL, interval=None, compact_every=2
+        ).awaitTermination()
+        versions.append(current_version(spark, table))
+    assert versions[0] is None and versions[1][0] == versions[2][0] == 1
+    rows = {r.post_id: r.upvotes for r in read_current(spark, table).collect()}
+    assert rows == {"a": 2, "b": 0, "k1": -3, "k3": 0}
+
+
 def test_processing_time_trigger(spark, tmp_path):
     table, checkpoint = dirs(spark, "table", "checkpoint")
     landing_zone(tmp_path)
