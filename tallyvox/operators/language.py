@@ -56,7 +56,7 @@ def train_profile(
     path = fresh_dir(spark, "gram-counts")
     known = labelled.where(F.col(lang).isin(list(languages)))
     gram_counts(known, text, lang, grams).write.parquet(path)
-    counts = spark.read.parquet(path)
+    counts = spark.read.schema("lang string, gram string, n bigint").parquet(path)
     # At most one row per language, so the broadcast below is bounded.
     totals = counts.groupBy("lang").agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct_grams")

@@ -32,6 +32,7 @@ def upsert(
     updates = updates.select(*base.columns)
     if broadcast_updates is None:
         broadcast_updates = fits_broadcast(updates.select(key, *mutable))
+    sent_keys = updates.select(key)
     if not unique_updates:
         updates = dedupe_posts(updates, key)
     fresh_values = updates.select(
@@ -45,7 +46,7 @@ def upsert(
 
     if broadcast_updates:
         kept = base.join(F.broadcast(fresh_values), key, "left").select(*map(merged, base.columns))
-        seen = base.select(key).join(F.broadcast(updates.select(key)), key, "left_semi")
+        seen = base.select(key).join(F.broadcast(sent_keys), key, "left_semi")
         # `seen` holds at most one row per update key, so it has the updates' bound.
         return kept.unionByName(updates.join(F.broadcast(seen), key, "left_anti"))
 

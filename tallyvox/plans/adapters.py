@@ -55,8 +55,18 @@ FROM {conversations}
 """
 
 
+# Known schemas spare the job that reads file footers to infer them.
+TABLE_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return pin_utc(spark).read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _adapt(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:

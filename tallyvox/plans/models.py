@@ -70,7 +70,7 @@ def saved_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile trained once and written, so that its users do not train it again."""
     path = fresh_dir(spark, "profile")
     language_profile(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema("gram string, lang string, n bigint, log_p bigint").parquet(path)
 
 
 def language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:

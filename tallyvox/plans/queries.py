@@ -13,7 +13,13 @@ from tallyvox.operators import entities, language, merge, quality, ranking, sent
 from tallyvox.operators.enrich import analysis_struct, enrich
 from tallyvox.operators.lookup import Dim
 from tallyvox.plans import models, reports
-from tallyvox.plans.adapters import posts_documents, posts_events, posts_threads, table
+from tallyvox.plans.adapters import (
+    TABLE_SCHEMAS,
+    posts_documents,
+    posts_events,
+    posts_threads,
+    table,
+)
 from tallyvox.schema import with_post_schema
 from tallyvox.session import fresh_dir
 from tallyvox.sources import landed, lookups, posts as post_table
@@ -21,10 +27,6 @@ from tallyvox.sources import landed, lookups, posts as post_table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-EVENTS_SCHEMA = (
-    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
-    "value double, props string"
-)
 PAGE_SIZE = 100
 
 
@@ -150,7 +152,7 @@ def typed_posts(spark, sf_dir):
 @query
 def scan_posts(spark, sf_dir):
     frame = post_table.scan_posts(
-        spark, f"{sf_dir}/events.parquet", "event_id", "event_type", "value", schema=EVENTS_SCHEMA
+        spark, f"{sf_dir}/events.parquet", "event_id", "event_type", "value", schema=TABLE_SCHEMAS["events"]
     )
     return frame.where("value > 100")
 

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyvox.operators.enrich import enrich
 from tallyvox.operators.merge import read_current, write_log_batch
 from tallyvox.plans import models, reports
-from tallyvox.plans.adapters import POSTS_DOCUMENTS, posts_events, table
+from tallyvox.plans.adapters import POSTS_DOCUMENTS, TABLE_SCHEMAS, posts_events, table
 from tallyvox.plans.queries import Query, _merged_view, _upsert_pair, six, stamp
 from tallyvox.schema import POST_SCHEMA
 from tallyvox.session import fresh_dir, pin_utc
@@ -58,9 +58,8 @@ def stream_enrich(spark, sf_dir):
     """The documents table read as a stream, enriched and appended with exactly-once files."""
     pin_utc(spark)
     out, checkpoint = fresh_dir(spark, "enriched"), fresh_dir(spark, "checkpoint")
-    schema = table(spark, sf_dir, "documents").schema
     # As a pattern, the path may be one file or a folder of files.
-    feed = feeds.posts_feed(spark, f"{sf_dir}/documents.parque[t]", schema)
+    feed = feeds.posts_feed(spark, f"{sf_dir}/documents.parque[t]", TABLE_SCHEMAS["documents"])
     posts = spark.sql(POSTS_DOCUMENTS, documents=feed)
     enriched = enrich(
         posts,
