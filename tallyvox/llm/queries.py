@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyvox.llm import exact_dedup
+from tallyvox.llm import exact_dedup, sharding, url_filter
 from tallyvox.llm.common import read
+from tallyvox.session import fresh_dir
 from tallyvox.llm.sql import LLM_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +21,36 @@ def query(build: Query) -> Query:
     return build
 
 
+URL_RULES = [
+    ("block", "net/"),
+    ("allow", "example.net/en/"),
+    ("block", "example.com/de/"),
+    ("allow", "org/fr/"),
+]
+
+
+@query
+def op2_url_filter(spark, sf_dir):
+    """The verdict of the four rules on every page's URL."""
+    return url_filter.judge(read(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
+
+
+@query
+def op4_sharding(spark, sf_dir):
+    """All documents, shuffled and written as 40 shards by the law `key`."""
+    docs = read(spark, sf_dir, "documents")
+    shards = sharding.write_shards(docs, fresh_dir(spark, "shards"), shards=40, seed=7)
+    return shards.select(
+        "doc_id",
+        sharding.row_size(F.col("text")).alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        sharding.shard_of(F.col("doc_id"), 41, 7).alias("grown_shard"),
+    )
+
+
 @query
 def op5_exact_dedup(spark, sf_dir):
     """Copies of each document; the one with the largest doc_id stays."""
