@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.llm import exact_dedup, sharding, url_filter
+from tallyvox.llm import exact_dedup, sharding, simhash, url_filter
 from tallyvox.llm.common import read
 from tallyvox.session import fresh_dir
 from tallyvox.llm.sql import LLM_SQL  # noqa: F401
@@ -55,3 +55,9 @@ def op4_sharding(spark, sf_dir):
 def op5_exact_dedup(spark, sf_dir):
     """Copies of each document; the one with the largest doc_id stays."""
     return exact_dedup.group_copies(read(spark, sf_dir, "documents"), keep="largest")
+
+
+@query
+def op7_simhash(spark, sf_dir):
+    """The near-duplicate component of each document by its 64-bit SimHash."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
