@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.llm import exact_dedup, sharding, simhash, url_filter
+from tallyvox.llm import exact_dedup, sharding, simhash, toxicity, url_filter
 from tallyvox.llm.common import read
 from tallyvox.session import fresh_dir
 from tallyvox.llm.sql import LLM_SQL  # noqa: F401
@@ -21,6 +21,12 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op1_toxicity(spark, sf_dir):
+    """The toxicity score of every document."""
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 URL_RULES = [
     ("block", "net/"),
     ("allow", "example.net/en/"),
