@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tallyvox.llm.common import as_row, shuffle_partitions, stored
 
+HEAD_CHARS = 16
+
 Normalise = Callable[[Column], Column]
 
 
@@ -55,14 +57,21 @@ def group_copies(
     hot = _hot_digests(docs.select(body), share)
     id_ = F.col(f"`{key}`").alias("id")
     texts = docs.select(body, id_, *([as_row(docs)] if whole_rows else []))
-    is_hot = F.xxhash64("text").isin(hot) if hot else F.lit(False)
-    salt = F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(share // 2)) + 1).otherwise(F.lit(0))
+    # Splitters are sampled from what sorts first: the head of the text, its digest, the salt. So
+    # the sample that the driver sees stays small however long the texts are.
+    digest = F.xxhash64("text")
+    salt = F.pmod(F.xxhash64("id"), F.lit(share // 2)) + 1
+    sorts = {
+        "head": F.substring("text", 1, HEAD_CHARS),
+        "digest": digest,
+        "salt": F.when(digest.isin(hot), salt).otherwise(F.pmod(digest, F.lit(1))),
+    }
     ordered = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
-    run = Window.partitionBy("text", "salt").orderBy(ordered)
+    run = Window.partitionBy(*sorts, "text").orderBy(ordered)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = (
-        texts.withColumn("salt", salt.cast("long"))
-        .repartitionByRange("text", "salt")
+        texts.withColumns(sorts)
+        .repartitionByRange(*sorts)
         .withColumns(
             {
                 "place": F.row_number().over(run),
