@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import os
-import re
 from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,18 +32,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# Units ---------------------------------------------------------------------------------------
-#
-# A unit is a run of white space with the run of other characters after it. No pre-token of the
-# two byte-pair tokenizers spans the border between two units, and none looks back over it, so a
-# text's ids are those of its units in a row. The file separators count as white space here but
-# not in the tokenizers; texts that contain one are encoded whole.
-
-UNITS = re.compile(r"\s*\S+|\s+").findall
-SEPARATORS = re.compile("[\x1c-\x1f]").search
-MEMO_ENTRIES = 400_000
-
-
 def by_bytes(texts: Iterable[str], limit: int = 4 << 20) -> Iterator[list[str]]:
     """Consecutive texts in batches of about `limit` characters."""
     batch, size = [], 0
@@ -60,10 +45,6 @@ def by_bytes(texts: Iterable[str], limit: int = 4 << 20) -> Iterator[list[str]]:
         yield batch
 
 
-def column(batch: pa.RecordBatch, name: str) -> list:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
-
-
 def tokenizer_path(name: str) -> str:
     """Where the installed public vocabulary files are."""
     import public_tokenizers
@@ -71,11 +52,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def vocabulary(path: str) -> dict[str, int]:
-    with open(path, encoding="utf-8") as file:
-        return json.load(file)["model"]["vocab"]
-
-
 def one_thread() -> None:
     """Spark runs a task per core; the libraries' own threads would fight over them."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

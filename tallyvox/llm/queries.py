@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.llm import exact_dedup, sharding, simhash, toxicity, url_filter
-from tallyvox.llm.common import read
+from tallyvox.llm import exact_dedup, packing, sharding, simhash, tokens, toxicity, url_filter
+from tallyvox.llm.common import read, tokenizer_path
 from tallyvox.session import fresh_dir
 from tallyvox.llm.sql import LLM_SQL  # noqa: F401
 
@@ -41,6 +41,12 @@ def op2_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+@query
+def op3_token_counts(spark, sf_dir):
+    """Bytes and tokens of every document."""
+    return tokens.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 @query
 def op4_sharding(spark, sf_dir):
     """All documents, shuffled and written as 40 shards by the law `key`."""
@@ -63,6 +69,15 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.group_copies(read(spark, sf_dir, "documents"), keep="largest")
 
 
+@query
+def op6_packing(spark, sf_dir):
+    """The documents packed into sequences of at most 2048 tokens."""
+    pieces = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @query
 def op7_simhash(spark, sf_dir):
     """The near-duplicate component of each document by its 64-bit SimHash."""
