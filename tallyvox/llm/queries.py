@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.llm import exact_dedup, packing, sharding, simhash, tokens, toxicity, url_filter
+from tallyvox.llm import (
+    edit_embedding,
+    exact_dedup,
+    packing,
+    sharding,
+    simhash,
+    tokens,
+    toxicity,
+    url_filter,
+)
 from tallyvox.llm.common import read, tokenizer_path
 from tallyvox.session import fresh_dir
 from tallyvox.llm.sql import LLM_SQL  # noqa: F401
@@ -82,3 +91,9 @@ def op6_packing(spark, sf_dir):
 def op7_simhash(spark, sf_dir):
     """The near-duplicate component of each document by its 64-bit SimHash."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_edit_embedding(spark, sf_dir):
+    """Fingerprints of each document and of its edited text, and how alike they are."""
+    return edit_embedding.compare_successors(read(spark, sf_dir, "documents"))
