@@ -16,6 +16,7 @@ from tallyvox.llm import (
     tokens,
     toxicity,
     url_filter,
+    warc,
 )
 from tallyvox.llm.common import read, tokenizer_path
 from tallyvox.session import fresh_dir
@@ -97,3 +98,10 @@ def op7_simhash(spark, sf_dir):
 def op8_edit_embedding(spark, sf_dir):
     """Fingerprints of each document and of its edited text, and how alike they are."""
     return edit_embedding.compare_successors(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_warc(spark, sf_dir):
+    """The pages as WARC records in ZIP packages, read back by range."""
+    records = warc.round_trip(read(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

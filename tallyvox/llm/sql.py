@@ -36,3 +36,23 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
 """
+
+# Base32 of SHA-1: eight groups of five hex digits are four letters each.
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((g >> {shift}) & 31)::INT, 1)"
+_LETTERS = " || ".join(_LETTER.format(shift=shift) for shift in (15, 10, 5, 0))
+
+LLM_SQL["op10_warc"] = f"""
+WITH bodies AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY body) AS first_id FROM bodies
+)
+SELECT page_id,
+       strlen(body) AS payload_bytes,
+       list_aggregate(list_transform(
+         list_transform(range(0, 8), lambda i: ('0x' || substr(hex, (5 * i + 1)::INT, 5))::BIGINT),
+         lambda g: {_LETTERS}), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
