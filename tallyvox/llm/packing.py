@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvox.llm.common import by_bytes
-from tallyvox.llm.units import units
+from tallyvox.llm.units import spec, units
 
 WINDOW = 2048
 END_ID = 1
@@ -152,10 +152,10 @@ def _bytes(found) -> bytes:
 @cache
 def sentence_ends(path: str) -> np.ndarray:
     """For each id: does its token end a sentence?"""
-    spec = units(path, _bytes).spec
-    vocabulary = spec["model"]["vocab"]
-    ends = np.zeros(max([*vocabulary.values(), *(t["id"] for t in spec["added_tokens"]), END_ID]) + 1, bool)
-    suffix = spec["model"].get("end_of_word_suffix") or ""
+    model, added = spec(path)["model"], spec(path)["added_tokens"]
+    vocabulary = model["vocab"]
+    ends = np.zeros(max([*vocabulary.values(), *(t["id"] for t in added), END_ID]) + 1, bool)
+    suffix = model.get("end_of_word_suffix") or ""
     for token, number in vocabulary.items():
         ends[number] = token.endswith(tuple(mark + suffix for mark in ".!?"))
     return ends

@@ -11,6 +11,7 @@ from tallyvox.llm import (
     edit_embedding,
     exact_dedup,
     packing,
+    sentencepiece_backend,
     sharding,
     simhash,
     tokens,
@@ -100,6 +101,22 @@ def op8_edit_embedding(spark, sf_dir):
     return edit_embedding.compare_successors(read(spark, sf_dir, "documents"))
 
 
+@query
+def op9_sentencepiece(spark, sf_dir):
+    """The pieces of every document; whether they are those of the sentencepiece library, and
+    whether they give the text again."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_backend.decode(sentencepiece_backend.encode(docs, path), path)
+    return coded.select(
+        F.col("row.doc_id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+        "parity",
+        (F.col("decoded") == F.coalesce(F.col("row.text"), F.lit(""))).alias("round_trip"),
+    )
+
+
 @query
 def op10_warc(spark, sf_dir):
     """The pages as WARC records in ZIP packages, read back by range."""

@@ -48,18 +48,11 @@ def splitter(spec: dict) -> Callable[[str], list[str]] | None:
 
 
 class Units:
-    """Encode texts with the tokenizer file at `path`; `value` makes what is kept of an encoding
-    (its length, its ids)."""
+    """Encode texts by `tokenizer`, cut by `split` (None: never); `value` makes what is kept of an
+    encoding (its length, its ids)."""
 
-    def __init__(self, path: str, value: Callable):
-        one_thread()
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as file:
-            self.spec = json.load(file)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.split = splitter(self.spec)
-        self.value, self.memo = value, {}
+    def __init__(self, tokenizer, split: Callable[[str], list[str]] | None, value: Callable):
+        self.tokenizer, self.split, self.value, self.memo = tokenizer, split, value, {}
 
     def encode(self, texts: list[str]) -> list:
         """The value of each text; batches of equal size in characters."""
@@ -83,7 +76,16 @@ class Units:
         return [[both[u] for u in units] for units in cut]
 
 
+@cache
+def spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
 @cache
 def units(path: str, value: Callable) -> Units:
-    """One for each worker process and tokenizer: the memo lasts from task to task."""
-    return Units(path, value)
+    """One for each worker process and tokenizer file: the memo lasts from task to task."""
+    one_thread()
+    from tokenizers import Tokenizer
+
+    return Units(Tokenizer.from_file(path), splitter(spec(path)), value)
