@@ -68,8 +68,8 @@ class Model:
 
 
 def _buffer(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts, folded, in one array of bytes, and where each begins. Blanks between them are
-    wide enough that no run of six bytes touches two texts."""
+    """All texts, folded, in one array of bytes, and where each begins. A blank stands before and
+    six stand after a text, so that every place of it begins a run."""
     parts = [
         b" " + (t or "").lower().encode("utf-8", "replace").translate(FOLD) + b"      " for t in texts
     ]
@@ -97,12 +97,12 @@ def present(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[
     if not texts:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     codes, starts = _buffer(texts)
-    found = []
+    ends, found = np.append(starts[1:], len(codes)), []
     for first, features in _runs(codes):
         places = np.arange(len(features)) if wanted is None else np.flatnonzero(wanted[features])
-        if len(places):
-            text = np.searchsorted(starts, places + first, side="right") - 1
-            found.append(np.unique((text << HASH_BITS) | features[places]))
+        text = np.searchsorted(starts, places + first, side="right") - 1
+        whole = places + first + 6 <= ends[text]  # no run reaches into the next text
+        found.append(np.unique((text[whole] << HASH_BITS) | features[places[whole]]))
     pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
     return pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1)
 
