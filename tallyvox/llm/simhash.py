@@ -183,14 +183,14 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def group(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """(bits, component): for each distinct fingerprint in `prints` (row, bits), the smallest key
-    in its component. Equal fingerprints are one node, so copies add no link. Null keys take part
+    """(bits, node, component): for each distinct fingerprint in `prints` (row, bits), its smallest
+    key and the smallest key in its component. Equal fingerprints are one node, so copies add no link. Null keys take part
     as a key above all others."""
     id_ = F.coalesce(F.col(f"row.`{key}`").cast("long"), F.lit((1 << 63) - 1))
     nodes = stored(prints.groupBy("bits").agg(F.min(id_).alias("node")).select("node", "bits"), "nodes")
     found = components(links(nodes, distance))
     return nodes.join(found, "node", "left").select(
-        "bits", F.coalesce("component", "node").alias("component")
+        "bits", "node", F.coalesce("component", "node").alias("component")
     )
 
 
@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     table gives an empty result.
     """
     prints = stored(fingerprints(docs.select(f"`{key}`", f"`{text}`"), text), "simhash")
-    return prints.join(group(prints, key), "bits").select(
+    groups = group(prints, key).drop("node")
+    return prints.join(groups, "bits").select(
         F.col(f"row.`{key}`").alias(key),
         as_hex(F.col("bits")).alias("fingerprint"),
         F.col("component").alias("component_id"),
@@ -214,7 +215,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """The rows whose key is the smallest of their component, with the columns of the input. Where
     several rows carry that key, all of them stay."""
     prints = stored(fingerprints(docs, text), "simhash")
-    groups = group(prints, key)
     id_ = F.coalesce(F.col(f"row.`{key}`").cast("long"), F.lit((1 << 63) - 1))
-    first = groups.select("component").distinct()
-    return prints.join(first, id_ == F.col("component"), "left_semi").select("row.*")
+    first = group(prints, key).where("node = component").select("bits", "node")
+    return (
+        prints.withColumn("node", id_).join(first, ["bits", "node"], "left_semi").select("row.*")
+    )

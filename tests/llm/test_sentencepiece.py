@@ -1,0 +1,102 @@
+import random
+import struct
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from sentencepiece import SentencePieceProcessor
+
+from tallyvox.llm import sentencepiece_backend as sp
+from tallyvox.llm.common import tokenizer_path
+from tallyvox.llm.queries import LLM_QUERIES
+
+PATH = tokenizer_path("piece_bpe_32k.model")
+LIBRARY = SentencePieceProcessor(model_file=PATH)
+ODD = "a  b   c\n\n\t▁x ▁ ▁▁y <s> </s> <unk> <0x41> é ÀÉ 😀👍🏽 中文 字 ﬁ ß \x00 \x1c ‍ 12 ... !! "
+
+
+def ours(texts):
+    return [np.frombuffer(ids, "<u4").tolist() for ids in sp.backend(PATH).encode(texts)]
+
+
+def test_parsed_message():
+    with open(PATH, "rb") as file:
+        model = sp.parse_model(file.read())
+    assert len(model.pieces) == LIBRARY.vocab_size()
+    for i in (0, 1, 2, 3, 100, 300, 5000, 31999):
+        piece, score, kind = model.pieces[i]
+        assert piece == LIBRARY.id_to_piece(i) and score == pytest.approx(LIBRARY.get_score(i))
+        assert (kind == sp.UNKNOWN, kind == sp.CONTROL, kind == sp.BYTE) == (
+            LIBRARY.is_unknown(i), LIBRARY.is_control(i), LIBRARY.is_byte(i))
+    assert model.kind == sp.BPE and model.byte_fallback and model.dummy_prefix
+    assert sp.backend(PATH).by_words
+    with pytest.raises(ValueError):
+        list(sp.fields(b"\x0b"))
+
+
+def test_parity_and_round_trip(documents):
+    draw = random.Random(2)
+    texts = [t or "" for _, t in documents[:60]] + ["", " ", "  x", ODD]
+    texts += ["".join(draw.choices(ODD, k=draw.randrange(40))) for _ in range(2000)]
+    found = ours(texts)
+    assert found == [LIBRARY.encode(t) for t in texts]
+    decoded = sp.backend(PATH).decode([np.array(ids, "<u4").tobytes() for ids in found])
+    assert decoded == [t.replace("▁", " ") for t in texts]
+
+
+@given(text=st.text(max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_parity_of_any_text(text):
+    assert ours([text]) == [LIBRARY.encode(text)]
+
+
+def message(number, payload):
+    assert len(payload) < 128
+    return bytes([number << 3 | 2, len(payload)]) + payload
+
+
+def unigram_model(pieces, byte_fallback):
+    """A model message by hand: pieces with scores, a unigram trainer, no normaliser."""
+    data = b""
+    for piece, score, kind in pieces:
+        inner = message(1, piece.encode()) + b"\x15" + struct.pack("<f", score) + bytes([0x18, kind])
+        data += message(1, inner)
+    trainer = bytes([3 << 3, sp.UNIGRAM]) + (bytes([0x98, 0x02, 1]) if byte_fallback else b"")
+    normal = message(1, b"identity") + bytes([3 << 3, 1, 4 << 3, 1, 5 << 3, 1])
+    return data + message(2, trainer) + message(3, normal)
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_unigram_scores_and_byte_fallback(tmp_path, byte_fallback):
+    pieces = [("<unk>", 0.0, sp.UNKNOWN), ("<s>", 0.0, sp.CONTROL), ("</s>", 0.0, sp.CONTROL)]
+    if byte_fallback:
+        pieces += [(f"<0x{b:02X}>", -20.0, sp.BYTE) for b in range(256)]
+    pieces += [("▁", -2.0, 1), ("▁ab", -3.5, 1), ("ab", -3.0, 1), ("abc", -7.5, 1)]
+    pieces += [(c, -4.0 - i / 8, 1) for i, c in enumerate("abcde")] + [("de", -5.0, 1), ("cd", -4.5, 1)]
+    path = tmp_path / "unigram.model"
+    path.write_bytes(unigram_model(pieces, byte_fallback))
+    library = SentencePieceProcessor(model_file=str(path))
+    draw = random.Random(1)
+    texts = ["", "ab", "abc de", "  ab   cd ", "xyz", "é", "ab😀cd"]
+    texts += ["".join(draw.choices("abcde  xé", k=draw.randrange(20))) for _ in range(500)]
+    coder = sp.Backend(str(path))
+    found = [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode(texts)]
+    assert found == [library.encode(t) for t in texts]
+
+
+def test_query(spark, sf_dir, documents):
+    found = {r.doc_id: r for r in LLM_QUERIES["op9_sentencepiece"](spark, sf_dir).collect()}
+    assert len(found) == len(documents)
+    for key, text in documents:
+        assert found[key].parity and found[key].round_trip
+        assert found[key].n_tokens == len(LIBRARY.encode(text or ""))
+
+
+def test_odd_rows(odd_documents, no_documents):
+    coded = sp.encode(odd_documents, PATH)
+    found = sp.decode(coded, PATH).collect()
+    assert len(found) == odd_documents.count() and all(r.parity for r in found)
+    assert all(r.decoded == (r.row.text or "") for r in found)
+    assert {r.parity for r in sp.encode(odd_documents, PATH, verify=False).collect()} == {None}
+    assert sp.decode(sp.encode(no_documents, PATH), PATH).count() == 0

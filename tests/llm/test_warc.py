@@ -1,0 +1,117 @@
+import io
+import zipfile
+
+import pyarrow as pa
+import pytest
+
+from tallyvox.llm import warc
+from tallyvox.session import fresh_dir
+
+
+def buffer(data):
+    return pa.BufferReader(data)
+
+
+def archive(members, comment=b"", force64=False, method=zipfile.ZIP_STORED):
+    sink = io.BytesIO()
+    with zipfile.ZipFile(sink, "w", method) as z:
+        for name, data in members:
+            with z.open(name, "w", force_zip64=force64) as member:
+                member.write(data)
+        z.comment = comment
+    return sink.getvalue()
+
+
+@pytest.mark.parametrize("force64", [False, True])
+@pytest.mark.parametrize("comment", [b"", b"about", b"PK\x05\x06 a signature in the comment" * 3])
+def test_directory_is_that_of_the_library(force64, comment):
+    members = [("a/é.txt", b"hello"), ("b", b""), ("c/d", b"x" * 70_000)]
+    data = archive(members, comment, force64)
+    file = buffer(data)
+    found = warc.directory(file)
+    # The library itself is misled by a signature in a comment, so it reads the same without one.
+    with zipfile.ZipFile(io.BytesIO(archive(members, b"", force64))) as z:
+        wanted = [(i.filename, i.compress_type, i.file_size, i.compress_size, i.header_offset) for i in z.infolist()]
+    assert [tuple(m) for m in found] == wanted
+    for member, (_, content) in zip(found, members):
+        assert warc._at(file, warc.data_offset(file, member), member.size) == content
+
+
+def test_zip64_end_records():
+    """More members than the plain end record can count."""
+    data = archive([(f"m{i}", b"") for i in range(66_000)])
+    found = warc.directory(buffer(data))
+    assert len(found) == 66_000 and found[-1].name == "m65999"
+
+
+def test_zip64_offsets_beyond_four_gigabytes():
+    extra = warc.struct.pack("<HHH", 99, 2, 0) + warc.struct.pack("<HHQQ", 1, 16, 5 << 32, 6 << 32)
+    assert warc._extra64(extra, [7, warc.FULL32, warc.FULL32]) == [7, 5 << 32, 6 << 32]
+    assert warc._extra64(b"", [1, 2, 3]) == [1, 2, 3]
+
+
+def test_damaged_and_compressed_archives():
+    data = archive([("a", b"hello" * 100)])
+    with pytest.raises(ValueError):
+        warc.directory(buffer(b"no archive"))
+    with pytest.raises(ValueError):
+        warc.directory(buffer(data[:-30]))
+    packed = archive([("a", b"hello" * 100)], method=zipfile.ZIP_DEFLATED)
+    with pytest.raises(ValueError):
+        warc.data_offset(buffer(packed), warc.directory(buffer(packed))[0])
+
+
+def test_records():
+    body = "<p>é\r\n\r\n</p>".encode()
+    first = warc.parse_record(warc.warc_record(3, "http://a.com/\r\nX: y", body, None, False))
+    assert first == ("response", 3, len(body), warc.payload_digest(body), None, "http://a.com/%0D%0AX: y", body)
+    again = warc.parse_record(warc.warc_record(9, None, body, 3, True))
+    assert again == ("revisit", 9, len(body), warc.payload_digest(body), 3, None, None)
+    empty = warc.parse_record(warc.warc_record(None, None, b"", None, False))
+    assert empty.payload == b"" and empty.digest == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+    with pytest.raises(ValueError):
+        warc.parse_record(warc.warc_record(3, None, body, None, False).replace(b"<p>", b"<b>"))
+    with pytest.raises(ValueError):
+        warc.parse_record(b"HTTP/1.1 200 OK\r\n\r\n")
+
+
+def test_other_tools_read_the_packages(spark):
+    """The library's ZIP reader and a plain gunzip of the whole WARC member agree."""
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>") for i in range(50)], "page_id long, url string, html string")
+    manifest = warc.write_packages(pages.coalesce(1), fresh_dir(spark, "warc"), package_bytes=4000)
+    uris = [r.uri for r in manifest.collect()]
+    assert len(uris) > 2 and sum(r.records for r in manifest.collect()) == 50
+    seen = 0
+    for uri in uris:
+        with zipfile.ZipFile(uri.removeprefix("file://")) as z:
+            assert z.testzip() is None
+            seen += warc.gzip.decompress(z.read(warc.WARC_MEMBER)).count(b"WARC/1.1\r\n")
+            assert len(z.read(warc.INDEX_MEMBER).splitlines()) >= 1
+    assert seen == 50
+    found = warc.read_packages(manifest).collect()
+    assert {r.page_id: (r.url, bytes(r.payload).decode()) for r in found} == {
+        i: (f"http://a/{i}", f"<p>{i}</p>") for i in range(50)
+    }
+
+
+def test_odd_rows(spark):
+    rows = [(5, "u", "same"), (2, None, "same"), (9, "u", "same"), (2, None, "same"), (3, "u", None), (4, "", "")]
+    rows += [(None, "u", "same"), (None, None, None), (7, "u", "x" * 3_000_000)]
+    schema = "page_id long, url string, html string, original string, payload int"
+    pages = spark.createDataFrame([(*r, "o", 1) for r in rows], schema)
+    found = warc.round_trip(pages).collect()
+    by = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in found), key=repr)
+    wanted = [(5, 4, "revisit", 2), (9, 4, "revisit", 2), (2, 4, "response", None), (2, 4, "response", None)]
+    wanted += [(3, 0, "response", None), (4, 0, "revisit", 3), (None, 4, "revisit", 2), (None, 0, "revisit", 3)]
+    wanted += [(7, 3_000_000, "response", None)]
+    assert by == sorted(wanted, key=repr)
+    large = warc.write_packages(pages, fresh_dir(spark, "warc"), least_revisit_bytes=5)
+    assert warc.read_packages(large).where("record_type = 'revisit'").count() == 0
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_a_hot_payload(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "'u' AS url", "if(id % 3 = 1, 'hot', concat('p', id)) AS html")
+    found = warc.round_trip(pages)
+    assert found.where("record_type = 'revisit' AND refers_to = 1").count() == 999
+    assert found.where("record_type = 'response'").count() == 2001
