@@ -59,8 +59,9 @@ def title_case(text: Column) -> Column:
 
 
 def body_or_title(body: Column, title: Column) -> Column:
-    """The body unless it is null or empty; a body of white space counts as a body."""
-    return F.when(F.length(body) > 0, body).otherwise(F.coalesce(title, F.lit("")))
+    """The body unless it is null or empty; a body of white space counts as a body. A null title
+    stays null."""
+    return F.when(F.length(body) > 0, body).otherwise(title)
 
 
 def opinion_tokens(cleaned: Column) -> Column:

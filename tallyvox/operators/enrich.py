@@ -19,7 +19,7 @@ from tallyvox.operators.sentiment import SentimentModel, with_sentiment
 def enrich(
     posts: DataFrame,
     language_model: LanguageModel,
-    load_time: datetime,
+    load_time: datetime | None,
     sentiment_model: SentimentModel | None = None,
     countries: Keywords = tuple(fixed.COUNTRY_KEYWORDS),
     leaders: Keywords = tuple(fixed.LEADER_KEYWORDS),
@@ -31,11 +31,13 @@ def enrich(
 
     `scorer` replaces the built-in sentiment with any DataFrame -> DataFrame function that sets
     `sentiment_score`, for example one that uses mapInPandas. The load time is a parameter, so a
-    repeated run gives the same rows.
+    repeated run gives the same rows; with None, `last_processed` stays as it is.
     """
     kept = drop_bots(posts, strict_bots)
     scored = scorer(kept) if scorer else with_sentiment(kept, sentiment_model)
     tagged = with_entities(with_language(scored, language_model), countries, leaders, multiple)
+    if load_time is None:
+        return tagged
     return tagged.withColumn("last_processed", F.lit(load_time).cast("timestamp"))
 
 

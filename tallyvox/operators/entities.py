@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyvox import fixed_values as fixed
@@ -14,7 +17,6 @@ from tallyvox.operators.lookup import Dim
 
 # Up to this many keywords are compiled as one chain; longer lists are one constant array.
 MAX_CHAIN = 64
-MAX_COUNTRIES = 300
 
 Keywords = Sequence[tuple[str, str]]
 
@@ -112,8 +114,10 @@ def normalize_leader(name: Column, aliases: Mapping[str, str] = fixed.LEADER_ALI
 
 
 def normalize_by_table(posts: DataFrame, column: str, aliases: Dim, key: Column) -> DataFrame:
-    """As above with an alias table (columns alias, canonical) of any size."""
-    dim = aliases.join_side().select(F.col("alias").alias("_alias"), F.col("canonical"))
+    """As above with an alias table (columns alias, canonical) of any size. Of several rows for an
+    alias, the smallest name counts."""
+    unique = aliases.frame.groupBy(F.col("alias").alias("_alias")).agg(F.min("canonical").alias("canonical"))
+    dim = F.broadcast(unique) if aliases.is_small() else unique
     return (
         posts.join(dim, key == F.col("_alias"), "left")
         .withColumn(column, F.coalesce("canonical", F.col(column)))
@@ -121,40 +125,60 @@ def normalize_by_table(posts: DataFrame, column: str, aliases: Dim, key: Column)
     )
 
 
+@cache
+def iso_countries() -> tuple[tuple[str, str, str], ...]:
+    """(name, alpha-2, alpha-3) of every ISO 3166-1 country, from the locale data of the JVM; names
+    with accents also without them."""
+    locales = SparkSession.active()._jvm.java.util.Locale
+    rows = []
+    for alpha2 in locales.getISOCountries():
+        country = locales("", alpha2)
+        name, alpha3 = country.getDisplayCountry(locales.ENGLISH), country.getISO3Country()
+        rows.append((name, alpha2, alpha3))
+        plain = unicodedata.normalize("NFD", name).encode("ascii", "ignore").decode()
+        if plain != name:
+            rows.append((plain, alpha2, alpha3))
+    return tuple(rows)
+
+
+def _words(text: str) -> str:
+    return " ".join(re.findall(r"\w+", text.lower()))
+
+
 def country_iso(
     stats: DataFrame,
     column: str = "country",
     special: Mapping[str, str] = fixed.ISO_SPECIAL,
-    countries: Sequence[tuple[str, str, str]] = tuple(fixed.ISO_COUNTRIES),
+    countries: Sequence[tuple[str, str, str]] | None = None,
     max_edits: int = 1,
 ) -> DataFrame:
     """Add `iso_alpha` and drop rows without a code.
 
-    Order: special cases; exact name or code, ignoring case; earliest position inside a name;
-    nearest name within `max_edits`. Ties go to the first alpha-2 code. Meant for rows that are
-    already aggregated by country; the ISO list is compiled into the plan.
+    Order: special cases; exact name or code, ignoring case; the earliest place where the whole
+    text stands as words inside a name; for five letters or more, the nearest name within
+    `max_edits`. Ties go to the first alpha-2 code. Meant for rows that are already aggregated by
+    country; the list (default: all of ISO 3166-1) is compiled into the plan.
     """
-    if len(countries) > MAX_COUNTRIES:
-        raise ValueError("the ISO list is larger than the set of countries")
-    query = F.lower(F.col(column))
+    rows = iso_countries() if countries is None else tuple(countries)
+    query = F.lower(strip(F.col(column)))
     table = F.array(
         *[
             F.struct(
                 F.lit(name.lower()).alias("name"),
+                F.lit(f" {_words(name)} ").alias("words"),
                 F.lit(alpha2.lower()).alias("alpha2"),
                 F.lit(alpha3).alias("alpha3"),
             )
-            for name, alpha2, alpha3 in sorted(countries, key=lambda c: c[1])
+            for name, alpha2, alpha3 in sorted(rows, key=lambda c: c[1])
         ]
     )
 
     def cost(c: Column) -> Column:
         exact = (query == c["name"]) | (query == c["alpha2"]) | (query == F.lower(c["alpha3"]))
-        edits = F.levenshtein(query, c["name"], max_edits)
+        inside = F.instr(c["words"], F.concat(F.lit(" "), query, F.lit(" ")))
+        edits = F.when(F.length(query) >= 5, F.levenshtein(query, c["name"], max_edits))
         return (
-            F.when(exact, F.lit(0))
-            .when(c["name"].contains(query), F.instr(c["name"], query))
-            .when(edits >= 0, edits + 1000)
+            F.when(exact, F.lit(0)).when(inside > 0, inside).when(edits >= 0, edits + 1000)
         )
 
     best = F.array_min(
@@ -167,57 +191,58 @@ def country_iso(
         )
     )["code"]
     # The special cases are a case-sensitive alias list whose default is the lookup.
-    code = _by_alias(F.col(column), special, F.when(F.col(column) != "", best))
+    code = _by_alias(F.col(column), special, F.when(query != "", best))
     return stats.withColumn("iso_alpha", code).where(F.col("iso_alpha").isNotNull())
 
 
-def gazetteer_mentions(
-    posts: DataFrame, gazetteer: Dim, max_words: int = 5, key: str = "post_id"
-) -> DataFrame:
-    """Whole-word mentions, longest alias first, by an equi-join on the alias's first word.
+def gazetteer_mentions(posts: DataFrame, gazetteer: Dim, key: str = "post_id") -> DataFrame:
+    """Whole-word mentions, longest alias first, by an equi-join on the whole alias.
 
-    `gazetteer` has columns alias, value. Each word position of a text emits one row with the
-    next `max_words` words; the join keeps positions where an alias starts. A mention inside a
-    longer mention is dropped. Only the hits are shuffled. Returns (key, value, mentions).
+    `gazetteer` has columns alias, value; aliases have any number of words. Word positions whose
+    word starts no alias leave first; the others look up a phrase of each length that an alias
+    with that first word has. A mention inside a longer mention is dropped; several values of one
+    alias all count. Only possible starts and hits are shuffled. Returns (key, value, mentions).
     """
     aliases = (
         gazetteer.frame.select("value", word_tokens(F.col("alias")).alias("_w"))
+        .where(F.size("_w") > 0)
         .select(
             "value",
-            F.array_join("_w", " ").alias("alias"),
-            F.get("_w", F.lit(0)).alias("_first"),
+            F.array_join("_w", " ").alias("_phrase"),
+            F.get("_w", F.lit(0)).alias("_word"),
             F.size("_w").alias("_len"),
         )
-        .where(F.col("_len").between(1, max_words))
+        .distinct()
     )
+    side = F.broadcast if gazetteer.is_small() else lambda frame: frame
+    firsts = aliases.groupBy("_word").agg(F.collect_set("_len").alias("_lens"))
+    longest = aliases.agg(F.max("_len")).first()[0] or 0
     # The outer form: for the plain one, the optimizer adds a filter that splits the text again.
     texts = posts.select(key, word_tokens(F.col("text")).alias("_words"))
     positions = texts.select(key, "_words", F.posexplode_outer("_words").alias("_start", "_word"))
-    starts = F.col("_word") == F.col("_first")
-    ahead = F.slice("_words", F.col("_start") + 1, F.col("_len"))
-    if gazetteer.is_small():
-        # The row stays in its task, so its words can be looked at where an alias may start.
-        matches = F.array_join(ahead, " ") == F.col("alias")
-        found = positions.join(F.broadcast(aliases), starts & matches)
-    else:
-        # The row is shuffled by its word, so it carries the next words and not the whole text.
-        blank = F.lit(" ")
-        window = F.concat(
-            F.array_join(F.slice("_words", F.col("_start") + 1, max_words), " "), blank
-        )
-        matches = F.col("_ahead").startswith(F.concat(F.col("alias"), blank))
-        carried = positions.select(key, "_start", "_word", window.alias("_ahead"))
-        found = carried.join(aliases, starts & matches)
-    hits = found.select(key, "value", "_start", (F.col("_start") + F.col("_len")).alias("_end"))
+    # The words from here on, as many as an alias can have: never the whole text.
+    ahead = F.slice("_words", F.col("_start") + 1, longest).alias("_ahead")
+    possible = (
+        positions.select(key, "_start", "_word", ahead)
+        .join(side(firsts), "_word")
+        .select(key, "_start", "_ahead", F.explode("_lens").alias("_len"))
+        .where(F.size("_ahead") >= F.col("_len"))
+        .withColumn("_phrase", F.array_join(F.slice("_ahead", F.lit(1), F.col("_len")), " "))
+    )
+    found = possible.drop("_ahead", "_len").join(side(aliases), "_phrase")
+    hits = found.groupBy(key, "_start", (F.col("_start") + F.col("_len")).alias("_end")).agg(
+        F.collect_list("value").alias("_values")
+    )
     # One text's hits only: a longer mention starts earlier or at the same word.
     earlier = (
         Window.partitionBy(key)
-        .orderBy(F.col("_start"), F.col("_end").desc(), F.col("value"))
+        .orderBy(F.col("_start"), F.col("_end").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
         hits.withColumn("_covered", F.max("_end").over(earlier))
         .where(F.col("_covered").isNull() | (F.col("_end") > F.col("_covered")))
+        .select(key, F.explode("_values").alias("value"))
         .groupBy(key, "value")
         .agg(F.count(F.lit(1)).alias("mentions"))
     )

@@ -20,6 +20,7 @@ from tallyvox.session import fresh_dir
 
 DEFAULT_LANGUAGE = "en"
 MAX_MODEL_ROWS = 50_000
+IN_ROW_GRAMS = 1_000  # beyond, a text's words are joined with the profile
 
 
 Grams = Callable[[Column], Column]  # text to an array of words or letter groups
@@ -46,14 +47,16 @@ def train_profile(
     text: str = "text",
     lang: str = "lang",
     grams: Grams = letter_tokens,
+    counts_path: str | None = None,
 ) -> DataFrame:
     """(gram, lang, n, log_p): for each of the most frequent grams of any language, its smoothed
     log-probability in every language, `log((n + 1) / (total + distinct))`, in micro-units.
 
-    The texts are read once: their counts are written, and all later steps read the counts.
+    The texts are read once: their counts are written to `counts_path` (default: a new scratch
+    folder), and all later steps read the counts. Once the profile is stored, the counts can go.
     """
     spark = labelled.sparkSession
-    path = fresh_dir(spark, "gram-counts")
+    path = counts_path or fresh_dir(spark, "gram-counts")
     known = labelled.where(F.col(lang).isin(list(languages)))
     gram_counts(known, text, lang, grams).write.parquet(path)
     counts = spark.read.schema("lang string, gram string, n bigint").parquet(path)
@@ -130,7 +133,8 @@ def with_language(
 ) -> DataFrame:
     """Add the language inside the row: no join, no shuffle, the text stays where it is.
 
-    A hash-set test keeps the profile words of a text; each is then looked up once.
+    A hash-set test keeps the profile words of a text; each is then looked up once, and one pass
+    sums the scores of all languages. Meant for up to `IN_ROW_GRAMS` words (see `identify`).
     """
     if not model.weights:
         return posts.withColumn(into, F.lit(DEFAULT_LANGUAGE))
@@ -140,12 +144,14 @@ def with_language(
         .withColumn("_known", F.expr(f"filter(_grams, g -> g IN ({profile}))"))
         .withColumn("_at", F.expr(f"transform(_known, g -> array_position(array({profile}), g))"))
     )
-    scores = []
-    for slot in range(len(model.languages)):
-        weights = ", ".join(f"{w[slot]}L" for w in model.weights.values())
-        scores.append(
-            F.expr(f"aggregate(_at, 0L, (acc, p) -> acc + element_at(array({weights}), int(p)))")
-        )
+    slots = range(len(model.languages))
+    weights = [", ".join(f"{w[slot]}L" for w in model.weights.values()) for slot in slots]
+    zero = ", ".join(f"0L AS s{i}" for i in slots)
+    step = ", ".join(f"acc.s{i} + element_at(array({weights[i]}), int(p)) AS s{i}" for i in slots)
+    known = known.withColumn(
+        "_sums", F.expr(f"aggregate(_at, struct({zero}), (acc, p) -> struct({step}))")
+    )
+    scores = [F.col(f"_sums.s{i}") for i in slots]
     best = F.when(F.size("_known") > 0, _best(scores, model.languages))
     return known.withColumn(into, F.coalesce(best, F.lit(DEFAULT_LANGUAGE))).select(
         *posts.columns if into in posts.columns else [*posts.columns, into]
@@ -180,6 +186,24 @@ def detect_by_join(
     return sums.select(key, F.coalesce(best, F.lit(DEFAULT_LANGUAGE)).alias("message_language"))
 
 
+def identify(
+    posts: DataFrame,
+    profile: DataFrame,
+    languages: Sequence[str],
+    key: str = "post_id",
+    text: str = "text",
+    into: str = "message_language",
+    grams: Grams = letter_tokens,
+) -> DataFrame:
+    """Add the language with a profile of any size: in the row while the profile has at most
+    `IN_ROW_GRAMS` words, by join and the unique `key` beyond. Both give the same."""
+    if profile.select("gram").distinct().count() <= IN_ROW_GRAMS:
+        return with_language(posts, LanguageModel.from_profile(profile), text, into, grams)
+    found = detect_by_join(posts, profile, languages, key, text, grams)
+    found = found.withColumnRenamed("message_language", into)
+    return posts.drop(into).join(found, key, "left")
+
+
 def confusion(predicted: DataFrame, expected: str, found: str = "message_language") -> DataFrame:
     """Counts per pair of expected and found language, with the share within the expected one."""
     pairs = predicted.groupBy(expected, found).agg(F.count(F.lit(1)).alias("n"))

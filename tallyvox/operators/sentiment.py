@@ -38,7 +38,8 @@ class SentimentModel:
 
 def lexicon_from(frame: DataFrame) -> dict[str, float]:
     """Read a lexicon table (token, valence) into a model, up to the checked bound."""
-    rows = frame.select("token", "valence").limit(MAX_LEXICON + 1).collect()
+    unique = frame.groupBy("token").agg(F.max("valence").alias("valence"))
+    rows = unique.limit(MAX_LEXICON + 1).collect()
     if len(rows) > MAX_LEXICON:
         raise ValueError(f"use sentiment_by_join beyond {MAX_LEXICON} lexicon entries")
     return {row.token: float(row.valence) for row in rows}
@@ -116,12 +117,15 @@ def sentiment_by_join(
 ) -> DataFrame:
     """(key, sentiment_score) from ratings alone, for a lexicon table of any size.
 
-    Unrated tokens leave in the join's inner side; sums are formed per text before the shuffle.
+    Unrated tokens leave in the join's inner side; sums are formed per text before the shuffle. Of
+    several rows for a token, the largest rating counts.
     """
+    unique = lexicon.frame.groupBy("token").agg(F.max("valence").alias("valence"))
+    unique = F.broadcast(unique) if lexicon.is_small() else unique
     tokens = posts.select(key, opinion_tokens(clean_text(F.col(text))).alias("_t")).select(
         key, F.explode_outer("_t").alias("_t")
     )
-    rated = tokens.join(lexicon.join_side(), F.lower("_t") == F.col("token"), "left")
+    rated = tokens.join(unique, F.lower("_t") == F.col("token"), "left")
     return (
         rated.groupBy(key)
         .agg(F.sum("valence").alias("_sum"))

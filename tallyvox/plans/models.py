@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tallyvox.operators.language import LanguageModel, text_fold, train_profile
 from tallyvox.operators.sentiment import SentimentModel
 from tallyvox.plans.adapters import table
-from tallyvox.session import fresh_dir
-from tallyvox.sources.posts import spread_small
+from tallyvox.session import discard, fresh_dir
 
 LANGUAGES = ("de", "en", "es", "fr")
 PROFILE_SIZE = 100
@@ -31,6 +30,23 @@ PHRASES = [
     ("los", "ES"),
     ("uk", "GB"),
 ]
+# Names with the code they should get, by hand (None: no code).
+COUNTRY_NAMES = [
+    ("Oman", "OMN"), ("Niger", "NER"), ("Nigeria", "NGA"), ("Romania", "ROU"), ("Bolivia", "BOL"),
+    ("Ghana", "GHA"), ("Libya", "LBY"), ("Algeria", "DZA"), ("Nepal", "NPL"), ("Ecuador", "ECU"),
+    ("Mali", "MLI"), ("Man", "IMN"), ("Ira", None), ("Iran", "IRN"), ("Gemany", "DEU"), ("Atlantis", None),
+    ("korea", "PRK"), ("Lanka", "LKA"), ("USA", "USA"), ("European Union", "EUR"),
+]
+# Put before the documents' texts, in turn.
+LEADING_PHRASES = [
+    "Leaders of the Democratic People's Republic of Korea met",
+    "In Congo, Joe Biden",
+    "President Putin of Russia and Xi",
+    "",
+]
+
+TINY_LANGUAGES = LanguageModel(("de", "en"), {"click": (-9, -1), "turn": (-1, -9)})
+
 RULE_MODEL = SentimentModel(
     lexicon={
         "thing": 1.3,
@@ -53,12 +69,20 @@ RULE_MODEL = SentimentModel(
     pivot="with",
 )
 
+
+
+def with_phrases(posts: DataFrame) -> DataFrame:
+    number = F.pmod(F.col("post_id").cast("bigint"), F.lit(len(LEADING_PHRASES)))
+    phrase = F.get(F.array(*[F.lit(p) for p in LEADING_PHRASES]), number.cast("int"))
+    return posts.withColumn("text", F.concat(phrase, F.lit(" "), "text"))
+
+
 LOAD_TIME = datetime(2024, 2, 1, tzinfo=timezone.utc)
 MARK = datetime(2024, 1, 15, 12, tzinfo=timezone.utc)
 
 
 def train_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spread_small(table(spark, sf_dir, "documents").select("text", "lang"), "text")
+    documents = table(spark, sf_dir, "documents").select("text", "lang")
     return documents.where(text_fold(F.col("text")) < TRAIN_FOLDS)
 
 
@@ -66,12 +90,21 @@ def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_profile(train_documents(spark, sf_dir), LANGUAGES, PROFILE_SIZE)
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
 def saved_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The profile trained once and written, so that its users do not train it again."""
-    path = fresh_dir(spark, "profile")
-    language_profile(spark, sf_dir).write.parquet(path)
+    """The profile, trained once for each application and input and read again from then on."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _SAVED:
+        path, counts = fresh_dir(spark, "profile"), fresh_dir(spark, "gram-counts")
+        documents = train_documents(spark, sf_dir)
+        train_profile(documents, LANGUAGES, PROFILE_SIZE, counts_path=counts).write.parquet(path)
+        discard(spark, counts)
+        _SAVED[known] = path
+    path = _SAVED[known]
     return spark.read.schema("gram string, lang string, n bigint, log_p bigint").parquet(path)
 
 
 def language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
-    return LanguageModel.from_profile(language_profile(spark, sf_dir))
+    return LanguageModel.from_profile(saved_profile(spark, sf_dir))

@@ -6,7 +6,6 @@ They are written relationally and on their own, so that they check the DataFrame
 from __future__ import annotations
 
 from tallyvox import fixed_values as fixed
-from tallyvox.functions.text import CASED, TAG_PATTERN, WORD
 from tallyvox.plans import models
 from tallyvox.plans.adapters import POSTS_DOCUMENTS, POSTS_EVENTS, POSTS_THREADS
 
@@ -20,6 +19,9 @@ SPACE = (
     r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+WORD = r"\p{L}\p{N}_"
+TAG_PATTERN = r"[@#][\p{L}\p{N}_]+"
 EDGE = r"!-/:-@\[-`{-~"
 URL_PATTERN = f"http[^{SPACE}]+|www[^{SPACE}]+"
 
@@ -253,7 +255,7 @@ UPSERT = f"""
 base AS (SELECT * FROM {PE} WHERE {_NUMBER} % 3 <> 0),
 sent AS (
   SELECT * REPLACE (upvotes + 1 AS upvotes, 'changed' AS text, last_processed + INTERVAL 1 DAY AS last_processed)
-  FROM {PE} WHERE {_NUMBER} % 2 = 0
+  FROM {PE} WHERE {_NUMBER} % 2 = 0 OR {_NUMBER} % 3 = 0
   UNION ALL
   SELECT * REPLACE (upvotes + 5 AS upvotes, 'changed' AS text, last_processed + INTERVAL 2 DAY AS last_processed)
   FROM {PE} WHERE {_NUMBER} % 10 = 0),
@@ -305,7 +307,7 @@ SELECT CAST(event_id AS VARCHAR) AS post_id, {stamp('ts')} AS created_utc, event
   CAST(NULL AS INTEGER) AS num_comments, value AS sentiment_score, CAST(NULL AS VARCHAR) AS leader
 FROM events WHERE event_id % 19 <> 0"""
 
-ORACLE["scan_posts"] = "SELECT event_id, event_type, value FROM events WHERE value > 100"
+ORACLE["scan_posts"] = "SELECT event_id, event_type, value FROM events"
 
 ORACLE["load_posts"] = f"""WITH {LOADED}
 SELECT post_id, text, sentiment_score, country, leader, upvotes, {stamp('created_utc')} AS created_utc,
@@ -357,7 +359,7 @@ SELECT post_id, subreddit, {stamp('created_utc')} AS created_utc FROM {PE} WHERE
 
 ORACLE["text_fallback"] = """
 SELECT event_id, CASE WHEN event_id % 4 = 2 THEN ' ' WHEN event_id % 4 = 3 THEN event_type
-  WHEN event_id % 8 <> 0 THEN 't ' || event_type ELSE '' END AS text FROM events"""
+  WHEN event_id % 8 <> 0 THEN 't ' || event_type END AS text FROM events"""
 
 ORACLE["enrich_posts"] = _enriched(PD, "*")
 ORACLE["stream_enrich"] = ORACLE["enrich_posts"]
@@ -398,8 +400,9 @@ ORACLE["country_iso"] = f"""WITH {COUNTRIES}, {STATS},
 costs AS (
   SELECT entity, alpha2, alpha3, CASE
     WHEN lower(entity) IN (name, alpha2, lower(alpha3)) THEN 0
-    WHEN contains(name, lower(entity)) THEN instr(name, lower(entity))
-    WHEN levenshtein(lower(entity), name) <= 1 THEN 1000 + levenshtein(lower(entity), name) END AS cost
+    WHEN contains(' ' || name || ' ', ' ' || lower(entity) || ' ')
+      THEN instr(' ' || name || ' ', ' ' || lower(entity) || ' ')
+    WHEN length(entity) >= 5 AND levenshtein(lower(entity), name) <= 1 THEN 1000 + levenshtein(lower(entity), name) END AS cost
   FROM stats CROSS JOIN {values(_ISO, 'i', 'name', 'alpha2', 'alpha3')}),
 codes AS (SELECT entity, arg_min(alpha3, (cost, alpha2)) AS code FROM costs WHERE cost IS NOT NULL GROUP BY entity),
 coded AS (SELECT s.*, coalesce(x.code, c.code) AS iso_alpha FROM stats s
@@ -466,7 +469,8 @@ SELECT count(*) FILTER (parent_post_id IS NULL) AS posts,
 ORACLE["source_counts"] = f"""
 SELECT subreddit, count(*) AS retrieved, count(*) FILTER (created_utc > {MARK}) AS new_posts
 FROM {PE} GROUP BY subreddit"""
-ORACLE["stream_clean_source"] = ORACLE["source_counts"]
+ORACLE["stream_clean_source"] = f"""
+SELECT *, true AS some_archived, true AS none_lost FROM ({ORACLE["source_counts"]}) c"""
 
 
 def _top(order: str) -> str:
@@ -553,3 +557,52 @@ SELECT post_id, CAST(slice AS BIGINT) AS batch_id, coalesce(created_utc <= mark,
 FROM arrived JOIN marks USING (slice)"""
 ORACLE["stream_upsert"] = MERGED_VIEW
 ORACLE["stream_restart"] = MERGED_VIEW
+ORACLE["stream_resume"] = MERGED_VIEW
+ORACLE["stream_collect"] = """
+SELECT CAST(event_id AS VARCHAR) AS post_id, 'user_' || user_id AS author, event_type AS text,
+  event_type AS subreddit, CAST(floor(value) AS INTEGER) AS upvotes, 0 AS num_comments,
+  CAST(NULL AS VARCHAR) AS parent_post_id, CAST(0 AS DOUBLE) AS sentiment_score,
+  'en' AS message_language, true AS processed
+FROM events WHERE event_id % 17 <> 0
+UNION ALL
+SELECT conv_id || '-' || turn, role, 'turn ' || turn, 'talk', CAST(turn AS INTEGER), 0,
+  CAST(conv_id % 8 AS VARCHAR), CAST(0 AS DOUBLE), 'de', true
+FROM conversations WHERE turn > 0"""
+
+_PAGE = "CAST(floor(event_id / 100) AS BIGINT)"
+ORACLE["rejected_rows"] = f"""
+WITH found AS (
+  SELECT DISTINCT 'listing' AS input, event_type AS source, 'unreadable' AS reason, {_PAGE} AS item
+  FROM events WHERE {_PAGE} % 7 = 3
+  UNION ALL SELECT 'listing', event_type, CASE WHEN event_id % 19 = 0 THEN 'no id' ELSE 'no time' END, event_id
+  FROM events WHERE {_PAGE} % 7 <> 3 AND (event_id % 19 = 0 OR event_id % 23 = 0)
+  UNION ALL SELECT 'rows', event_type, CASE WHEN event_id % 29 = 0 THEN 'no id' ELSE 'no time' END, event_id
+  FROM events WHERE event_id % 29 = 0 OR event_id % 31 = 0)
+SELECT input, source, reason, count(*) AS rejected FROM found GROUP BY ALL"""
+
+_NAMED = values([(i, n, c) for i, (n, c) in enumerate(models.COUNTRY_NAMES)], "k", "i", "country", "iso_alpha")
+ORACLE["country_names_iso"] = f"""
+SELECT country, iso_alpha, count(*) AS posts FROM documents JOIN {_NAMED}
+  ON i = doc_id % {len(models.COUNTRY_NAMES)} WHERE iso_alpha IS NOT NULL GROUP BY country, iso_alpha"""
+
+_ALIASES = [(a, code) for name, code, others in fixed.COUNTRY_GAZETTEER for a in [name, *others]]
+_ALIASES += [(a, name) for name, others in fixed.LEADER_GAZETTEER for a in [name, *others]]
+_ALIASES += [("congo", "COD"), ("congo", "COG")]
+
+
+def _split(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({x}), '[^{WORD}]+'), lambda w: w <> '')"
+
+
+_TURN = " ".join(f"WHEN {i} THEN {q(p)}" for i, p in enumerate(models.LEADING_PHRASES))
+ORACLE["gazetteer_full"] = f"""
+WITH aliases AS (SELECT DISTINCT {_split('alias')} AS ws, value FROM {values(_ALIASES, 'g', 'alias', 'value')}),
+texts AS (SELECT post_id, CASE CAST(post_id AS BIGINT) % {len(models.LEADING_PHRASES)} {_TURN} END || ' ' || text AS t
+  FROM {PD}),
+lists AS (SELECT post_id, {_split('t')} AS ws FROM texts),
+places AS (SELECT post_id, ws, unnest(ws) AS w, generate_subscripts(ws, 1) AS s FROM lists),
+hits AS (SELECT post_id, s, s + len(a.ws) - 1 AS e, value
+  FROM places p JOIN aliases a ON p.w = a.ws[1] AND p.ws[s:s + len(a.ws) - 1] = a.ws)
+SELECT post_id, value, count(*) AS mentions FROM hits h WHERE NOT EXISTS (
+  SELECT 1 FROM hits o WHERE o.post_id = h.post_id AND o.s <= h.s AND o.e >= h.e AND o.e - o.s > h.e - h.s)
+GROUP BY post_id, value"""

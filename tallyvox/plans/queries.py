@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.fixed_values import LEADER_ALIASES, LEXICON
+from tallyvox.fixed_values import COUNTRY_GAZETTEER, LEADER_ALIASES, LEADER_GAZETTEER, LEXICON
 from tallyvox.functions import scores, text, times
 from tallyvox.operators import entities, language, merge, quality, ranking, sentiment, threads
 from tallyvox.operators.enrich import analysis_struct, enrich
@@ -20,7 +20,7 @@ from tallyvox.plans.adapters import (
     posts_threads,
     table,
 )
-from tallyvox.schema import with_post_schema
+from tallyvox.schema import typed_rejects, with_post_schema
 from tallyvox.session import fresh_dir
 from tallyvox.sources import landed, lookups, posts as post_table
 
@@ -49,7 +49,7 @@ def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as posts, for queries whose cost is the work on the text."""
-    return post_table.spread_small(posts_documents(spark, sf_dir), "post_id")
+    return posts_documents(spark, sf_dir)
 
 
 # --- sources and sinks ---------------------------------------------------------------------
@@ -132,6 +132,41 @@ def parse_comments(spark, sf_dir):
     )
 
 
+@query
+def rejected_rows(spark, sf_dir):
+    """Broken pages, nodes without an id or a time, and typed rows without them, counted."""
+    e = table(spark, sf_dir, "events")
+    n, page = F.col("event_id"), F.floor(F.col("event_id") / PAGE_SIZE)
+    data = F.to_json(
+        F.struct(
+            F.when(n % 19 != 0, n.cast("string")).alias("id"),
+            F.when(n % 23 != 0, n.cast("string")).otherwise(F.lit("soon")).alias("created_utc"),
+        )
+    )
+    node = F.concat(F.lit('{"kind":"t3","data":'), data, F.lit("}"))
+    pages = (
+        e.select(F.col("event_type").alias("subreddit"), page.alias("page"), node.alias("node"))
+        .groupBy("subreddit", "page")
+        .agg(F.array_join(F.collect_list("node"), ",").alias("nodes"))
+        .select(
+            "subreddit",
+            F.concat(
+                F.lit('{"data":{"children":['), "nodes", F.when(F.col("page") % 7 == 3, "").otherwise("]}}")
+            ).alias("listing"),
+        )
+    )
+    rows = e.select(
+        F.when(n % 29 != 0, n.cast("string")).alias("post_id"),
+        F.when(n % 31 != 0, F.col("ts").cast("string")).otherwise(F.lit("soon")).alias("created_utc"),
+        F.col("event_type").alias("source"),
+    )
+    landed_rows = landed.listing_rejects(pages).select("source", "reason", F.lit("listing").alias("input"))
+    typed_rows = typed_rejects(rows).select("source", "reason", F.lit("rows").alias("input"))
+    return landed_rows.union(typed_rows).groupBy("input", "source", "reason").agg(
+        F.count(F.lit(1)).alias("rejected")
+    )
+
+
 @query
 def typed_posts(spark, sf_dir):
     """Rows of text fields to the post schema; bad numbers become null, bad times drop the row."""
@@ -154,7 +189,7 @@ def scan_posts(spark, sf_dir):
     frame = post_table.scan_posts(
         spark, f"{sf_dir}/events.parquet", "event_id", "event_type", "value", schema=TABLE_SCHEMAS["events"]
     )
-    return frame.where("value > 100")
+    return frame
 
 
 @query
@@ -214,7 +249,7 @@ def _upsert_pair(spark, sf_dir):
             }
         )
 
-    updates = copies(posts.where(number % 2 == 0), 1, 1)
+    updates = copies(posts.where((number % 2 == 0) | (number % 3 == 0)), 1, 1)
     repeated = copies(posts.where(number % 10 == 0), 5, 2)
     return base, updates.unionByName(repeated)
 
@@ -240,7 +275,8 @@ def transfer_batch(spark, sf_dir):
     merge.publish_snapshot(base, root, 0)
     post_table.append_posts(updates, staged)
     batch = post_table.scan_posts(spark, staged)
-    merge.publish_snapshot(merge.upsert(merge.read_snapshot(spark, root), batch), root, 1)
+    merge.transfer(batch, root, 0)
+    merge.transfer(batch, root, 0)  # a repeated transfer changes nothing
     return _merged_view(merge.read_snapshot(spark, root))
 
 
@@ -398,6 +434,33 @@ def gazetteer_ngram_join(spark, sf_dir):
     return entities.gazetteer_mentions(texts(spark, sf_dir), gazetteer)
 
 
+@query
+def gazetteer_full(spark, sf_dir):
+    """All aliases of the gazetteers, in the documents' texts with a phrase put before each."""
+    aliases = [
+        (alias, value)
+        for name, code, others in COUNTRY_GAZETTEER
+        for alias, value in [(alias, code) for alias in [name, *others]]
+    ]
+    aliases += [(alias, name) for name, others in LEADER_GAZETTEER for alias in [name, *others]]
+    aliases.append(("congo", "COD"))
+    aliases.append(("congo", "COG"))
+    gazetteer = Dim.inline(spark, aliases, ["alias", "value"])
+    return entities.gazetteer_mentions(models.with_phrases(texts(spark, sf_dir)), gazetteer)
+
+
+@query
+def country_names_iso(spark, sf_dir):
+    """Codes of names that are part of others, misspelt, or in no short list."""
+    number = F.col("post_id").cast("bigint")
+    names = F.array(*[F.lit(name) for name, _ in models.COUNTRY_NAMES])
+    named = posts_documents(spark, sf_dir).select(
+        F.get(names, F.pmod(number, F.lit(len(models.COUNTRY_NAMES))).cast("int")).alias("country")
+    )
+    counted = named.groupBy("country").agg(F.count(F.lit(1)).alias("posts"))
+    return entities.country_iso(counted).select("country", "iso_alpha", "posts")
+
+
 @query
 def country_iso(spark, sf_dir):
     coded = entities.country_iso(reports.country_stats(loaded(spark, sf_dir)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyvox.operators.enrich import enrich
-from tallyvox.operators.merge import read_current, write_log_batch
+from tallyvox.operators.merge import compact, publish_snapshot, read_current, write_log_batch
 from tallyvox.plans import models, reports
 from tallyvox.plans.adapters import POSTS_DOCUMENTS, TABLE_SCHEMAS, posts_events, table
 from tallyvox.plans.queries import Query, _merged_view, _upsert_pair, six, stamp
@@ -24,6 +24,7 @@ from tallyvox.session import fresh_dir, pin_utc
 from tallyvox.sources.landed import cursor_token, read_listings
 from tallyvox.sources.posts import load_posts
 from tallyvox.streaming import feeds, sinks
+from tallyvox.streaming.collector import collect
 
 STREAM_QUERIES: dict[str, Query] = {}
 
@@ -147,15 +148,75 @@ def stream_dedupe(spark, sf_dir):
 
 @stream_query
 def stream_upsert(spark, sf_dir):
+    """A stream that starts on a published snapshot: half of the base is there before it."""
     landing, root, checkpoint = (fresh_dir(spark, n) for n in ("landing", "table", "checkpoint"))
+    base, updates = _upsert_pair(spark, sf_dir)
+    half = F.col("post_id").cast("bigint") % 4 < 2
+    publish_snapshot(base.where(half), root, 0)
 
     def start():
         return sinks.upsert_sink(_posts_feed(spark, landing), root, checkpoint)
 
-    land(_upsert_pair(spark, sf_dir), landing, start)
+    land([base.where(~half), updates], landing, start)
     return _merged_view(read_current(spark, root))
 
 
+@stream_query
+def stream_resume(spark, sf_dir):
+    """The stream goes on with a new checkpoint, whose batches count from 0 again; the log is
+    folded in between."""
+    root = fresh_dir(spark, "table")
+    for piece in _upsert_pair(spark, sf_dir):
+        landing, checkpoint = fresh_dir(spark, "landing"), fresh_dir(spark, "checkpoint")
+        piece.write.parquet(landing)
+        sinks.upsert_sink(_posts_feed(spark, landing), root, checkpoint).awaitTermination()
+        compact(spark, root)
+    return _merged_view(read_current(spark, root))
+
+
+@stream_query
+def stream_collect(spark, sf_dir):
+    """The whole job: landed listings and replies, a few files at a time, to the keyed table."""
+    landing, root, checkpoint = (fresh_dir(spark, n) for n in ("landing", "table", "checkpoint"))
+    n = F.col("event_id")
+    author = F.when(n % 17 == 0, "AutoModerator").otherwise(F.concat(F.lit("user_"), "user_id"))
+    data = F.struct(
+        n.cast("string").alias("id"),
+        author.alias("author"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("created_utc"),
+        F.col("event_type").alias("title"),
+        F.floor("value").cast("int").alias("score"),
+    )
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("subreddit"),
+        F.struct(F.array(F.struct(F.lit("t3").alias("kind"), data.alias("data"))).alias("children")).alias("data"),
+    )
+    events.repartition(6, "data").write.partitionBy("subreddit").json(f"{landing}/listings")
+    comment = F.struct(
+        F.concat_ws("-", "conv_id", "turn").alias("id"),
+        F.col("role").alias("author"),
+        (F.lit(1_700_000_000) + F.col("turn")).cast("double").alias("created_utc"),
+        F.concat(F.lit("turn "), "turn").alias("body"),
+        F.lit("talk").alias("subreddit"),
+        F.col("turn").alias("score"),
+    )
+    part = F.struct(F.array(F.struct(F.lit("t1").alias("kind"), comment.alias("data"))).alias("children"))
+    empty = F.lit('{"data":{"children":[]}}')
+    replies = table(spark, sf_dir, "conversations").where("turn > 0").select(
+        F.pmod("conv_id", F.lit(8)).cast("string").alias("post_id"),
+        F.concat(F.lit("["), empty, F.lit(","), F.to_json(F.struct(part.alias("data"))), F.lit("]")).alias("value"),
+    )
+    replies.write.partitionBy("post_id").text(f"{landing}/replies")
+    job = collect(
+        spark, landing, root, checkpoint, models.TINY_LANGUAGES, interval=None, files_per_batch=16, compact_every=3
+    )
+    job.awaitTermination()
+    return read_current(spark, root).select(
+        "post_id", "author", "text", "subreddit", "upvotes", "num_comments", "parent_post_id",
+        "sentiment_score", "message_language", F.col("last_processed").isNotNull().alias("processed"),
+    )
+
+
 @stream_query
 def stream_restart(spark, sf_dir):
     """A batch fails after its write; the restarted stream repeats it without loss or doubles."""
@@ -226,4 +287,9 @@ def stream_clean_source(spark, sf_dir):
         ).json(landing)
         start().awaitTermination()
     posts = spark.read.schema(POST_SCHEMA).parquet(out)
-    return reports.source_counts(posts, models.MARK)
+    # Spark archives the files of a batch when the next one has begun: all but those of the last.
+    archived = spark.read.option("recursiveFileLookup", True).text(archive).count()
+    left = spark.read.option("recursiveFileLookup", True).text(landing).count()
+    return reports.source_counts(posts, models.MARK).withColumns(
+        {"some_archived": F.lit(archived > 0), "none_lost": F.lit(archived + left == events.count())}
+    )

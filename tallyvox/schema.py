@@ -69,8 +69,23 @@ def typed_posts(rows: DataFrame) -> DataFrame:
     return rows.select(*[typed(f) for f in POST_SCHEMA.fields])
 
 
+def typed_rejects(rows: DataFrame) -> DataFrame:
+    """The rows that `with_post_schema` drops, as they came, with the reason."""
+    typed = {f.name: f for f in POST_SCHEMA.fields}
+
+    def missing(name: str) -> Column:
+        kind = typed[name].dataType
+        if name not in rows.columns:
+            return F.lit(True)
+        same = rows.schema[name].dataType == kind
+        return (F.col(name) if same else F.col(name).try_cast(kind)).isNull()
+
+    reason = F.when(missing("post_id"), "no id").when(missing("created_utc"), "no time")
+    return rows.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
 def with_post_schema(posts: DataFrame) -> DataFrame:
-    """`typed_posts`, without the rows that break the two NOT NULL columns."""
+    """`typed_posts`, without the rows that break the two NOT NULL columns (`typed_rejects`)."""
     return typed_posts(posts).where(
         F.col("post_id").isNotNull() & F.col("created_utc").isNotNull()
     )

@@ -14,6 +14,8 @@ def build_session(app: str = "tallyvox", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Checkpoints (of ranks) go when the frames that read them are gone.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Recording the call site of every column costs more than building the plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config(
@@ -50,3 +52,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new, never reused folder below the shared root."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

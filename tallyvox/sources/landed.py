@@ -37,7 +37,8 @@ def parse_listing(
 ) -> DataFrame:
     """Post rows from listing pages; `listing` is JSON text or already of LISTING_SCHEMA.
 
-    Nodes without an id or a creation time cannot be keyed and are left out.
+    Nodes without an id or a creation time cannot be keyed and are left out; `listing_rejects`
+    returns them, and the pages that cannot be read.
     """
     listing = F.col(listing) if isinstance(listing, str) else listing
     source = F.col(source) if isinstance(source, str) else source
@@ -62,6 +63,35 @@ def parse_listing(
     ).where(F.col("post_id").isNotNull() & F.col("created_utc").isNotNull())
 
 
+def _rejects(pages: DataFrame, raw: Column, source: Column, parsed: Column, kind: str | None) -> DataFrame:
+    node = F.explode_outer(parsed["data"]["children"]).alias("_n")
+    rows = pages.select(source.alias("source"), raw.alias("_raw"), parsed["data"]["children"].isNull().alias("_broken"), node)
+    data = F.col("_n")["data"]
+    mine = F.col("_n")["kind"] == kind if kind else F.col("_n").isNotNull()
+    reason = (
+        F.when(F.col("_broken"), "unreadable")
+        .when(mine & data["id"].isNull(), "no id")
+        .when(mine & epoch_to_ts(data["created_utc"].try_cast("double")).isNull(), "no time")
+    )
+    content = F.when(F.col("_broken"), F.col("_raw")).otherwise(F.to_json(data))
+    return rows.select("source", reason.alias("reason"), content.alias("content")).where("reason IS NOT NULL")
+
+
+def listing_rejects(pages: DataFrame, listing: str = "listing", source: str = "subreddit") -> DataFrame:
+    """What `parse_listing` leaves out of JSON text: (source, reason, content). `unreadable` pages
+    (broken JSON, or no list of nodes) come whole, nodes with `no id` or `no time` one by one."""
+    return _rejects(pages, F.col(listing), F.col(source), F.from_json(listing, LISTING_SCHEMA), None)
+
+
+def reply_rejects(replies: DataFrame, reply: str = "reply", post_id: str = "post_id") -> DataFrame:
+    """What `parse_comments` leaves out of JSON text, other than nodes that are no comments and
+    replies without a second part."""
+    whole = F.from_json(reply, REPLY_SCHEMA)
+    none = F.from_json(F.lit('{"data":{"children":[]}}'), LISTING_SCHEMA)
+    second = F.when(F.size(whole) > 1, F.get(whole, F.lit(1))).when(whole.isNotNull(), none)
+    return _rejects(replies, F.col(reply), F.col(post_id), second, COMMENT_KIND)
+
+
 def parse_comments(
     replies: DataFrame, reply: Column | str = "reply", post_id: Column | str = "post_id"
 ) -> DataFrame:

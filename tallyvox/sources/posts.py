@@ -60,11 +60,3 @@ def load_posts(posts: DataFrame) -> DataFrame:
         )
     )
 
-
-def spread_small(frame: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a table whose files split into fewer parts than there are
-    cores, before costly work on its texts. A large table has parts enough and stays as it is."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.rdd.getNumPartitions() >= cores:
-        return frame
-    return frame.repartition(cores, key)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,7 +11,7 @@ from tallyvox.operators.language import LanguageModel
 from tallyvox.operators.merge import compact, write_log_batch
 from tallyvox.operators.quality import is_bot
 from tallyvox.sources.landed import read_listings, read_replies
-from tallyvox.streaming.sinks import run_batches
+from tallyvox.streaming.sinks import run_batches, stream_name
 
 
 def landed_posts(spark: SparkSession, landing: str, **options: str) -> DataFrame:
@@ -40,10 +38,12 @@ def collect(
     files it has not committed, so no post is lost and none is counted twice. A cycle without
     new files is a success that writes nothing. The counts of each batch are in the query's
     progress under `observedMetrics`, at no extra job. With `compact_every`, each n-th batch
-    folds the change log into a new snapshot, which keeps later reads short.
+    folds the change log into the days it touches, which keeps later reads short.
     """
     bot = is_bot(F.col("author"), enrich_options.get("strict_bots", False))
-    items = landed_posts(spark, landing, maxFilesPerTrigger=str(files_per_batch)).observe(
+    items = landed_posts(spark, landing, maxFilesPerTrigger=str(files_per_batch))
+    # In a streaming plan the time is that of the batch, from the offset log: a repeat keeps it.
+    items = items.withColumn("last_processed", F.current_timestamp()).observe(
         "batch",
         F.count(F.lit(1)).alias("items"),
         F.count_if(F.col("parent_post_id").isNull()).alias("posts"),
@@ -52,8 +52,8 @@ def collect(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        enriched = enrich(batch, language_model, load_time=datetime.now(timezone.utc), **enrich_options)
-        write_log_batch(enriched, table, batch_id)
+        enriched = enrich(batch, language_model, load_time=None, **enrich_options)
+        write_log_batch(enriched, table, batch_id, stream_name(batch.sparkSession, checkpoint))
         if compact_every and (batch_id + 1) % compact_every == 0:
             compact(batch.sparkSession, table)
 

@@ -3,8 +3,8 @@ replaces what its first attempt left behind."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,21 +15,10 @@ from tallyvox.operators.merge import write_log_batch
 ONCE = {"availableNow": True}
 
 
-@contextmanager
-def state_partitions(spark: SparkSession):
-    """Start a stream with no more state partitions than there are cores.
-
-    A stream keeps the number of its first start; every batch opens each state partition, so
-    on a small machine the session's default would cost more than the work. On a cluster with
-    more cores than the session's number, that number holds.
-    """
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave the query of this checkpoint: a new checkpoint is a new stream, wherever
+    it lies. Known once the query has started."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
 
 
 def run_batches(
@@ -39,29 +28,29 @@ def run_batches(
     mode: str = "append",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    with state_partitions(stream.sparkSession):
-        return (
-            stream.writeStream.foreachBatch(write)
-            .outputMode(mode)
-            .option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or ONCE))
-            .start()
-        )
+    """Start the query. Its state has as many partitions as the session's
+    `spark.sql.shuffle.partitions` says at the first start; the checkpoint keeps that number."""
+    return (
+        stream.writeStream.foreachBatch(write)
+        .outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or ONCE))
+        .start()
+    )
 
 
 def append_sink(
     stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Parquet files with the file sink's own commit log: each row once."""
-    with state_partitions(stream.sparkSession):
-        return (
-            stream.writeStream.format("parquet")
-            .option("path", path)
-            .option("checkpointLocation", checkpoint)
-            .outputMode("append")
-            .trigger(**(trigger or ONCE))
-            .start()
-        )
+    return (
+        stream.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(**(trigger or ONCE))
+        .start()
+    )
 
 
 def upsert_sink(
@@ -70,7 +59,7 @@ def upsert_sink(
     """Add each batch to the table's change log; cost follows the batch, not the table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_log_batch(batch, table, batch_id)
+        write_log_batch(batch, table, batch_id, stream_name(batch.sparkSession, checkpoint))
 
     return run_batches(stream, write, checkpoint, trigger=trigger)
 

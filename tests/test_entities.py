@@ -94,6 +94,29 @@ def test_explode_list(spark):
     assert [(r.i, r.x) for r in found] == [(1, "US"), (1, "uk"), (2, "EU"), (2, "UAE")]
 
 
+def test_country_iso_names(spark):
+    wanted = {
+        "Oman": "OMN", "Niger": "NER", "Nigeria": "NGA", "Romania": "ROU", "Bolivia": "BOL", "Ghana": "GHA",
+        "Libya": "LBY", "Algeria": "DZA", "Nepal": "NPL", "Ecuador": "ECU", "Mali": "MLI", "Cote d'Ivoire": "CIV",
+        "Turkey": "TUR", "lanka": "LKA", "Chad": "TCD", "Chat": None, "Ira": None, "ira": None, "Bolivie": "BOL",
+    }
+    rows = spark.createDataFrame([(n,) for n in wanted], "country string")
+    found = {r.country: r.iso_alpha for r in entities.country_iso(rows).collect()}
+    assert found == {n: c for n, c in wanted.items() if c}
+    codes = {c for _, _, c in entities.iso_countries()}
+    assert len(codes) > 240 and {"COD", "COG", "BOL", "LBY"} <= codes
+    short = entities.country_iso(rows, countries=[("Ghana", "GH", "GHA")]).collect()
+    assert [r.country for r in short] == ["Ghana"]
+
+
+def test_repeated_aliases_do_not_repeat_rows(spark):
+    aliases = spark.createDataFrame([("x", "One"), ("x", "Two"), ("x", "One")], "alias string, canonical string")
+    rows = spark.createDataFrame([("x",), ("y",)], "name string")
+    for dim in (Dim(aliases), Dim(aliases, 10**9)):
+        found = entities.normalize_by_table(rows, "name", dim, F.col("name")).collect()
+        assert sorted(r.name for r in found) == ["One", "y"]
+
+
 def test_country_iso(spark):
     names = ["USA", "European Union", "Ru", "Japan", "North Korea", "Gemany", "Korea", "Atlantis", ""]
     rows = spark.createDataFrame([(n,) for n in names], "country string")
@@ -155,6 +178,17 @@ def test_gazetteer_mentions(spark):
         assert {(r.post_id, r.value, r.mentions) for r in found} == expected
 
 
+def test_long_and_shared_aliases(spark):
+    aliases = [("Democratic People's Republic of Korea", "KP"), ("Republic of Korea", "KR"), ("Korea", "K")]
+    aliases += [("congo", "COD"), ("Congo", "COG"), ("congo", "COG"), ("!!", "none")]
+    aliases += [(f"the {i}", f"T{i}") for i in range(200)]
+    values = ["Leaders of the Democratic People's Republic of Korea met", "congo Congo", "the 5 the 7 the 5 " * 300]
+    frame = spark.createDataFrame(aliases, "alias string, value string")
+    for dim in (Dim(frame, 10), Dim(frame, 10**9)):
+        found = {(r.post_id, r.value): r.mentions for r in entities.gazetteer_mentions(texts(spark, *values), dim).collect()}
+        assert found == {("0", "KP"): 1, ("1", "COD"): 2, ("1", "COG"): 2, ("2", "T5"): 600, ("2", "T7"): 300}
+
+
 def test_flatten_last_entry_wins(spark):
     entries = spark.createDataFrame(
         [(1, "A", "x", ["B", "C"]), (2, "b", "y", None)],

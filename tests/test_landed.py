@@ -2,9 +2,9 @@ import json
 from datetime import datetime
 
 from tallyvox.operators.threads import newer_than
-from tallyvox.schema import POST_SCHEMA
+from tallyvox.schema import POST_SCHEMA, typed_rejects, with_post_schema
 from tallyvox.sources import landed
-from tallyvox.sources.posts import append_posts, create_if_absent, load_posts, scan_posts, spread_small
+from tallyvox.sources.posts import append_posts, create_if_absent, load_posts, scan_posts
 from tallyvox.session import fresh_dir
 from tests.test_quality import post
 
@@ -94,8 +94,33 @@ def test_newer_than_skips_day_folders(spark):
     assert "PartitionFilters: [isnotnull(created_date" in scan
 
 
-def test_spread_only_small(spark):
-    few = spark.range(0, 10, 1, 1)
-    many = spark.range(0, 10, 1, 64)
-    assert spread_small(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread_small(many, "id") is many
+def test_rejects_are_what_parsing_leaves_out(spark):
+    good = '{"kind":"t3","data":{"id":"a","created_utc":5}}'
+    bad = ['{"kind":"t3","data":{"id":null,"created_utc":5}}', '{"kind":"t3","data":{"id":"b","created_utc":"x"}}']
+    pages = [f'{{"data":{{"children":[{",".join([good, *bad])}]}}}}', '{"data":{"children":[' + good, "no json", None]
+    frame = spark.createDataFrame([(p, "s") for p in pages], "listing string, subreddit string")
+    found = landed.listing_rejects(frame).collect()
+    reasons = sorted(r.reason for r in found)
+    assert reasons == ["no id", "no time", "unreadable", "unreadable", "unreadable"]
+    assert {r.content for r in found if r.reason == "unreadable"} == set(pages[1:])
+    assert [r.post_id for r in landed.parse_listing(frame).collect()] == ["a"]
+    comment = '{"kind":"t1","data":{"id":"c","created_utc":5}}'
+    more = '{"kind":"more","data":{"id":null}}'
+    lost = '{"kind":"t1","data":{"created_utc":5}}'
+    empty = '{"data":{"children":[]}}'
+    replies = [f'[{empty},{{"data":{{"children":[{comment},{more},{lost}]}}}}]', f"[{empty}]", "[broken"]
+    frame = spark.createDataFrame([(r, "p") for r in replies], "reply string, post_id string")
+    assert sorted(r.reason for r in landed.reply_rejects(frame).collect()) == ["no id", "unreadable"]
+
+
+def test_typed_rejects(spark):
+    rows = spark.createDataFrame([("a", "2024-01-01", 1), ("b", "soon", 2), (None, "2024-01-01", 3)], "post_id string, created_utc string, x int")
+    found = {(r.x, r.reason) for r in typed_rejects(rows).collect()}
+    assert found == {(2, "no time"), (3, "no id")}
+    assert with_post_schema(rows).count() == 1
+
+
+def test_a_null_title_stays_null(spark):
+    nodes = '{"kind":"t3","data":{"id":"a","created_utc":5,"title":null}},{"kind":"t3","data":{"id":"b","created_utc":5}}'
+    frame = spark.createDataFrame([(f'{{"data":{{"children":[{nodes}]}}}}', "s")], "listing string, subreddit string")
+    assert {r.post_id: r.text for r in landed.parse_listing(frame).collect()} == {"a": None, "b": ""}

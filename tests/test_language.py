@@ -75,3 +75,27 @@ def test_letter_groups(spark):
     assert [r.message_language for r in found] == ["en", "de"]
     joined = language.detect_by_join(posts, profile, ["de", "en"], grams=letter_trigrams).collect()
     assert {r.post_id: r.message_language for r in joined} == {"1": "en", "2": "de"}
+
+
+def test_large_profiles_take_the_join(spark, monkeypatch):
+    posts = spark.createDataFrame([(str(i), t) for i, t in enumerate(TESTS)], "post_id string, text string")
+    small = language.identify(posts, trained(spark), ["de", "en"])
+    monkeypatch.setattr(language, "IN_ROW_GRAMS", 0)
+    large = language.identify(posts, trained(spark), ["de", "en"])
+    assert "Join" in large._jdf.queryExecution().executedPlan().toString()
+    assert sorted(small.collect()) == sorted(large.collect())
+
+
+def test_profile_above_the_map_side_limit(spark):
+    """More than 1,000 words per language: a third of all counts in one language."""
+    names = ["".join(chr(97 + int(d)) for d in f"{i:04d}") for i in range(4000)]
+    words = [(f"{w} " * (1 + i % 3), "en" if i % 3 else "de") for i, w in enumerate(names)]
+    labelled = spark.createDataFrame(words, "text string, lang string")
+    profile = language.train_profile(labelled, ["de", "en"], top=1100)
+    counts = {"de": Counter(), "en": Counter()}
+    for text, lang in words:
+        counts[lang].update(text.split())
+    grams = set()
+    for lang in counts:
+        grams |= {g for g, _ in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:1100]}
+    assert {r.gram for r in profile.collect()} == grams

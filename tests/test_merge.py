@@ -1,10 +1,11 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyvox.operators import merge
 from tallyvox.schema import POST_SCHEMA
-from tallyvox.session import fresh_dir
+from tallyvox.session import discard, fresh_dir
 from tests.test_quality import post
 
 DAYS = [datetime(2024, 1, d) for d in range(1, 9)]
@@ -61,8 +62,8 @@ def test_fold_log_equals_repeated_upserts(spark):
         merge.write_log_batch(frame(spark, *batch), root, i)
     expected = view(merged)
     assert view(merge.read_current(spark, root)) == expected
-    merge.compact(spark, root)
-    assert merge.current_version(spark, root)[0] == 2
+    assert merge.compact(spark, root) and not merge.compact(spark, root)
+    assert merge.current_version(spark, root).folded == {"stream": 2}
     assert view(merge.read_current(spark, root)) == expected
     merge.write_log_batch(frame(spark, post("c", upvotes=9, text="4")), root, 3)
     assert view(merge.read_current(spark, root))["c"][:2] == (9, "3")
@@ -86,5 +87,69 @@ def test_failed_snapshot_is_not_published(spark):
     broken = frame(spark, post("a", upvotes=2)).selectExpr("*", "raise_error('stop') AS e")
     with pytest.raises(Exception, match="stop"):
         merge.publish_snapshot(broken, root, 2)
-    assert merge.current_version(spark, root)[0] == 1
+    assert merge.current_version(spark, root).folded == {"snapshots": 1}
     assert view(merge.read_snapshot(spark, root))["a"][0] == 1
+
+
+def rows_of(spark, *ids, votes=1, day=0):
+    return frame(spark, *[dict(post(i, upvotes=votes), created_utc=DAYS[day]) for i in ids])
+
+
+def ids_in(table):
+    return sorted(r.post_id for r in table.collect())
+
+
+def test_batches_of_any_stream_join_a_published_snapshot(spark):
+    """Batch numbers of a stream say nothing about versions or about other streams."""
+    root = fresh_dir(spark, "table")
+    merge.publish_snapshot(rows_of(spark, "a", "b"), root, 0)
+    merge.write_log_batch(rows_of(spark, "c"), root, 0, "one")
+    merge.write_log_batch(rows_of(spark, "d"), root, 0, "two")
+    assert ids_in(merge.read_current(spark, root)) == ["a", "b", "c", "d"]
+    assert merge.compact(spark, root)
+    merge.write_log_batch(rows_of(spark, "e"), root, 0, "three")
+    merge.write_log_batch(rows_of(spark, "ignored"), root, 0, "two")  # that batch is stored
+    merge.write_log_batch(rows_of(spark, "a", votes=9), root, 1, "one")
+    assert ids_in(merge.read_current(spark, root)) == ["a", "b", "c", "d", "e"]
+    assert view(merge.read_current(spark, root))["a"][0] == 9
+
+
+def test_an_unfinished_batch_is_neither_read_nor_folded(spark):
+    root = fresh_dir(spark, "table")
+    merge.write_log_batch(rows_of(spark, "a"), root, 0)
+    broken = rows_of(spark, "b").selectExpr("*").withColumn("text", F.expr("raise_error('stop')"))
+    with pytest.raises(Exception, match="stop"):
+        merge.write_log_batch(broken, root, 1)
+    rows_of(spark, "half").write.parquet(f"{root}/log/someone-still-writes")
+    assert ids_in(merge.read_current(spark, root)) == ["a"]
+    merge.compact(spark, root)
+    merge.write_log_batch(rows_of(spark, "b", "c"), root, 1)  # the repeat completes it
+    assert ids_in(merge.read_current(spark, root)) == ["a", "b", "c"]
+    merge.compact(spark, root)
+    assert ids_in(merge.read_snapshot(spark, root)) == ["a", "b", "c"]
+
+
+def test_other_days_are_neither_read_nor_written(spark):
+    root = fresh_dir(spark, "table")
+    merge.publish_snapshot(rows_of(spark, "a").union(rows_of(spark, "b", day=3)).union(rows_of(spark, "c", day=5)), root, 0)
+    before = merge.current_version(spark, root).days
+    discard(spark, before["2024-01-01"])  # a day that cannot be read any more
+    merge.transfer(rows_of(spark, "b", votes=7, day=3).union(rows_of(spark, "d", day=6)), root, 0)
+    after = merge.current_version(spark, root).days
+    assert {d for d in before if before[d] == after[d]} == {"2024-01-01", "2024-01-06"}
+    assert set(after) - set(before) == {"2024-01-07"}
+    late = merge.read_current(spark, root, since=DAYS[3].date())
+    assert {k: v[0] for k, v in view(late).items()} == {"b": 7, "c": 1, "d": 1}
+    merge.write_log_batch(rows_of(spark, "old").union(rows_of(spark, "new", day=4)), root, 1, "transfer")
+    assert ids_in(merge.read_current(spark, root, since=DAYS[3].date())) == ["b", "c", "d", "new"]
+
+
+def test_two_folds_at_once_lose_nothing(spark):
+    """The second fold starts before the first has published."""
+    root = fresh_dir(spark, "table")
+    merge.publish_snapshot(rows_of(spark, "a"), root, 0)
+    before = merge.current_version(spark, root)
+    merge.write_log_batch(rows_of(spark, "b"), root, 0)
+    merge.compact(spark, root)
+    merge._publish(spark, root, merge.current_version(spark, root), before.days, before.folded)
+    assert ids_in(merge.read_current(spark, root)) == ["a", "b"]

@@ -68,7 +68,8 @@ def test_collector_compacts(spark, tmp_path):
             spark, str(tmp_path), table, checkpoint, MODEL, interval=None, compact_every=2
         ).awaitTermination()
         versions.append(current_version(spark, table))
-    assert versions[0] is None and versions[1][0] == versions[2][0] == 1
+    assert versions[0] is None and versions[1] == versions[2]
+    assert list(versions[1].folded.values()) == [1]
     rows = {r.post_id: r.upvotes for r in read_current(spark, table).collect()}
     assert rows == {"a": 2, "b": 0, "k1": -3, "k3": 0}
 
@@ -184,3 +185,31 @@ def test_trend_and_cursor_follow_the_batch_result(spark, sf_dir):
         newest.select("subreddit", "n.post_id").collect()
     )
     assert spark.read.parquet(out).select("batch_id").distinct().count() == 3
+
+
+def test_state_keeps_the_configured_partitions(spark, sf_dir):
+    """However few cores there are at the start."""
+    landing, out, checkpoint = dirs(spark, "landing", "out", "checkpoint")
+    posts_events(spark, sf_dir).limit(50).write.parquet(landing)
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "9")
+    try:
+        feed = feeds.posts_feed(spark, landing, POST_SCHEMA)
+        sinks.changes_sink(feeds.source_cursor(feed), out, checkpoint).awaitTermination()
+        assert spark.conf.get(name) == "9"
+    finally:
+        spark.conf.set(name, before)
+    offsets = spark.read.text(f"{checkpoint}/offsets/0").collect()
+    assert any('"spark.sql.shuffle.partitions":"9"' in r.value for r in offsets)
+
+
+def test_a_new_checkpoint_is_a_new_stream(spark, sf_dir):
+    table = fresh_dir(spark, "table")
+    posts = posts_events(spark, sf_dir)
+    for part in range(2):
+        landing, checkpoint = dirs(spark, "landing", "checkpoint")
+        posts.where(F.col("post_id").cast("int") % 2 == part).write.parquet(landing)
+        feed = feeds.posts_feed(spark, landing, POST_SCHEMA)
+        sinks.upsert_sink(feed, table, checkpoint).awaitTermination()
+    assert read_current(spark, table).count() == posts.count()

@@ -13,8 +13,9 @@ def apply(spark, values, build):
 
 
 def python_clean(value):
-    value = re.sub(r"http\S+|www\S+|https\S+", "", value, flags=re.MULTILINE)
-    return re.sub(r"@\w+|#\w+", "", value).strip()
+    """Links up to the next white space, then names and tags, then outer white space."""
+    without_links = re.sub(r"(http|www)\S+", "", value)
+    return re.sub(r"[@#]\w+", "", without_links).strip()
 
 
 CASES = [
@@ -78,7 +79,7 @@ def test_body_or_title(spark):
         [("", "t"), (None, "t"), (" ", "t"), (None, None), ("b", "t")], "b string, t string"
     )
     found = [r[0] for r in rows.select(text.body_or_title(F.col("b"), F.col("t"))).collect()]
-    assert found == ["t", "t", " ", "", "b"]
+    assert found == ["t", "t", " ", None, "b"]
 
 
 def test_clip_and_bins(spark):
