@@ -110,8 +110,8 @@ ISO_SPECIAL = {
     "United Arab Emirates": "ARE",
 }
 
-# ISO 3166-1 rows (name, alpha-2, alpha-3) of often named countries.
-# Pass a full table to `country_iso` for the rest.
+# ISO 3166-1 rows (name, alpha-2, alpha-3) of often named countries, for the SQL that
+# checks `country_iso`; the operator itself takes all countries from the JVM's locale data.
 ISO_COUNTRIES = [
     ("Afghanistan", "AF", "AFG"),
     ("Argentina", "AR", "ARG"),
@@ -311,7 +311,8 @@ NEGATORS = [
     "wouldn't",
 ]
 
-# The small default lexicon (own ratings, -4 to 4). Pass a full one with `read_lexicon`.
+# The small default lexicon (-4 to 4). Many ratings are those of the published lexicon
+# of Hutto & Gilbert (2014). Pass a full one with `read_lexicon`.
 LEXICON = {
     "abuse": -3.0,
     "admire": 2.1,
