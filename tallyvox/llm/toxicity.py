@@ -24,7 +24,7 @@ from tallyvox.llm.common import as_row, by_bytes, stored
 
 MAX_LABELLED = 20_000
 HASH_BITS = 20
-FEATURES = 4096
+FEATURES = 2048
 PAIRS_PER_DOC = 2
 BLOCK = 1 << 20
 BATCH_CHARS = 2 << 20
@@ -258,16 +258,20 @@ def optimise(
     steps: int = 300,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the log loss + `penalty` x the mean squared change of the
-    logit under a swap + `ridge` x the squared weights (Adam on the full sample)."""
+    logit under a swap + `ridge` x the squared weights (Adam on the full sample). Toxic texts are
+    rare, so they weigh as much more as the square root of their rarity."""
     y, n = np.array(labels, float), max(1, len(labels))
+    rarity = np.sqrt(max(1.0, (n - y.sum()) / max(1.0, y.sum())))
+    share = np.where(y > 0, rarity, 1.0)
+    share /= share.sum()
     col, _, row = _rows(texts)
     swap_col, sign, swap_row = _rows(swaps)
     value, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     value[size] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     for step in range(1, steps + 1):
         logit = np.bincount(row, value[col], minlength=len(labels)) + value[size]
-        error = 1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y
-        slope = np.append(np.bincount(col, error[row], minlength=size) / n, error.sum() / n)
+        error = share * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y)
+        slope = np.append(np.bincount(col, error[row], minlength=size), error.sum())
         if swaps:
             change = np.bincount(swap_row, sign * value[swap_col], minlength=len(swaps))
             pull = np.bincount(swap_col, sign * change[swap_row], minlength=size)
