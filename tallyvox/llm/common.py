@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,22 @@ def by_bytes(texts: Iterable[str], limit: int = 4 << 20) -> Iterator[list[str]]:
         yield batch
 
 
+PART_BYTES = 4 << 20
+
+
+def parts(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of about `PART_BYTES` of column `text`, so that a worker holds
+    little beside the batch it was given, however long the texts are."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(size, dtype=np.int64), 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + PART_BYTES, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def tokenizer_path(name: str) -> str:
     """Where the installed public vocabulary files are."""
     import public_tokenizers

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyvox.llm.common import by_bytes
+from tallyvox.llm.common import by_bytes, parts
 from tallyvox.llm.units import spec, units
 
 WINDOW = 2048
@@ -145,8 +145,8 @@ class Stream:
         return rows
 
 
-def _bytes(found) -> bytes:
-    return np.array(found.ids, "<u4").tobytes()
+def _bytes(ids: np.ndarray) -> bytes:
+    return ids.tobytes()
 
 
 @cache
@@ -192,12 +192,12 @@ def pack(
                 [pa.array(c, t) for c, t in zip(columns, types)], names=schema.names
             )
 
-        for batch in batches:
+        for batch in parts(batches):
             kinds[0] = batch.column(0).type
             keys, first = batch.column(0).to_pylist(), 0
             for texts in by_bytes((t or "" for t in batch.column(1).to_pylist()), BATCH_CHARS):
-                for i, parts in enumerate(encode(texts)):
-                    ids = np.frombuffer(b"".join(parts) + end, "<u4")
+                for i, found_ids in enumerate(encode(texts)):
+                    ids = np.frombuffer(b"".join(found_ids) + end, "<u4")
                     for found in stream.add(keys[first + i], ids):
                         yield table(found)
                 first += len(texts)

@@ -63,17 +63,14 @@ def _signed(value: int) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
     """Every row as (row, bits): the whole input row and its fingerprint as a signed long."""
-    rows = docs.select(as_row(docs), F.col(f"`{text}`").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [_signed(fingerprint(t, size)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(bits, pa.int64())], names=["row", "bits"]
-            )
+    @F.arrow_udf("long")
+    def bits(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([_signed(fingerprint(t.as_py(), size)) for t in column], pa.int64())
 
-    schema = rows.select("row").schema.add("bits", "long")
-    return rows.mapInArrow(run, schema)
+    # Only the text goes to the worker and only the fingerprint comes back.
+    return docs.select(as_row(docs), bits(F.col(f"`{text}`")).alias("bits"))
 
 
 def as_hex(bits) -> F.Column:

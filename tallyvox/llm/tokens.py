@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyvox.llm.common import by_bytes, one_thread
+from tallyvox.llm.common import by_bytes, one_thread, parts
 from tallyvox.llm.units import units
 
 BATCH_CHARS = 2 << 20
@@ -41,7 +41,7 @@ def token_counts(
     schema = rows.select("id").schema.add("n_bytes", "long").add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, found = [t or "" for t in batch.column(1).to_pylist()], []
             for part in by_bytes(texts, BATCH_CHARS):
                 found += counts(part, path)

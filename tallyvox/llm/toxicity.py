@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyvox.llm.common import as_row, by_bytes, stored
+from tallyvox.llm.common import as_row, by_bytes, parts, stored
 
 MAX_LABELLED = 20_000
 HASH_BITS = 20
 FEATURES = 2048
 PAIRS_PER_DOC = 2
-BLOCK = 1 << 20
-BATCH_CHARS = 2 << 20
+BLOCK = 1 << 18
+BATCH_CHARS = 1 << 19
 FOLDS = 5
 
 # Neutral words for groups of people, by kind. A term is swapped within its kind.
@@ -175,7 +175,7 @@ def _informative(sample: DataFrame, count: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << HASH_BITS), np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             toxic = batch.column(0).to_numpy(zero_copy_only=False)
             first = 0
             for texts in by_bytes((t or "" for t in batch.column(1).to_pylist()), BATCH_CHARS):
@@ -218,7 +218,7 @@ def _examples(sample: DataFrame, features: np.ndarray) -> tuple[list, list, list
             cuts = np.searchsorted(text, np.arange(1, len(texts)))
             return np.split(np.searchsorted(features, feature), cuts)
 
-        for batch in batches:
+        for batch in parts(batches):
             toxic, first = batch.column(0).to_pylist(), 0
             for texts in by_bytes((t or "" for t in batch.column(1).to_pylist()), BATCH_CHARS):
                 pairs = [pair for t in texts for pair in counterfactuals(t)]
@@ -315,21 +315,19 @@ def score_texts(model: Model, texts: list[str | None], dense: np.ndarray | None
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Every row as (row, score): the whole input row and its score from 0 to 1. Null and empty
     texts get the score of a text without features. An empty table gives an empty result."""
-    rows = docs.select(as_row(docs), F.col(f"`{text}`").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         dense = model.table()
-        for batch in batches:
+        for column in columns:
             scores = [
                 score_texts(model, texts, dense)
-                for texts in by_bytes((t or "" for t in batch.column(1).to_pylist()), BATCH_CHARS)
+                for texts in by_bytes((t.as_py() or "" for t in column), BATCH_CHARS)
             ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
-                names=["row", "score"],
-            )
+            yield pa.array(np.concatenate(scores) if scores else [], pa.float64())
 
-    return rows.mapInArrow(run, rows.select("row").schema.add("score", "double"))
+    # Only the text goes to the worker and only the score comes back.
+    return docs.select(as_row(docs), score(F.col(f"`{text}`")).alias("score"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **options) -> DataFrame:

@@ -12,13 +12,20 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
+
 from tallyvox.llm.common import by_bytes, one_thread
 
-MEMO_ENTRIES = 800_000  # about 150 MB for each worker
+MEMO_ENTRIES = 250_000  # in each of two generations: at most about 110 MB for each worker
 MEMO_CHARS = 64  # longer units are encoded each time
+JOINT_CHARS = 1 << 14
+MARKS = (".", ",")
+BLANK = "Ġ"  # stands for a blank in byte-level vocabularies
 SEPARATORS = re.compile("[\x1c-\x1f]").search
 SPACED = re.compile(r"\s*\S+|\s+").findall
 
@@ -47,33 +54,112 @@ def splitter(spec: dict) -> Callable[[str], list[str]] | None:
     return None
 
 
+@dataclass(frozen=True)
+class Joint:
+    """How simple units (letters only, in the splitter's form) are encoded many at a time: joined
+    by `glue`, and told apart by the tokens that begin, or end, a pre-token."""
+
+    glue: str
+    simple: Callable[[str], bool]
+    borders: np.ndarray  # by id
+    ends: bool  # the borders end a unit, and do not begin it
+
+    def cuts(self, ids: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.borders[ids])
+        return np.concatenate([[0], at + 1]) if self.ends else np.append(at, len(ids))
+
+
+def letters(text: str) -> bool:
+    """Letters only, also when normalised: some letters become a letter and a mark."""
+    if text.isascii():
+        return text.isalpha()
+    return text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
+
+
+def joint(spec: dict, split: Callable | None) -> Joint | None:
+    vocabulary = spec["model"]["vocab"]
+    suffix = spec["model"].get("end_of_word_suffix")
+    borders = np.zeros(1 + max([*vocabulary.values(), *(t["id"] for t in spec["added_tokens"])]), bool)
+    if split is str.split and suffix:
+        borders[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return Joint(" ", letters, borders, True)
+    if split is SPACED:
+        borders[[i for token, i in vocabulary.items() if token.startswith(BLANK)]] = True
+        return Joint("", lambda unit: unit[0] == " " and letters(unit[1:]), borders, False)
+    return None
+
+
 class Units:
     """Encode texts by `tokenizer`, cut by `split` (None: never); `value` makes what is kept of an
-    encoding (its length, its ids)."""
-
-    def __init__(self, tokenizer, split: Callable[[str], list[str]] | None, value: Callable):
-        self.tokenizer, self.split, self.value, self.memo = tokenizer, split, value, {}
+    array of ids (its length, its bytes), so that the values of two arrays add up."""
+
+    def __init__(
+        self,
+        tokenizer,
+        split: Callable | None,
+        value: Callable,
+        joint: Joint | None = None,
+        entries: int = MEMO_ENTRIES,
+    ):
+        self.tokenizer, self.split, self.value, self.joint = tokenizer, split, value, joint
+        self.memo, self.older, self.entries = {}, {}, entries
 
     def encode(self, texts: list[str]) -> list:
         """The value of each text; batches of equal size in characters."""
         return [
-            self.value(found)
+            self.value(np.array(found.ids, "<u4"))
             for batch in by_bytes(texts)
             for found in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
         ]
 
+    def encode_joint(self, units: list[str]) -> list:
+        """The value of each simple unit. If the tokens do not tell as many units apart (a letter
+        may fall into several when it is normalised), each is encoded by itself."""
+        values = []
+        for part in by_bytes(units, JOINT_CHARS):
+            found = self.tokenizer.encode_batch_fast([self.joint.glue.join(part)], add_special_tokens=False)
+            ids = np.array(found[0].ids, "<u4")
+            cuts = self.joint.cuts(ids)
+            if len(cuts) == len(part) + 1 and cuts[0] == 0 and cuts[-1] == len(ids):
+                bounds = cuts.tolist()
+                values += [self.value(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+            else:
+                values += self.encode(part)
+        return values
+
+    def learn(self, missing: list[str]) -> dict[str, object]:
+        """The values of units. A full stop or comma after letters is a pre-token of its own."""
+        if self.joint is None:
+            return dict(zip(missing, self.encode(missing)))
+        simple, marked, others = [], [], []
+        for unit in missing:
+            if len(unit) > 1 and unit[-1] in MARKS and self.joint.simple(unit[:-1]):
+                marked.append(unit)
+            else:
+                (simple if self.joint.simple(unit) else others).append(unit)
+        bases = list({unit[:-1] for unit in marked}.difference(self.memo, simple))
+        found = dict(zip(simple + bases, self.encode_joint(simple + bases)))
+        found.update(zip(others, self.encode(others)))
+        marks = dict(zip(MARKS, self.encode(list(MARKS)))) if marked else {}
+        for unit in marked:
+            base = unit[:-1]
+            found[unit] = (found[base] if base in found else self.memo[base]) + marks[unit[-1]]
+        return found
+
     def __call__(self, texts: list[str]) -> list[list]:
         """For each text the values of its units, in their order."""
         cut = [[t] if self.split is None or SEPARATORS(t) else self.split(t) for t in texts]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        missing = list(set().union(*cut).difference(self.memo))
-        found = dict(zip(missing, self.encode(missing)))
-        self.memo.update((unit, v) for unit, v in found.items() if len(unit) <= MEMO_CHARS)
-        if len(self.memo) and all(len(unit) <= MEMO_CHARS for unit in found):
+        if len(self.memo) > self.entries:  # what is used again comes back from the older half
+            self.memo, self.older = {}, self.memo
+        unseen = set().union(*cut).difference(self.memo)
+        known = unseen.intersection(self.older)
+        self.memo.update((unit, self.older[unit]) for unit in known)
+        found = self.learn(list(unseen - known))
+        long = {unit: found.pop(unit) for unit in [u for u in found if len(u) > MEMO_CHARS]}
+        self.memo.update(found)
+        if not long:
             return [list(map(self.memo.__getitem__, units)) for units in cut]
-        both = {**{u: self.memo[u] for units in cut for u in units if u in self.memo}, **found}
-        return [[both[u] for u in units] for units in cut]
+        return [[long[u] if u in long else self.memo[u] for u in units] for units in cut]
 
 
 @cache
@@ -88,4 +174,5 @@ def units(path: str, value: Callable) -> Units:
     one_thread()
     from tokenizers import Tokenizer
 
-    return Units(Tokenizer.from_file(path), splitter(spec(path)), value)
+    split = splitter(spec(path))
+    return Units(Tokenizer.from_file(path), split, value, joint(spec(path), split))

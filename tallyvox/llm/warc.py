@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyvox.llm.common import stored
+from tallyvox.llm.common import PART_BYTES, parts, stored
 from tallyvox.session import fresh_dir
 
 PACKAGE_BYTES = 64 << 20
@@ -311,7 +311,7 @@ def write_packages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt, done, writer = uuid.uuid4().hex, [], None
-        for batch in batches:
+        for batch in parts(batches, text=2):
             for number, url, body, original in zip(*(column.to_pylist() for column in batch.columns)):
                 if writer is None:
                     writer = PackageWriter(f"{base}/{attempt}-{len(done):05d}.wacz")
@@ -356,26 +356,28 @@ def read_packages(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
+
+        def table(records: list[Record]) -> pa.RecordBatch:
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
+            rows = [(r.record_id, r.payload_bytes, r.digest, r.kind, *r[4:]) for r in records]
+            columns = zip(*rows) if rows else [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
         for batch in batches:
-            records = []
+            records, size = [], 0
             for uri, at, length in zip(*(column.to_pylist() for column in batch.columns)):
                 if uri != name:
                     if file is not None:
                         file.close()
                     name, file = uri, open_input(uri)
-                records.append(read_range(file, at, length))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r.record_id for r in records], pa.int64()),
-                    pa.array([r.payload_bytes for r in records], pa.int64()),
-                    pa.array([r.digest for r in records], pa.string()),
-                    pa.array([r.kind for r in records], pa.string()),
-                    pa.array([r.refers_to for r in records], pa.int64()),
-                    pa.array([r.url for r in records], pa.string()),
-                    pa.array([r.payload if with_payload else None for r in records], pa.binary()),
-                ],
-                names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"],
-            )
+                record = read_range(file, at, length)
+                size += len(record.payload or b"") if with_payload else 0
+                records.append(record if with_payload else record._replace(payload=None))
+                if size > PART_BYTES:
+                    yield table(records)
+                    records, size = [], 0
+            yield table(records)
         if file is not None:
             file.close()
 

@@ -21,8 +21,8 @@ def library(name):
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def ids_of(found):
-    return tuple(found.ids)
+def ids_of(ids):
+    return tuple(ids.tolist())
 
 
 def by_units(name, texts):
@@ -35,6 +35,7 @@ def by_units(name, texts):
 def test_units_are_the_library(name, documents):
     draw = random.Random(5)
     texts = [t or "" for _, t in documents[:60]]
+    texts += ["Δ. Σ, İ. İstanbul, \u0958. \u0958a b, c. aa.. ,b .c d., e,. \u2126. \u212b, ﬁn. x", "a,", " a,", ","]
     texts += ["", " ", "\n", ODD, *("".join(draw.choices(ODD, k=draw.randrange(40))) for _ in range(3000))]
     encode = library(name)
     assert by_units(name, texts) == [encode(t) for t in texts]
@@ -54,14 +55,15 @@ def library_cache(name):
     return _LIBRARY.setdefault(name, library(name))
 
 
-def test_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(units, "MEMO_ENTRIES", 50)
-    encode = units.Units(Tokenizer.from_file(tokenizer_path(BYTES)), units.SPACED, len)
+def test_memo_is_bounded():
+    path = tokenizer_path(BYTES)
+    joint = units.joint(units.spec(path), units.SPACED)
+    encode = units.Units(Tokenizer.from_file(path), units.SPACED, len, joint, entries=50)
     for i in range(20):
         texts = [f"w{i}x{j} " + "y" * 100 for j in range(30)]
         counted = library_cache(BYTES)
         assert [sum(parts) for parts in encode(texts)] == [len(counted(t)) for t in texts]
-        assert len(encode.memo) <= 50 + 60
+        assert len(encode.memo) <= 50 + 60 and len(encode.older) <= 50 + 60
 
 
 def test_unknown_kinds_are_encoded_whole():
