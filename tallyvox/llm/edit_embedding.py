@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyvox.llm.common import shuffle_partitions, stored
+from tallyvox.llm.common import parts, shuffle_partitions, stored
 
 SEED = 11
 CLASSES = 64  # characters fall into so many classes; each has its own random bits
@@ -50,22 +50,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
 @cache
 def _steps() -> tuple[np.ndarray, bytes]:
     """How long the walk stays on a character of class c from step j on, at [j * CLASSES + c]:
-    until the first one among its bits."""
-    bits = (_mix(np.arange(PERIOD * CLASSES, dtype=np.uint64)) & np.uint64(1)).astype(bool)
-    bits = bits.reshape(PERIOD, CLASSES)
-    stay = np.ones((PERIOD, CLASSES), np.int64)
-    ahead = np.ones(CLASSES, np.int64)
-    for _ in range(2):  # the second round knows what follows the last step
-        for j in range(PERIOD - 1, -1, -1):
-            ahead = np.where(bits[j], 1, ahead + 1)
-            stay[j] = ahead
-    stay = np.minimum(stay, 255)
-    return stay.reshape(-1), stay.astype(np.uint8).tobytes()
+    until the first one among its bits, which repeat after PERIOD steps."""
+    stay = np.empty((PERIOD, CLASSES), np.uint8)
+    step = np.arange(2 * PERIOD)
+    for kind in range(CLASSES):
+        bits = _mix(np.arange(PERIOD, dtype=np.uint64) * np.uint64(CLASSES) + np.uint64(kind)) & np.uint64(1)
+        ones = np.where(np.tile(bits, 2) > 0, step, 2 * PERIOD)
+        following = np.minimum.accumulate(ones[::-1])[::-1]
+        stay[:, kind] = np.minimum(following[:PERIOD] - step[:PERIOD] + 1, 255)
+    return stay.reshape(-1), stay.tobytes()
+
+
+@cache
+def _symbol_table() -> np.ndarray:
+    """A byte from 1 to 255 for each code point; its low bits are the class. 0 is for no character."""
+    blocks = np.arange(0x110000, dtype=np.uint64).reshape(17, -1)
+    return np.concatenate([(1 + _mix(block) % np.uint64(255)).astype(np.uint8) for block in blocks])
 
 
 def _symbols(codes: np.ndarray) -> np.ndarray:
-    """A byte from 1 to 255 for each character; its low bits are the class. 0 is for no character."""
-    return (1 + (_mix(codes.astype(np.uint64)) % np.uint64(255))).astype(np.uint8)
+    return _symbol_table()[codes]
 
 
 def arrivals(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,8 +79,10 @@ def arrivals(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.concatenate([[0], np.cumsum(sizes)])
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     symbols = _symbols(codes)
-    kinds = (symbols & (CLASSES - 1)).astype(np.int64)
-    reached = np.empty(len(codes), np.int64)
+    del codes
+    kinds = symbols & (CLASSES - 1)
+    # Walks have about two steps for each character.
+    reached = np.empty(len(symbols), np.int32 if sizes.max(initial=0) < 1 << 28 else np.int64)
     stay, stay_bytes = _steps()
     order = np.argsort(-sizes, kind="stable")
     cursor, sorted_sizes = starts[order].copy(), sizes[order]
@@ -270,7 +276,7 @@ def compare_successors(docs: DataFrame, key: str = "doc_id", text: str = "text")
         def solved() -> list[tuple]:
             return [r + (part, "inner", None) for r in _compared(keys[:-1], texts[:-1], texts[1:])]
 
-        for batch in batches:
+        for batch in parts(batches):
             kind = batch.column(0).type
             for id_, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not begun:
@@ -300,14 +306,14 @@ def compare_successors(docs: DataFrame, key: str = "doc_id", text: str = "text")
     )
     # One row for each partition that has a document.
     order = Window.orderBy("part")
-    parts = pieces.where("place = 'first'").select("part").withColumn(
+    following = pieces.where("place = 'first'").select("part").withColumn(
         "next", F.coalesce(F.lead("part").over(order), F.first("part").over(order))
     )
     firsts = pieces.where("place = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"))
     ends = (
         pieces.where("place = 'last'")
         .select("part", "id", "text")
-        .join(parts, "part")
+        .join(following, "part")
         .join(firsts, "next")
         .select("id", "text", "following")
         .mapInArrow(join_ends, schema)
