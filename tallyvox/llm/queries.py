@@ -107,7 +107,7 @@ def op9_sentencepiece(spark, sf_dir):
     whether they give the text again."""
     path = tokenizer_path("piece_bpe_32k.model")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_backend.decode(sentencepiece_backend.encode(docs, path), path)
+    coded = sentencepiece_backend.encode(docs, path, decoded=True)
     return coded.select(
         F.col("row.doc_id").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyvox.llm.common import by_bytes
-from tallyvox.llm.units import Units
+from tallyvox.llm.common import by_bytes, parts
+from tallyvox.llm.units import Joint, Units
 
 BATCH_CHARS = 1 << 20
 THREADS = 2
@@ -162,8 +162,8 @@ def build(model: Model, prefix: bool = True):
     return tokenizer
 
 
-def _ids(found) -> bytes:
-    return np.array(found.ids, "<u4").tobytes()
+def _ids(ids: np.ndarray) -> bytes:
+    return ids.tobytes()
 
 
 class Backend:
@@ -178,6 +178,13 @@ class Backend:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         with open(path, "rb") as file:
             self.model = parse_model(file.read())
+        # A byte piece below 128 is a character by itself; the others need their neighbours.
+        ascii_bytes = {f"<0x{b:02X}>": chr(b) for b in range(128)}
+        kinds = [kind for _, _, kind in self.model.pieces]
+        self.pieces = [ascii_bytes.get(p, p) if k == BYTE else p for p, _, k in self.model.pieces]
+        self.plain = np.array(
+            [k in (NORMAL, USER_DEFINED) or (k == BYTE and len(p) == 1) for k, p in zip(kinds, self.pieces)]
+        )
         self.by_words = (
             self.model.kind == BPE
             and not self.model.charsmap
@@ -185,9 +192,15 @@ class Backend:
             and self.model.escape_blanks
             and not any(re.search(f"[^{MARK}]{MARK}", piece) for piece, _, _ in self.model.pieces)
         )
-        self.tokenizer = build(self.model)
+        # One tokenizer serves both ways; where words are encoded apart, it puts no first blank.
+        self.tokenizer = build(self.model, prefix=not self.by_words)
         split = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+").findall if self.by_words else None
-        self.units = Units(build(self.model, prefix=not self.by_words), split, _ids)
+        self.units = Units(self.tokenizer, split, _ids, self._joint() if self.by_words else None)
+
+    def _joint(self) -> Joint:
+        """A word with one blank before it begins with the only piece of it that has the mark."""
+        borders = np.array([piece.startswith(MARK) for piece in self.pieces])
+        return Joint("", lambda unit: unit[0] == " " and unit[1:2] not in ("", " ", MARK), borders, False, ())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without begin and end."""
@@ -196,9 +209,18 @@ class Backend:
         return [b"".join(parts) for parts in self.units(texts)]
 
     def decode(self, ids: list[bytes]) -> list[str]:
-        return self.tokenizer.decode_batch(
-            [np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False
-        )
+        """Plain pieces are joined from the table; texts with other pieces go through the library's
+        decoder."""
+        arrays = [np.frombuffer(x, "<u4") for x in ids]
+        plain = [bool(self.plain[a].all()) for a in arrays]
+        rest = [a.tolist() for a, p in zip(arrays, plain) if not p]
+        decoded = iter(self.tokenizer.decode_batch(rest, skip_special_tokens=False) if rest else [])
+        first = int(self.model.dummy_prefix)
+        return [self._joined(a, first) if p else next(decoded) for a, p in zip(arrays, plain)]
+
+    def _joined(self, ids: np.ndarray, first: int) -> str:
+        text = "".join(map(self.pieces.__getitem__, ids.tolist())).replace(MARK, " ")
+        return text[first:] if text.startswith(" ") else text
 
 
 @cache
@@ -216,9 +238,12 @@ def library(path: str):
 # --- tables ----------------------------------------------------------------------------------
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", verify: bool = True) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, text: str = "text", verify: bool = True, decoded: bool = False
+) -> DataFrame:
     """The columns of `docs` in `row`, with `ids` (little-endian unsigned 32-bit) and `parity`:
-    are they the sentencepiece library's ids (null unless `verify`)?
+    are they the sentencepiece library's ids (null unless `verify`)? With `decoded`, also the text
+    that the ids give, from the same worker.
 
     `path` is the model file as every executor finds it. A null or empty text has no ids. An empty
     table gives an empty result.
@@ -227,8 +252,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", verify: bool = True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = backend(path)
-        for batch in batches:
-            ids, same = [], []
+        for batch in parts(batches):
+            ids, same, texts_again = [], [], []
             for texts in by_bytes((t or "" for t in batch.column(1).to_pylist()), BATCH_CHARS):
                 found = coder.encode(texts)
                 ids += found
@@ -237,13 +262,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", verify: bool = True)
                     same += [np.array(w, "<u4").tobytes() == f for w, f in zip(wanted, found)]
                 else:
                     same += [None] * len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())],
-                names=["row", "ids", "parity"],
-            )
+                if decoded:
+                    texts_again += coder.decode(found)
+            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())]
+            columns += [pa.array(texts_again, pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     schema = StructType(list(rows.select("row").schema.fields))
-    return rows.mapInArrow(run, schema.add("ids", "binary").add("parity", "boolean"))
+    schema = schema.add("ids", "binary").add("parity", "boolean")
+    schema = schema.add("decoded", "string") if decoded else schema
+    return rows.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -63,6 +63,7 @@ class Joint:
     simple: Callable[[str], bool]
     borders: np.ndarray  # by id
     ends: bool  # the borders end a unit, and do not begin it
+    marks: tuple[str, ...] = MARKS  # after letters, a pre-token of their own
 
     def cuts(self, ids: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(self.borders[ids])
@@ -133,7 +134,7 @@ class Units:
             return dict(zip(missing, self.encode(missing)))
         simple, marked, others = [], [], []
         for unit in missing:
-            if len(unit) > 1 and unit[-1] in MARKS and self.joint.simple(unit[:-1]):
+            if len(unit) > 1 and unit[-1] in self.joint.marks and self.joint.simple(unit[:-1]):
                 marked.append(unit)
             else:
                 (simple if self.joint.simple(unit) else others).append(unit)

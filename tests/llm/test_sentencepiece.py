@@ -98,5 +98,7 @@ def test_odd_rows(odd_documents, no_documents):
     found = sp.decode(coded, PATH).collect()
     assert len(found) == odd_documents.count() and all(r.parity for r in found)
     assert all(r.decoded == (r.row.text or "") for r in found)
+    again = sp.encode(odd_documents, PATH, decoded=True).collect()
+    assert sorted((r.row.doc_id, r.decoded) for r in again) == sorted((r.row.doc_id, r.decoded) for r in found)
     assert {r.parity for r in sp.encode(odd_documents, PATH, verify=False).collect()} == {None}
     assert sp.decode(sp.encode(no_documents, PATH), PATH).count() == 0
