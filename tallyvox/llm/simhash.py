@@ -33,6 +33,7 @@ SEED = 42
 
 DISTANCE = 3
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
+NO_KEY = (1 << 63) - 1  # stands for a null key
 BLOCK = 1 << 15  # shingles at a time, so that a very long text needs no more memory
 
 
@@ -180,20 +181,29 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def group(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """(bits, node, component): for each distinct fingerprint in `prints` (row, bits), its smallest
-    key and the smallest key in its component. Equal fingerprints are one node, so copies add no link. Null keys take part
+    """(bits, node, component, first): for each distinct fingerprint in `prints` (row, bits), its
+    smallest key, the smallest key in its component and whether it is the fingerprint that stays:
+    of those with that key, the smallest. The graph's nodes are the fingerprints, so equal ones
+    add no link, and fingerprints that share a key, or have none, stay apart. Null keys take part
     as a key above all others."""
-    id_ = F.coalesce(F.col(f"row.`{key}`").cast("long"), F.lit((1 << 63) - 1))
+    id_ = F.coalesce(F.col(f"row.`{key}`").cast("long"), F.lit(NO_KEY))
     nodes = stored(prints.groupBy("bits").agg(F.min(id_).alias("node")).select("node", "bits"), "nodes")
-    found = components(links(nodes, distance))
-    return nodes.join(found, "node", "left").select(
-        "bits", "node", F.coalesce("component", "node").alias("component")
+    found = components(links(nodes.select(F.col("bits").alias("node"), "bits"), distance))
+    labelled = nodes.join(found.withColumnRenamed("node", "bits"), "bits", "left").select(
+        "bits", "node", F.coalesce("component", "bits").alias("label")
+    )
+    least = labelled.groupBy("label").agg(F.min(F.struct("node", "bits")).alias("least"))
+    return labelled.join(least, "label").select(
+        "bits",
+        "node",
+        F.col("least.node").alias("component"),
+        (F.col("least.bits") == F.col("bits")).alias("first"),
     )
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, fingerprint (16 hex digits), component_id (the smallest key
-    that links reach).
+    that links reach; null if they reach none).
 
     Null and empty texts have the fingerprint zero, which links like any other. Repeated rows and
     equal texts share a component. The key is an integer, unique among different texts. An empty
@@ -204,16 +214,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(groups, "bits").select(
         F.col(f"row.`{key}`").alias(key),
         as_hex(F.col("bits")).alias("fingerprint"),
-        F.col("component").alias("component_id"),
+        F.nullif("component", F.lit(NO_KEY)).alias("component_id"),
     )
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose key is the smallest of their component, with the columns of the input. Where
-    several rows carry that key, all of them stay."""
+    several rows carry that key, those with the smallest fingerprint stay."""
     prints = stored(fingerprints(docs, text), "simhash")
-    id_ = F.coalesce(F.col(f"row.`{key}`").cast("long"), F.lit((1 << 63) - 1))
-    first = group(prints, key).where("node = component").select("bits", "node")
+    id_ = F.coalesce(F.col(f"row.`{key}`").cast("long"), F.lit(NO_KEY))
+    first = group(prints, key).where("first").select("bits", "node")
     return (
         prints.withColumn("node", id_).join(first, ["bits", "node"], "left_semi").select("row.*")
     )

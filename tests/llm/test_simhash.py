@@ -150,3 +150,24 @@ def test_a_hot_fingerprint_and_null_keys(spark):
     kept = simhash.one_of_each(docs)
     assert kept.where(F.col("text") == "one two three four").count() == 1
     assert kept.where("text = 'alone here'").count() == 1
+
+
+def test_null_and_repeated_keys_are_not_one_node(spark):
+    """Texts without a key, or with the same key, are linked by their fingerprints alone."""
+    draw = random.Random(4)
+    near, nearer = [], []
+    while len(near) < 5:
+        words = [f"w{draw.randrange(10_000)}" for _ in range(400)]
+        pair = " ".join(words), " ".join([*words[:-1], "changed"])
+        if 0 < (brute_print(pair[0]) ^ brute_print(pair[1])).bit_count() <= 3:
+            near.append(pair[0])
+            nearer.append(pair[1])
+    rows = [(1, near[0]), (None, nearer[0]), (None, near[1]), (2, near[2]), (None, nearer[2])]
+    rows += [(None, near[3]), (None, nearer[3]), (7, near[4]), (7, nearer[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.fingerprint: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    wanted = [1, 1, None, 2, 2, None, None, 7, 7]
+    assert found == {f"{brute_print(t):016x}": c for (_, t), c in zip(rows, wanted)}
+    kept = {r.text for r in simhash.one_of_each(docs).collect()}
+    pick = [min((brute_print(t) - (brute_print(t) >> 63 << 64), t) for t in (near[i], nearer[i]))[1] for i in (3, 4)]
+    assert kept == {near[0], near[1], near[2], *pick}
