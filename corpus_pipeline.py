@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.llm import exact_dedup, jaccard, packing, toxicity
+from tallyvox.llm import exact_dedup, packing, simhash, toxicity
 from tallyvox.llm.common import read, stored, tokenizer_path
 
 
@@ -25,9 +25,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with a five-word Jaccard similarity of 0.8 or more, the document
-    with the smallest doc_id."""
-    return jaccard.one_of_each(docs)
+    """Of each component of SimHash fingerprints (three-word shingles, at most three differing bits),
+    the document with the smallest doc_id."""
+    return simhash.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
