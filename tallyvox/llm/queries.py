@@ -11,12 +11,14 @@ from tallyvox.llm import (
     edit_embedding,
     exact_dedup,
     packing,
+    rtree,
     sentencepiece_backend,
     sharding,
     simhash,
     tokens,
     toxicity,
     url_filter,
+    voronoi,
     warc,
 )
 from tallyvox.llm.common import read, tokenizer_path
@@ -122,3 +124,16 @@ def op10_warc(spark, sf_dir):
     """The pages as WARC records in ZIP packages, read back by range."""
     records = warc.round_trip(read(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op11_voronoi_knn(spark, sf_dir):
+    """The five best other vectors of every fiftieth vector, by integer inner product."""
+    return voronoi.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth vector; every seventh vector carries the next label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)

@@ -56,3 +56,41 @@ SELECT page_id,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM firsts
 """
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_WHOLE = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE))"
+
+LLM_SQL["op11_voronoi_knn"] = f"""
+WITH e AS (SELECT vec_id, {_WHOLE} AS v FROM embeddings WHERE {_FINITE}),
+scored AS (
+  SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v)::BIGINT AS score
+  FROM e q JOIN e ON e.vec_id <> q.vec_id
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER best)::INT AS rank, vec_id, score
+FROM scored
+QUALIFY row_number() OVER best <= 5
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+"""
+
+LLM_SQL["op13_hard_negatives"] = f"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND {_FINITE}
+), scored AS (
+  SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, list_inner_product(a.v, e.v)::BIGINT AS score
+  FROM e a JOIN e ON e.vec_id <> a.vec_id
+  WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER best)::INT AS rank, n.vec_id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM positives p
+JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY row_number() OVER best <= 10
+WINDOW best AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)
+"""

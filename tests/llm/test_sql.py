@@ -4,7 +4,7 @@ import pytest
 
 from tallyvox.llm.queries import LLM_QUERIES, LLM_SQL
 
-TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "BOOLEAN": "boolean"}
+TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "BOOLEAN": "boolean", "INTEGER": "int"}
 
 
 def test_a_query_for_every_operator():
