@@ -11,6 +11,7 @@ from tallyvox.llm import (
     edit_embedding,
     exact_dedup,
     packing,
+    phrases,
     rtree,
     sentencepiece_backend,
     sharding,
@@ -132,6 +133,12 @@ def op11_voronoi_knn(spark, sf_dir):
     return voronoi.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@query
+def op12_collocations(spark, sf_dir):
+    """The 2,000 best phrases of two or three words of each language."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_hard_negatives(spark, sf_dir):
     """Hard negatives of every hundredth vector; every seventh vector carries the next label."""

@@ -69,8 +69,8 @@ scored AS (
 )
 SELECT query_id, (row_number() OVER best)::INT AS rank, vec_id, score
 FROM scored
-QUALIFY row_number() OVER best <= 5
 WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 5
 """
 
 LLM_SQL["op13_hard_negatives"] = f"""
@@ -91,6 +91,47 @@ SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER best)::INT AS ra
 FROM positives p
 JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
   AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
-QUALIFY row_number() OVER best <= 10
 WINDOW best AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER best <= 10
+"""
+
+LLM_SQL["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), n AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
+), counted AS (
+  SELECT lang, words, phrase, count(*) AS f
+  FROM (
+    SELECT lang, size AS words,
+           unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+    FROM worded, (VALUES (1), (2), (3)) sizes(size)
+    WHERE len(w) >= size
+  )
+  GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, string_split(c.phrase, ' ') AS w
+  FROM counted c, (VALUES (1), (2)) ks(k)
+  WHERE c.words > k
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r,
+         ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts
+  JOIN counted x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[:k], ' ')
+  JOIN counted y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, k) = 1
+), covered AS (
+  SELECT lang, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase, f AS longer
+  FROM (SELECT lang, string_split(phrase, ' ') AS w, f FROM counted WHERE words = 3)
+)
+SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score
+FROM scored s JOIN n USING (lang)
+WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.lang = s.lang AND c.phrase = s.phrase AND 100 * c.longer >= 50 * s.a)
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER best <= 2000
 """
