@@ -3,13 +3,14 @@
 The texts are cut into shards that fit a task. Each is mined completely, level by level, at the
 support lowered in proportion to its share of the language: a phrase that reaches the support
 over all texts reaches the lowered one in some shard, so the union of what the shards report misses none.
-What is reported carries its count. In a language of which every shard is so small that the lowered support is
-one, the shards report all they hold, and the counts just add up. For the others, the candidates
-are then counted in full by a second pass.
+The candidates are then counted in full by a second pass.
 
-Inside a shard words are numbers, phrases of one length are numbered by sorting, and a phrase is looked at only
-if both its parts of one word less are frequent enough there. Texts leave the shard as the phrases they are, so no
-hash stands for a phrase.
+Where a language has so many shards that the lowered support is one (from half the support on), its shards
+report all their phrases, each with its count; the union adds them up, and no second count is needed.
+
+Inside a shard words are numbers, phrases of one length are numbered by sorting, and a phrase is looked at
+only if both its parts of one word less are frequent enough there. Phrases leave the shard as text, in
+buckets that the words decide, so no hash stands for a phrase and a frequent one is a row of each shard.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,10 @@ SCALE = 1_000_000
 KEYS = ["lang", "words", "phrase"]
 OUT = "lang string, words int, phrase string, count long"
 NAMES = [*KEYS, "count"]
+REPORT = "lang string, bucket long, words int, open boolean, found binary"
+REPORT_NAMES = [field.split()[0] for field in REPORT.split(", ")]
+BUCKET_BYTES = 2 << 20  # of a language's texts, for each bucket of its phrases
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 TO_BREAK = bytes.maketrans(BREAKS.encode() + b"\t", b"." * len(BREAKS) + b" ")
 
 
@@ -76,18 +82,31 @@ def mined(codes: np.ndarray, longest: int, support: int) -> Iterator[tuple[int,
 
 
 def shard_counts(
-    lang: str, texts: list[str | None], longest: int, support: int
-) -> Iterator[pa.RecordBatch]:
-    """The shard's phrases that occur at least `support` times, and all its words as a phrase of none."""
+    texts: list[str | None], longest: int, support: int, buckets: int
+) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(bucket, words, phrases and counts) of the shard's phrases that occur at least `support` times; its
+    number of words goes as a phrase of none. A phrase's words decide its bucket."""
     words, codes = words_of(texts)
-    yield _rows(lang, 0, pa.array([""]), np.array([np.count_nonzero(codes >= 0)]))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+
+    def placed(codes: np.ndarray, support: int, sign: int) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+        for size, at, counts in mined(codes, longest, support):
+            mixed = np.zeros(len(at), np.uint64)
+            for i in range(size):
+                mixed = (mixed ^ hashes[codes[at + i]]) * FACTOR
+            bucket = (mixed >> np.uint64(32)).astype(np.int64) % buckets
+            order = np.argsort(bucket)
+            found = _batch(_phrases(words, codes, at[order], size), sign * counts[order])
+            starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+                yield int(bucket[order[start]]), size, found.slice(start, stop - start)
+
+    yield 0, 0, _batch(pa.array([""]), np.array([np.count_nonzero(codes >= 0)]))
     for start in range(0, len(codes), SHARD_WORDS):
-        part, overlap = codes[start : start + SHARD_WORDS + longest - 1], codes[start + SHARD_WORDS :][: longest - 1]
-        least = support if len(codes) <= SHARD_WORDS else 1  # parts of a shard report all they hold
-        for size, at, counts in mined(part, longest, least):
-            yield _rows(lang, size, _phrases(words, part, at, size), counts)
-        for size, at, counts in mined(overlap, longest, 1):  # what the next part counts
-            yield _rows(lang, size, _phrases(words, overlap, at, size), -counts)
+        # Parts of a long run overlap, and report all they hold; what the next part counts is taken off.
+        least = support if len(codes) <= SHARD_WORDS else 1
+        yield from placed(codes[start : start + SHARD_WORDS + longest - 1], least, 1)
+        yield from placed(codes[start + SHARD_WORDS :][: longest - 1], 1, -1)
 
 
 def _phrases(words: pa.Array, codes: np.ndarray, places: np.ndarray, size: int) -> pa.Array:
@@ -95,30 +114,38 @@ def _phrases(words: pa.Array, codes: np.ndarray, places: np.ndarray, size: int)
     return (pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0]).cast(pa.string())
 
 
-def _rows(lang: str, size: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    sizes = pa.array(np.full(len(counts), size, np.int32))
-    return pa.RecordBatch.from_arrays(
-        [pa.repeat(pa.scalar(lang), len(counts)), sizes, phrases, pa.array(counts.astype(np.int64))], names=NAMES
-    )
+def _batch(phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([phrases, pa.array(counts.astype(np.int64))], names=["phrase", "count"])
+
 
+def _written(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-def shards(rows: DataFrame, longest: int, support: int) -> DataFrame:
-    """What every shard of (lang, total, text) reports. A language's support is lowered to the share
-    of its `total` that the shard holds."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}  # lang: texts, their size, the language's size
+def summed(rows: DataFrame, longest: int, support: int) -> DataFrame:
+    """Phrases of (lang, total, open, text) with the sum of what the shards report. In an open language, of
+    `total` bytes, the support is lowered to the share that the shard holds, and whatever a shard reports
+    is kept; in others shards report everything, and what does not reach the support goes."""
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}  # lang: texts, their size, the language's size, whether it is open
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, (texts, weight, total) in held.items():
-                yield from shard_counts(lang, texts, longest, max(1, -(-support * weight // max(1, total))))
+            for lang, (texts, weight, total, open_) in held.items():
+                local = max(1, -(-support * weight // total)) if open_ else 1
+                for bucket, words, found in shard_counts(texts, longest, local, -(-total // BUCKET_BYTES)):
+                    row = [lang], [bucket], pa.array([words], pa.int32()), [open_], [_written(found)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, row)], names=REPORT_NAMES)
             held.clear()
 
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
-            for lang, total, text, n in zip(*(batch.column(i).to_pylist() for i in range(3)), sizes):
-                mine = held.setdefault(lang, [[], 0, total])
+            sizes = pc.fill_null(pc.binary_length(batch.column(3)), 0).to_pylist()
+            for lang, total, open_, text, n in zip(*(batch.column(i).to_pylist() for i in range(4)), sizes):
+                mine = held.setdefault(lang, [[], 0, total, open_])
                 mine[0].append(text)
                 mine[1] += n + 1
                 size += n + 1
@@ -127,7 +154,20 @@ def shards(rows: DataFrame, longest: int, support: int) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return rows.select("lang", "total", "text").mapInArrow(run, OUT)
+    def add_up(group: pa.Table) -> pa.Table:
+        parts = []
+        for words, payload in zip(group.column("words").to_pylist(), group.column("found").to_pylist()):
+            part = pa.ipc.open_stream(payload).read_all()
+            parts.append(part.append_column("words", pa.repeat(pa.scalar(words, pa.int32()), len(part))))
+        total = pa.concat_tables(parts).group_by(["words", "phrase"], use_threads=False).aggregate([("count", "sum")])
+        if not group.column("open")[0].as_py():
+            often = pc.greater_equal(total.column("count_sum"), support)
+            total = total.filter(pc.or_(often, pc.equal(total.column("words"), 0)))
+        lang = pa.repeat(group.column("lang")[0], len(total))
+        return pa.table([lang, *(total.column(c) for c in ("words", "phrase", "count_sum"))], names=NAMES)
+
+    found = rows.select("lang", "total", "open", "text").mapInArrow(report, REPORT)
+    return found.groupBy("lang", "bucket").applyInArrow(add_up, OUT)
 
 
 # --- all shards ------------------------------------------------------------------------------
@@ -144,23 +184,22 @@ def phrase_counts(
     `support` times in their language; with 0 words, the number of all words of each language."""
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UND)).alias("lang"), F.col(f"`{text}`").alias("text"))
     weight = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    totals = rows.groupBy("lang").agg(F.sum(weight).alias("total"), F.max(weight).alias("most"))
-    # In other languages the share of every shard, which one text may make longer, asks for one.
-    open_ = F.col("total") < support * (F.lit(SHARD_BYTES) + F.col("most"))
-    totals = stored(totals.withColumn("open", open_), "languages")
+    by_task = rows.groupBy("lang", F.spark_partition_id().alias("task")).agg(F.sum(weight).alias("weight"))
+    pieces = F.sum(F.ceil(F.col("weight") / SHARD_BYTES)).alias("shards")
+    totals = by_task.groupBy("lang").agg(F.sum("weight").alias("total"), pieces)
+    # With more shards a lowered support is hardly ever above one, and would save nothing.
+    totals = stored(totals.withColumn("open", 2 * F.col("shards") <= support).drop("shards"), "languages")
     small = totals.count() <= MAX_LANGUAGES
     weighed = _with_languages(rows, totals, small)
-    summed = shards(weighed, longest, support).groupBy(*KEYS).agg(F.sum("count").alias("count"))
-    summed = _with_languages(summed, totals.select("lang", "open"), small)
-    united = stored(summed.where("open OR words = 0 OR count >= %d" % support), "candidates")
-    known = united.where("NOT open OR words = 0").select(*NAMES)
-    if totals.where("open").isEmpty():
-        return known
+    found = stored(summed(weighed, longest, support), "candidates")
+    open_ = totals.where("open").select("lang")
+    if open_.isEmpty():
+        return found
     # A shard may have kept a candidate to itself: count all candidates of these languages in full.
-    every = shards(weighed.where("open"), longest, 1)
-    counted = every.join(united.where("open").select(*KEYS), KEYS, "left_semi")
-    counted = counted.where("words > 0").groupBy(*KEYS).agg(F.sum("count").alias("count"))
-    return known.union(counted.where(F.col("count") >= support))
+    candidates = found.join(open_, "lang", "left_semi")
+    every = summed(weighed.where("open").withColumn("open", F.lit(False)), longest, support)
+    counted = every.join(candidates.select(*KEYS), KEYS, "left_semi")
+    return found.join(open_, "lang", "left_anti").select(*NAMES).union(counted.select(*NAMES))
 
 
 def _inside(phrase: Column, words: Column, shortest: int) -> Column:

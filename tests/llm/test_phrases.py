@@ -86,10 +86,11 @@ def test_documents(spark, sf_dir, duck):
     assert found(read(spark, sf_dir, "documents")) == brute(rows)
 
 
-@pytest.mark.parametrize("shard_bytes", [200, 4000, 1 << 20])
+@pytest.mark.parametrize("shard_bytes", [4000, 30_000, 1 << 20])
 def test_lowered_support_misses_nothing(spark, monkeypatch, duck, shard_bytes):
     """Shards of any size, so of any lowered support, and any share of a language."""
     monkeypatch.setattr(phrases, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(phrases, "BUCKET_BYTES", 10_000)
     rows = duck.sql("SELECT lang, left(text, 3000) FROM documents ORDER BY doc_id LIMIT 60").fetchall()
     rows += [("en", "the same words again")] * 150
     counts, n = brute_counts(rows, 3)
@@ -108,9 +109,11 @@ def test_a_text_longer_than_a_part(monkeypatch):
     for size in (7, 100, 4096, 1 << 21):
         monkeypatch.setattr(phrases, "SHARD_WORDS", size)
         got = Counter()
-        for batch in phrases.shard_counts("en", texts, 4, 1):
+        bucket_of = {}
+        for bucket, words, batch in phrases.shard_counts(texts, 4, 1, 5):
             for row in batch.to_pylist():
-                got[row["words"], row["phrase"]] += row["count"]
+                got[words, row["phrase"]] += row["count"]
+                assert bucket_of.setdefault((words, row["phrase"]), bucket) == bucket < 5
         want = {(p.count(" ") + 1, p): a for p, a in counts["en"].items()} | {(0, ""): n["en"]}
         assert {k: a for k, a in got.items() if a} == want
 
