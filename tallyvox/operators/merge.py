@@ -1,24 +1,18 @@
-"""Keyed upsert, change-log folding and published snapshots.
+"""Keyed upsert and change-log folding.
 
 A later copy of a record replaces only the mutable columns; all others keep the first value.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
-from datetime import date
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyvox.operators.lookup import fits_broadcast
 from tallyvox.operators.quality import dedupe_posts
-from tallyvox.schema import MUTABLE_COLUMNS, PARTITION_COLUMN, POST_KEY, POST_SCHEMA
-from tallyvox.session import discard, fresh_dir
+from tallyvox.schema import MUTABLE_COLUMNS, POST_KEY
 
 
 def upsert(
@@ -86,183 +80,3 @@ def fold_log(
     picked.update({c: F.col(f"_last.{c}") for c in mutable})
     picked[key] = F.col(key)
     return log.groupBy(key).agg(first, last).select(*[picked[c].alias(c) for c in columns])
-
-
-# --- the stored table ----------------------------------------------------------------------
-#
-# `log` holds a folder per stored batch, `batches` a mark for each one that is complete, `days` a
-# folder per day and rewrite. A manifest names the folder of every day and, per stream, the last
-# batch that its days contain; `published` lists the manifests. Marks and versions are one-row
-# files appended after what they name has been written, so a reader never sees half of anything.
-
-MARK = "stream string, batch_id bigint, seq bigint, path string"
-VERSION = "version bigint, manifest string"
-MANIFEST = "day string, path string, stream string, upto bigint"
-SEQ = "_seq"
-
-
-@dataclass(frozen=True)
-class Version:
-    """A published state: the folder of each day, and the last folded batch of each stream."""
-
-    number: int
-    days: dict[str, str]
-    folded: dict[str, int]
-
-
-def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
-def _append_row(spark: SparkSession, path: str, schema: str, *values) -> None:
-    names = [f.split()[0] for f in schema.split(", ")]
-    one = spark.range(0, 1, 1, 1).select(*[F.lit(v).alias(n) for n, v in zip(names, values)])
-    one.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in schema.split(", ")]).write.mode(
-        "append"
-    ).parquet(path)
-
-
-def current_version(spark: SparkSession, root: str) -> Version | None:
-    versions = _rows(spark, f"{root}/published", VERSION)
-    newest = versions and versions.agg(F.max(F.struct("version", "manifest")).alias("v")).first().v
-    if not newest:
-        return None
-    rows = spark.read.schema(MANIFEST).parquet(newest.manifest).collect()  # a row per day and stream
-    return Version(
-        newest.version,
-        {r.day: r.path for r in rows if r.day is not None},
-        {r.stream: r.upto for r in rows if r.stream is not None},
-    )
-
-
-def _publish(spark: SparkSession, root: str, before: Version | None, days: dict, folded: dict) -> None:
-    rows = [(day, path, None, None) for day, path in days.items()]
-    rows += [(None, None, stream, upto) for stream, upto in folded.items()]
-    manifest = f"{root}/manifests/{uuid.uuid4().hex}"
-    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(manifest)
-    _append_row(spark, f"{root}/published", VERSION, before.number + 1 if before else 0, manifest)
-
-
-def _write_days(frame: DataFrame, root: str) -> dict[str, str]:
-    """Write a new folder for each day in `frame`; the days are listed from what was written."""
-    spark, path = frame.sparkSession, f"{root}/days/{uuid.uuid4().hex}"
-    dated = frame.withColumn(PARTITION_COLUMN, F.to_date("created_utc"))
-    dated.hint("rebalance", PARTITION_COLUMN).write.partitionBy(PARTITION_COLUMN).parquet(path)
-    schema = T.StructType([*frame.schema.fields, T.StructField(PARTITION_COLUMN, T.StringType())])
-    found = spark.read.schema(schema).parquet(path).select(PARTITION_COLUMN).distinct().collect()
-    return {day: f"{path}/{PARTITION_COLUMN}={day}" for (day,) in found}
-
-
-def _read_days(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def publish_snapshot(frame: DataFrame, root: str, version: int, stream: str = "snapshots") -> None:
-    """Replace the whole table. A version of `stream` that is published, or older than one that
-    is, is left alone, so repeating it changes nothing. Batches in the log that no version
-    contains stay in force."""
-    spark = frame.sparkSession
-    current = current_version(spark, root)
-    folded = current.folded if current else {}
-    if version > folded.get(stream, -1):
-        _publish(spark, root, current, _write_days(frame, root), {**folded, stream: version})
-
-
-def write_log_batch(
-    batch: DataFrame, root: str, batch_id: int, stream: str = "stream", key: str = POST_KEY
-) -> None:
-    """Store one batch of a stream, made unique by key. A batch that is stored already is left
-    alone. Name each checkpoint's stream differently: batch ids count within a stream, and its
-    batches come in their order. The order over all streams is that of the marks."""
-    spark = batch.sparkSession
-    marks = _rows(spark, f"{root}/batches", MARK)
-    mine = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
-    known = marks and marks.agg(F.max("seq").alias("seq"), F.count_if(mine).alias("mine")).first()
-    if known and known.mine:
-        return
-    seq = 0 if not known or known.seq is None else known.seq + 1
-    path = f"{root}/log/{uuid.uuid4().hex}"
-    dedupe_posts(batch, key).withColumn(SEQ, F.lit(seq).cast("bigint")).write.parquet(path)
-    _append_row(spark, f"{root}/batches", MARK, stream, batch_id, seq, path)
-
-
-def _pending(spark: SparkSession, root: str, current: Version | None) -> list:
-    """Marks of complete batches that no version contains: as many as came since the last fold."""
-    marks = _rows(spark, f"{root}/batches", MARK)
-    if marks is None:
-        return []
-    later = F.lit(True)
-    for stream, upto in (current.folded if current else {}).items():
-        later &= (F.col("stream") != stream) | (F.col("batch_id") > upto)
-    return marks.where(later).orderBy("seq", "stream", "batch_id").collect()
-
-
-def _folded_log(spark: SparkSession, pending: Sequence, schema: T.StructType) -> DataFrame:
-    with_seq = T.StructType([*schema.fields, T.StructField(SEQ, T.LongType())])
-    return fold_log(spark.read.schema(with_seq).parquet(*[mark.path for mark in pending]), SEQ)
-
-
-def read_snapshot(
-    spark: SparkSession, root: str, schema: T.StructType = POST_SCHEMA
-) -> DataFrame | None:
-    """The published table, without batches that are only in the log."""
-    current = current_version(spark, root)
-    return None if current is None else _read_days(spark, [*current.days.values()], schema)
-
-
-def read_current(
-    spark: SparkSession, root: str, since: date | None = None, schema: T.StructType = POST_SCHEMA
-) -> DataFrame | None:
-    """The published table with all complete later batches folded in; None before the first row.
-    With `since`, earlier days are neither listed nor read."""
-    current = current_version(spark, root)
-    pending = _pending(spark, root, current)
-    if current is None and not pending:
-        return None
-    wanted = {d: p for d, p in (current.days if current else {}).items() if not since or d >= str(since)}
-    base = _read_days(spark, [*wanted.values()], schema)
-    if not pending:
-        return base
-    later = _folded_log(spark, pending, schema)
-    if since:
-        later = later.where(F.to_date("created_utc") >= F.lit(since))
-    return upsert(base, later, unique_updates=True) if wanted else later
-
-
-def compact(spark: SparkSession, root: str, schema: T.StructType = POST_SCHEMA) -> bool:
-    """Fold all complete later batches into the days they touch and publish; other days are
-    neither read nor written. False if there was nothing to fold.
-
-    A record's creation time, and with it its day, is fixed from its first copy on, as the source
-    keeps it. Batches that become complete from here on stay in the log, and so do those of a
-    second `compact` that publishes first: whatever a version does not contain is read from the log.
-    """
-    current = current_version(spark, root)
-    pending = _pending(spark, root, current)
-    if not pending:
-        return False
-    # Folded and written once; then measured, split into days and merged from there.
-    scratch = fresh_dir(spark, "folded")
-    _folded_log(spark, pending, schema).write.parquet(scratch)
-    updates = spark.read.schema(schema).parquet(scratch)
-    touched = {str(d) for (d,) in updates.select(F.to_date("created_utc")).distinct().collect()}
-    days = current.days if current else {}
-    base = _read_days(spark, [days[d] for d in sorted(touched & days.keys())], schema)
-    merged = upsert(base, updates, unique_updates=True) if touched & days.keys() else updates
-    folded = dict(current.folded) if current else {}
-    for mark in pending:
-        folded[mark.stream] = max(mark.batch_id, folded.get(mark.stream, -1))
-    _publish(spark, root, current, {**days, **_write_days(merged, root)}, folded)
-    discard(spark, scratch)
-    return True
-
-
-def transfer(batch: DataFrame, root: str, batch_id: int, stream: str = "transfer") -> None:
-    """One staged batch into the published table, all of it or nothing; a repeat changes nothing."""
-    write_log_batch(batch, root, batch_id, stream)
-    compact(batch.sparkSession, root)

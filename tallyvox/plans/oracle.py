@@ -558,6 +558,10 @@ FROM arrived JOIN marks USING (slice)"""
 ORACLE["stream_upsert"] = MERGED_VIEW
 ORACLE["stream_restart"] = MERGED_VIEW
 ORACLE["stream_resume"] = MERGED_VIEW
+ORACLE["stream_moved_days"] = f"""WITH {UPSERT}
+SELECT m.post_id, m.upvotes, CASE WHEN {_NUMBER.replace('post_id', 'm.post_id')} % 3 <> 0 THEN {stamp('p.created_utc')}
+  ELSE {stamp('p.created_utc + INTERVAL 1 DAY')} END AS created_utc
+FROM merged m JOIN (SELECT * FROM {PE}) p ON p.post_id = m.post_id"""
 ORACLE["stream_collect"] = """
 SELECT CAST(event_id AS VARCHAR) AS post_id, 'user_' || user_id AS author, event_type AS text,
   event_type AS subreddit, CAST(floor(value) AS INTEGER) AS upvotes, 0 AS num_comments,

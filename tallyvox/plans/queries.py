@@ -22,7 +22,7 @@ from tallyvox.plans.adapters import (
 )
 from tallyvox.schema import typed_rejects, with_post_schema
 from tallyvox.session import fresh_dir
-from tallyvox.sources import landed, lookups, posts as post_table
+from tallyvox.sources import keyed_table, landed, lookups, posts as post_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -272,12 +272,12 @@ def transfer_batch(spark, sf_dir):
     """Staged files into the published table: scan, merge, write, publish."""
     base, updates = _upsert_pair(spark, sf_dir)
     root, staged = fresh_dir(spark, "table"), fresh_dir(spark, "staged")
-    merge.publish_snapshot(base, root, 0)
+    keyed_table.publish_snapshot(base, root, 0)
     post_table.append_posts(updates, staged)
     batch = post_table.scan_posts(spark, staged)
-    merge.transfer(batch, root, 0)
-    merge.transfer(batch, root, 0)  # a repeated transfer changes nothing
-    return _merged_view(merge.read_snapshot(spark, root))
+    keyed_table.transfer(batch, root, 0)
+    keyed_table.transfer(batch, root, 0)  # a repeated transfer changes nothing
+    return _merged_view(keyed_table.read_snapshot(spark, root))
 
 
 @query
@@ -285,11 +285,11 @@ def sink_atomic_snapshot(spark, sf_dir):
     """Publishing a version again, or an older one, changes nothing."""
     root = fresh_dir(spark, "table")
     base, updates = _upsert_pair(spark, sf_dir)
-    merge.publish_snapshot(base, root, 1)
-    merge.publish_snapshot(merge.upsert(base, updates), root, 2)
-    merge.publish_snapshot(base, root, 2)
-    merge.publish_snapshot(base, root, 1)
-    stored = merge.read_snapshot(spark, root)
+    keyed_table.publish_snapshot(base, root, 1)
+    keyed_table.publish_snapshot(merge.upsert(base, updates), root, 2)
+    keyed_table.publish_snapshot(base, root, 2)
+    keyed_table.publish_snapshot(base, root, 1)
+    stored = keyed_table.read_snapshot(spark, root)
     return stored.groupBy("subreddit").agg(
         F.count(F.lit(1)).alias("posts"), F.sum(F.col("upvotes").cast("bigint")).alias("upvotes")
     )

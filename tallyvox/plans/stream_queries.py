@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyvox.operators.enrich import enrich
-from tallyvox.operators.merge import compact, publish_snapshot, read_current, write_log_batch
 from tallyvox.plans import models, reports
 from tallyvox.plans.adapters import POSTS_DOCUMENTS, TABLE_SCHEMAS, posts_events, table
 from tallyvox.plans.queries import Query, _merged_view, _upsert_pair, six, stamp
 from tallyvox.schema import POST_SCHEMA
 from tallyvox.session import fresh_dir, pin_utc
+from tallyvox.sources.keyed_table import compact, publish_snapshot, read_current, read_snapshot, write_log_batch
 from tallyvox.sources.landed import cursor_token, read_listings
 from tallyvox.sources.posts import load_posts
 from tallyvox.streaming import feeds, sinks
@@ -174,6 +174,19 @@ def stream_resume(spark, sf_dir):
     return _merged_view(read_current(spark, root))
 
 
+@stream_query
+def stream_moved_days(spark, sf_dir):
+    """Later copies that name another day of creation than the first: each key stays on its day."""
+    landing, root, checkpoint = (fresh_dir(spark, n) for n in ("landing", "table", "checkpoint"))
+    base, updates = _upsert_pair(spark, sf_dir)
+    publish_snapshot(base, root, 0)
+    moved = F.col("created_utc") + F.make_interval(days=F.lit(1))
+    updates.withColumn("created_utc", moved).write.parquet(landing)
+    sinks.upsert_sink(_posts_feed(spark, landing), root, checkpoint).awaitTermination()
+    compact(spark, root)
+    return read_snapshot(spark, root).select("post_id", "upvotes", stamp(F.col("created_utc")).alias("created_utc"))
+
+
 @stream_query
 def stream_collect(spark, sf_dir):
     """The whole job: landed listings and replies, a few files at a time, to the keyed table."""

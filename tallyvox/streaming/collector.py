@@ -8,8 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyvox.operators.enrich import enrich
 from tallyvox.operators.language import LanguageModel
-from tallyvox.operators.merge import compact, write_log_batch
 from tallyvox.operators.quality import is_bot
+from tallyvox.sources.keyed_table import compact, write_log_batch
 from tallyvox.sources.landed import read_listings, read_replies
 from tallyvox.streaming.sinks import run_batches, stream_name
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyvox.operators.merge import write_log_batch
+from tallyvox.sources.keyed_table import write_log_batch
 
 ONCE = {"availableNow": True}
 

@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyvox.operators.language import LanguageModel
-from tallyvox.operators.merge import current_version, read_current
 from tallyvox.plans.adapters import posts_events
 from tallyvox.plans.stream_queries import land
 from tallyvox.schema import POST_SCHEMA
 from tallyvox.session import fresh_dir
+from tallyvox.sources.keyed_table import current_version, read_current
 from tallyvox.sources.landed import read_listings
 from tallyvox.streaming import feeds, sinks
 from tallyvox.streaming.collector import collect
