@@ -120,7 +120,7 @@ def _batch(phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
 
 def _written(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
