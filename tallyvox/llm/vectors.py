@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyvox.llm.common import shuffle_partitions
+
 SCALE = 256
 BUFFER_VALUES = 1 << 22  # components a task holds while it packs
 BLOCK_VALUES = 1 << 18
@@ -202,5 +204,7 @@ def meet(
         {f.split()[0]: pa.array([], {"long": pa.int64(), "int": pa.int32()}[f.split()[1]]) for f in schema.split(", ")}
     )
     keys = ["group", "slice"]
-    left = queries.select(*keys, *columns).groupBy(*keys)
-    return left.cogroup(data.select(*keys, *SIDE).groupBy(*keys)).applyInArrow(run, schema)
+    # A given number: by the few bytes that make much work, all tasks would be coalesced into one.
+    tasks = shuffle_partitions(data.sparkSession)
+    left, right = (f.repartition(tasks, *keys).groupBy(*keys) for f in (queries.select(*keys, *columns), data.select(*keys, *SIDE)))
+    return left.cogroup(right).applyInArrow(run, schema)
