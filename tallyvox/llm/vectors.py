@@ -178,7 +178,7 @@ def share_out(amounts: np.ndarray, limit: int, order: list[int]) -> tuple[np.nda
         first[cell], parts[cell] = part, max(1, -(-int(amounts[cell]) // limit))
         held += amounts[cell]
         part += parts[cell] - 1
-    return first, parts, part + 1
+    return first, parts, int(part) + 1
 
 
 def spread(first: np.ndarray, parts: np.ndarray) -> Column:
@@ -206,5 +206,7 @@ def meet(
     keys = ["group", "slice"]
     # A given number: by the few bytes that make much work, all tasks would be coalesced into one.
     tasks = shuffle_partitions(data.sparkSession)
-    left, right = (f.repartition(tasks, *keys).groupBy(*keys) for f in (queries.select(*keys, *columns), data.select(*keys, *SIDE)))
+    place = [F.col(k).cast("int").alias(k) for k in keys]  # of one type, or the sides hash apart
+    sides = queries.select(*place, *columns), data.select(*place, *SIDE)
+    left, right = (side.repartition(tasks, *keys).groupBy(*keys) for side in sides)
     return left.cogroup(right).applyInArrow(run, schema)
