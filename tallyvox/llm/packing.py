@@ -30,7 +30,7 @@ from tallyvox.llm.units import spec, units
 WINDOW = 2048
 END_ID = 1
 STRETCH = 1 << 18  # tokens solved at once
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 22
 SENTENCE_CUT = 8  # a cut at a sentence end costs as much as so many tokens of padding
 WORD_CUT = 64  # a cut elsewhere
 SHORT_SEQUENCE = 8  # a sequence of a lower power of two
@@ -145,10 +145,6 @@ class Stream:
         return rows
 
 
-def _bytes(ids: np.ndarray) -> bytes:
-    return ids.tobytes()
-
-
 @cache
 def sentence_ends(path: str) -> np.ndarray:
     """For each id: does its token end a sentence?"""
@@ -178,10 +174,10 @@ def pack(
         rows.select(F.col("id").alias(key)).schema.add("start", "long").add("length", "long")
         .add("ids", "binary").add("doc_tokens", "long").add("sequence_id", "long").add("offset", "long")
     )
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = units(path, _bytes)
+        encode = units(path, None)
         stream = Stream(sentence_ends(path), window, TaskContext.get().partitionId() << 36)
         kinds: list[pa.DataType] = [pa.null()]
 
@@ -196,9 +192,8 @@ def pack(
             kinds[0] = batch.column(0).type
             keys, first = batch.column(0).to_pylist(), 0
             for texts in by_bytes((t or "" for t in batch.column(1).to_pylist()), BATCH_CHARS):
-                for i, found_ids in enumerate(encode(texts)):
-                    ids = np.frombuffer(b"".join(found_ids) + end, "<u4")
-                    for found in stream.add(keys[first + i], ids):
+                for i, ids in enumerate(encode(texts)):
+                    for found in stream.add(keys[first + i], np.append(ids, end)):
                         yield table(found)
                 first += len(texts)
         if stream.docs:

@@ -23,7 +23,7 @@ from tallyvox.llm.common import shuffle_partitions
 SCALE = 256
 BUFFER_VALUES = 1 << 22  # components a task holds while it packs
 BLOCK_VALUES = 1 << 18
-SLICE_VALUES = 1 << 22
+SLICE_VALUES = 1 << 20
 GROUP_ROWS = 2048  # queries
 CHUNK_SCORES = 1 << 21  # scores at a time
 NO_KEY = (1 << 63) - 1  # stands for a null id

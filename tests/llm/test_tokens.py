@@ -103,3 +103,33 @@ def test_odd_rows(odd_documents, no_documents):
     )
     assert sorted(tuple(r) for r in found) == wanted
     assert tokens.token_counts(no_documents, path).count() == 0
+
+
+
+
+@pytest.mark.parametrize("entries", [30, 1 << 20])
+def test_ids_of_whole_texts_are_the_library(documents, entries):
+    """Batches one after another, with a table that is cleared in between and one that is not."""
+    shared = units.units(tokenizer_path(WORDS), None)
+    encode = units.WordIds(shared.tokenizer, shared.split, shared.joint, shared.plain, entries)
+    texts = [text or "" for _, text in documents] + [
+        "", " ", "x" * 5000, "a,b.c!? d'll we've 'S it's...", "İstanbul ΣΑΣ ΟΔΟΣ. ﬁn Å Å", "a\x1cb c\x1d", "tail### .,; ## _x_ <|endoftext|>",
+        "<|startoftext|> word<|endoftext|> ab̸c≠ é. Straße...  x y 12.5% café!!! ͅa",
+    ]
+    for start in range(0, len(texts), 40):
+        part = texts[start : start + 40]
+        assert [ids.tolist() for ids in encode(part)] == [library_cache(WORDS)(t) for t in part]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("aZé .,!'’#_̸́İΣßﬁ1٣\n \x1c"), max_size=40))
+def test_ids_of_any_whole_text(text):
+    encode = units.units(tokenizer_path(WORDS), None)
+    assert encode([text, text + " tail"])[0].tolist() == library_cache(WORDS)(text)
+
+
+def test_a_very_long_text_without_white_space_is_one_unit():
+    encode = units.units(tokenizer_path(WORDS), None)
+    text = "abcdefghij" * 1_000_000  # 10 MB, one word
+    before = len(encode.words)
+    assert encode([text])[0].tolist() == library_cache(WORDS)(text) and len(encode.words) == before
