@@ -25,12 +25,12 @@ from tallyvox.llm.common import as_row, by_bytes, parts, stored
 MAX_LABELLED = 20_000
 HASH_BITS = 20
 FEATURES = 2048
-PAIRS_PER_DOC = 2
 BLOCK = 1 << 18
 BATCH_CHARS = 1 << 19
 FOLDS = 5
 
-# Neutral words for groups of people, by kind. A term is swapped within its kind.
+# Neutral words for groups of people, by kind and language (en, de, es, fr). A term is
+# swapped within its kind.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "mothers", "fathers"),
     ("woman", "man", "girl", "boy", "mother", "father"),
@@ -42,6 +42,21 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "locals", "citizens"),
     ("old", "young", "elderly", "teenage"),
     ("deaf", "blind", "disabled", "autistic"),
+    ("frauen", "männer", "mädchen", "jungen", "mütter", "väter"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwule", "lesben", "bisexuelle"),
+    ("türken", "russen", "polen", "franzosen", "deutsche"),
+    ("ausländer", "flüchtlinge", "einheimische", "bürger"),
+    ("mujeres", "hombres", "niñas", "niños", "madres", "padres"),
+    ("musulmanes", "cristianos", "judíos", "budistas", "ateos"),
+    ("gais", "lesbianas", "bisexuales"),
+    ("mexicanos", "rusos", "chinos", "alemanes", "españoles"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
+    ("femmes", "hommes", "filles", "garçons", "mères", "pères"),
+    ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées"),
+    ("gays", "lesbiennes", "bisexuels"),
+    ("russes", "chinois", "allemands", "algériens", "français"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
 )
 KIND = {term: kind for kind, terms in enumerate(IDENTITY_TERMS) for term in terms}
 WORD = re.compile(r"\w+")
@@ -129,10 +144,11 @@ def swapped(sentence: str) -> str:
 
 
 def counterfactuals(text: str) -> list[tuple[str, str]]:
-    """Pairs of sentences that ought to score alike. Sentences with an identity term come first."""
+    """Pairs of sentences that ought to score alike: of every sentence with an identity term, or of
+    one that is given a term where there is none."""
     sentences = [s for s in SENTENCE.findall(text) if s.strip()]
     named = [s for s in sentences if any(w in KIND for w in WORD.findall(s.lower()))]
-    pairs = [(s, swapped(s)) for s in named[:PAIRS_PER_DOC]]
+    pairs = [(s, swapped(s)) for s in named]
     if not pairs and sentences:
         plain = sentences[_pick(text, len(sentences))]
         words = plain.split()
@@ -205,9 +221,10 @@ def _informative(sample: DataFrame, count: int) -> np.ndarray:
     return np.sort(np.array([row.feature for row in best.select("feature").collect()], np.int64))
 
 
-def _examples(sample: DataFrame, features: np.ndarray) -> tuple[list, list, list]:
-    """Labels, the features of each text, and the signed feature changes of each swap, all by
-    position in `features`. As many rows as the sample has, a few hundred numbers each."""
+def _examples(sample: DataFrame, features: np.ndarray) -> tuple[list, list, list, list]:
+    """Labels, the features of each text, the signed feature changes of each swap, all by position in
+    `features`, and the weights of the swaps: one over their number in the text, so that long texts
+    count no more. As many rows as the sample has texts and sentences with a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(1 << HASH_BITS, bool)
@@ -221,24 +238,26 @@ def _examples(sample: DataFrame, features: np.ndarray) -> tuple[list, list, list
         for batch in parts(batches):
             toxic, first = batch.column(0).to_pylist(), 0
             for texts in by_bytes((t or "" for t in batch.column(1).to_pylist()), BATCH_CHARS):
-                pairs = [pair for t in texts for pair in counterfactuals(t)]
+                found = [counterfactuals(t) for t in texts]
+                pairs = [pair for of_text in found for pair in of_text]
+                shares = [1 / len(of_text) for of_text in found for _ in of_text]
                 before, after = lists([a for a, _ in pairs]), lists([b for _, b in pairs])
                 changes = [
                     np.concatenate([np.setdiff1d(a, b), ~np.setdiff1d(b, a)]).astype(np.int64)
                     for a, b in zip(before, after)
                 ]
-                rows = [(toxic[first + i], x.tolist()) for i, x in enumerate(lists(texts))]
-                rows += [(-1, change.tolist()) for change in changes if len(change)]
+                rows = [(toxic[first + i], x.tolist(), 1.0) for i, x in enumerate(lists(texts))]
+                rows += [(-1, change.tolist(), share) for change, share in zip(changes, shares) if len(change)]
                 first += len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))],
-                    names=["toxic", "features"],
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.list_(pa.int64()), pa.float64()))],
+                    names=["toxic", "features", "share"],
                 )
 
-    rows = sample.mapInArrow(run, "toxic int, features array<long>").toArrow()
-    label, lists = rows.column("toxic").to_pylist(), rows.column("features").to_pylist()
-    texts = [(y, x) for y, x in zip(label, lists) if y >= 0]
-    return [y for y, _ in texts], [x for _, x in texts], [x for y, x in zip(label, lists) if y < 0]
+    rows = sample.mapInArrow(run, "toxic int, features array<long>, share double").toArrow()
+    found = [*zip(*(rows.column(name).to_pylist() for name in ("toxic", "features", "share")))]
+    texts, swaps = [r for r in found if r[0] >= 0], [r for r in found if r[0] < 0]
+    return [y for y, _, _ in texts], [x for _, x, _ in texts], [x for _, x, _ in swaps], [w for _, _, w in swaps]
 
 
 def _rows(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,35 +267,52 @@ def _rows(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(flat < 0, ~flat, flat), np.where(flat < 0, -1.0, 1.0), row
 
 
+class Loss:
+    """The log loss + `penalty` x the mean squared change of the logit under a swap (by the swaps'
+    `shares`) + `ridge` x the squared weights. Toxic texts are rare, so they weigh as much more as
+    the square root of their rarity. The last value is the bias."""
+
+    def __init__(self, labels, texts, swaps, size: int, penalty: float, ridge: float, shares=None):
+        self.y, self.size, self.penalty, self.ridge = np.array(labels, float), size, penalty, ridge
+        n, bad = max(1, len(labels)), self.y.sum()
+        share = np.where(self.y > 0, np.sqrt(max(1.0, (n - bad) / max(1.0, bad))), 1.0)
+        self.share, self.start = share / share.sum(), np.log((bad + 0.5) / (n - bad + 0.5))
+        self.col, _, self.row = _rows(texts)
+        self.swap_col, self.sign, self.swap_row = _rows(swaps)
+        self.swaps = np.array(shares if shares is not None else [1.0] * len(swaps), float)
+        self.swaps = self.swaps / max(self.swaps.sum(), 1e-12)
+
+    def __call__(self, value: np.ndarray) -> tuple[float, np.ndarray]:
+        """The loss and its slope."""
+        logit = np.bincount(self.row, value[self.col], minlength=len(self.y)) + value[self.size]
+        logit = np.clip(logit, -40, 40)
+        error = self.share * (1 / (1 + np.exp(-logit)) - self.y)
+        slope = np.append(np.bincount(self.col, error[self.row], minlength=self.size), error.sum())
+        change = np.bincount(self.swap_row, self.sign * value[self.swap_col], minlength=len(self.swaps))
+        pull = (self.sign * (self.swaps * change)[self.swap_row]) if len(self.swaps) else self.sign
+        slope[:-1] += 2 * self.penalty * np.bincount(self.swap_col, pull, minlength=self.size)
+        slope[:-1] += 2 * self.ridge * value[:-1]
+        loss = (self.share * (np.logaddexp(0, logit) - self.y * logit)).sum()
+        loss += self.penalty * (self.swaps * change**2).sum() + self.ridge * (value[:-1] ** 2).sum()
+        return float(loss), slope
+
+
 def optimise(
     labels: list[int],
     texts: list[list[int]],
     swaps: list[list[int]],
     size: int,
     penalty: float,
+    shares: list[float] | None = None,
     ridge: float = 1e-4,
     steps: int = 300,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the log loss + `penalty` x the mean squared change of the
-    logit under a swap + `ridge` x the squared weights (Adam on the full sample). Toxic texts are
-    rare, so they weigh as much more as the square root of their rarity."""
-    y, n = np.array(labels, float), max(1, len(labels))
-    rarity = np.sqrt(max(1.0, (n - y.sum()) / max(1.0, y.sum())))
-    share = np.where(y > 0, rarity, 1.0)
-    share /= share.sum()
-    col, _, row = _rows(texts)
-    swap_col, sign, swap_row = _rows(swaps)
+    """Weights and bias that minimise `Loss` (Adam on the full sample)."""
+    loss = Loss(labels, texts, swaps, size, penalty, ridge, shares)
     value, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    value[size] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
+    value[size] = loss.start
     for step in range(1, steps + 1):
-        logit = np.bincount(row, value[col], minlength=len(labels)) + value[size]
-        error = share * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y)
-        slope = np.append(np.bincount(col, error[row], minlength=size), error.sum())
-        if swaps:
-            change = np.bincount(swap_row, sign * value[swap_col], minlength=len(swaps))
-            pull = np.bincount(swap_col, sign * change[swap_row], minlength=size)
-            slope[:size] += 2 * penalty / len(swaps) * pull
-        slope[:size] += 2 * ridge * value[:size]
+        _, slope = loss(value)
         m = 0.9 * m + 0.1 * slope
         v = 0.999 * v + 0.001 * slope**2
         value -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -294,11 +330,11 @@ def fit(
     Without labelled rows, or with one class only, every text scores the (smoothed) base rate."""
     sample = labelled_sample(docs, labels, key, max_labelled)
     features = _informative(sample, FEATURES)
-    toxic, texts, swaps = _examples(sample, features)
+    toxic, texts, swaps, shares = _examples(sample, features)
     if not 0 < sum(toxic) < len(toxic):
         rate = (sum(toxic) + 0.5) / (len(toxic) + 1) if toxic else 0.25
         return Model(features[:0], np.empty(0), float(np.log(rate / (1 - rate))))
-    weights, bias = optimise(toxic, texts, swaps, len(features), penalty)
+    weights, bias = optimise(toxic, texts, swaps, len(features), penalty, shares)
     return Model(features, weights, bias)
 
 
@@ -331,7 +367,13 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """One row per document: key, held_out (never fitted on), score, predicted (1: toxic)."""
+    """One row per document: key, held_out (never fitted on), score, predicted (1: toxic).
+
+    Repeated rows and rows that share a key are scored each, by their text alone; equal texts have
+    equal scores. Null and empty texts score as texts without features. A null key is not held
+    out. Of several texts with a labelled key, the smallest is fitted on. An empty table gives an
+    empty result.
+    """
     model = fit(docs, labels, key, **options)
     id_ = F.col(f"row.`{key}`")
     return scored(docs.select(f"`{key}`", "text"), model).select(

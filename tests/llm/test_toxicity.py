@@ -106,3 +106,66 @@ def test_odd_rows(spark, biased, odd_documents, no_documents):
     assert toxicity.judge(no_documents, labels).count() == 0
     none = toxicity.judge(odd_documents, labels.limit(0)).collect()
     assert {r.predicted for r in none} == {0} and len({r.score for r in none}) == 1
+
+
+def brute_features(text):
+    """The numbers of all runs of five and six bytes, in plain Python."""
+    folded = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (text or "").lower())
+    data = b" " + folded.encode("utf-8") + b" " * 6
+    found = set()
+    for at in range(len(data) - 5):
+        five = int.from_bytes(data[at : at + 5], "little")
+        for packed in (five, five | data[at + 5] << 40 | 1 << 48):
+            found.add((packed * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - toxicity.HASH_BITS))
+    return found
+
+
+def test_features_and_scores_by_brute_force(documents):
+    draw = random.Random(4)
+    texts = [t for _, t in documents[:25]] + ["", None, "a", "Ärger! Über-all 12", "x" * 300, "same", "same"]
+    found = {i: set() for i in range(len(texts))}
+    for text, feature in zip(*(a.tolist() for a in toxicity.present(texts))):
+        assert feature not in found[text]
+        found[text].add(feature)
+    wanted = [brute_features(t) for t in texts]
+    assert [found[i] for i in range(len(texts))] == wanted
+    features = np.array(sorted(draw.sample(sorted(set().union(*wanted)), 500)))
+    model = toxicity.Model(features, np.array([draw.gauss(0, 1) for _ in features]), -0.3)
+    weight = dict(zip(features.tolist(), model.weights.tolist()))
+    scores = [1 / (1 + np.exp(-(sum(weight.get(f, 0) for f in fs) - 0.3))) for fs in wanted]
+    assert np.allclose(toxicity.score_texts(model, texts), scores, atol=1e-4)
+
+
+def test_the_slope_is_that_of_the_loss_and_the_loss_falls():
+    draw = random.Random(5)
+    labels = [int(draw.random() < 0.2) for _ in range(60)]
+    texts = [sorted(draw.sample(range(12), draw.randrange(6))) for _ in labels]
+    swaps = [[draw.randrange(12), ~draw.randrange(12)] for _ in range(30)]
+    shares = [draw.choice([1.0, 0.5, 0.25]) for _ in swaps]
+    loss = toxicity.Loss(labels, texts, swaps, 12, 3.0, 0.01, shares)
+
+    def plain(value):  # the loss, term by term
+        rarity = (max(1, (60 - sum(labels)) / sum(labels))) ** 0.5
+        weights = [rarity if y else 1.0 for y in labels]
+        logits = [sum(value[i] for i in x) + value[12] for x in texts]
+        fit = sum(w * (np.log1p(np.exp(z)) - y * z) for w, z, y in zip(weights, logits, labels)) / sum(weights)
+        moves = [sum(value[i] if i >= 0 else -value[~i] for i in s) ** 2 for s in swaps]
+        return fit + 3 * sum(w * c for w, c in zip(shares, moves)) / sum(shares) + 0.01 * (value[:12] ** 2).sum()
+
+    value = np.array([draw.gauss(0, 0.5) for _ in range(13)])
+    at, slope = loss(value)
+    assert np.isclose(at, plain(value))
+    for i in range(13):
+        step = np.eye(13)[i] * 1e-5
+        assert np.isclose(slope[i], (plain(value + step) - plain(value - step)) / 2e-5, atol=1e-6)
+    weights, bias = toxicity.optimise(labels, texts, swaps, 12, 3.0, shares, 0.01, steps=2000)
+    _, rest = loss(np.append(weights, bias))
+    assert np.abs(rest).max() < 2e-3
+
+
+def test_every_sentence_with_a_term_is_swapped():
+    text = "Women met. Men met! Some did not. Frauen kamen. Los niños juegan. Les femmes rient."
+    pairs = toxicity.counterfactuals(text)
+    assert len(pairs) == 5 and all(a != b for a, b in pairs)
+    terms = [t for terms in toxicity.IDENTITY_TERMS for t in terms]
+    assert len(terms) == len(set(terms))
