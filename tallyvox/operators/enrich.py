@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from tallyvox import fixed_values as fixed
 from tallyvox.functions.text import clean_text
 from tallyvox.operators.entities import Keywords, with_entities
-from tallyvox.operators.language import LanguageModel, with_language
+from tallyvox.operators.language import LanguageModel, identify, with_language
+from tallyvox.operators.lookup import Dim
 from tallyvox.operators.quality import drop_bots
-from tallyvox.operators.sentiment import SentimentModel, with_sentiment
+from tallyvox.operators.sentiment import SentimentModel, rules_by_join, with_sentiment
+from tallyvox.operators.texts import DIGEST, per_text
 
 
 def enrich(
     posts: DataFrame,
-    language_model: LanguageModel,
+    language_model: LanguageModel | DataFrame,
     load_time: datetime | None,
     sentiment_model: SentimentModel | None = None,
+    lexicon: Dim | None = None,
     countries: Keywords = tuple(fixed.COUNTRY_KEYWORDS),
     leaders: Keywords = tuple(fixed.LEADER_KEYWORDS),
     strict_bots: bool = False,
@@ -29,13 +32,26 @@ def enrich(
 ) -> DataFrame:
     """Works on tables and streams alike: every step is a projection or a filter.
 
+    Models of any size come as tables: `lexicon` (token, valence) beside the rules of the sentiment
+    model, and a profile as `train_profile` gives it for the language. Each different text is
+    then joined with them once; a stream does that batch by batch (`foreachBatch`).
+
     `scorer` replaces the built-in sentiment with any DataFrame -> DataFrame function that sets
     `sentiment_score`, for example one that uses mapInPandas. The load time is a parameter, so a
     repeated run gives the same rows; with None, `last_processed` stays as it is.
     """
     kept = drop_bots(posts, strict_bots)
-    scored = scorer(kept) if scorer else with_sentiment(kept, sentiment_model)
-    tagged = with_entities(with_language(scored, language_model), countries, leaders, multiple)
+    if scorer:
+        scored = scorer(kept)
+    elif lexicon:
+        scored = per_text(kept, lambda texts: rules_by_join(texts, lexicon, DIGEST, sentiment_model))
+    else:
+        scored = with_sentiment(kept, sentiment_model)
+    if isinstance(language_model, LanguageModel):
+        spoken = with_language(scored, language_model)
+    else:
+        spoken = per_text(scored, lambda texts: identify(texts, language_model, key=DIGEST).drop("text"))
+    tagged = with_entities(spoken, countries, leaders, multiple)
     if load_time is None:
         return tagged
     return tagged.withColumn("last_processed", F.lit(load_time).cast("timestamp"))

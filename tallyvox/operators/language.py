@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvox.functions.literals import words
-from tallyvox.functions.text import letter_tokens
+from tallyvox.functions.text import letter_tokens, letter_trigrams
 from tallyvox.operators.lookup import fits_broadcast
 from tallyvox.operators.ranking import top_k_per_group
 from tallyvox.session import fresh_dir
@@ -189,14 +189,17 @@ def detect_by_join(
 def identify(
     posts: DataFrame,
     profile: DataFrame,
-    languages: Sequence[str],
+    languages: Sequence[str] | None = None,
     key: str = "post_id",
     text: str = "text",
     into: str = "message_language",
     grams: Grams = letter_tokens,
 ) -> DataFrame:
     """Add the language with a profile of any size: in the row while the profile has at most
-    `IN_ROW_GRAMS` words, by join and the unique `key` beyond. Both give the same."""
+    `IN_ROW_GRAMS` words, by join and the unique `key` beyond. Both give the same. `languages`
+    are those of the profile, unless given."""
+    if languages is None:  # a row for each language
+        languages = sorted(row.lang for row in profile.select("lang").distinct().collect())
     if profile.select("gram").distinct().count() <= IN_ROW_GRAMS:
         return with_language(posts, LanguageModel.from_profile(profile), text, into, grams)
     found = detect_by_join(posts, profile, languages, key, text, grams)
@@ -204,6 +207,59 @@ def identify(
     return posts.drop(into).join(found, key, "left")
 
 
+# --- rank profiles ---------------------------------------------------------------------------
+
+
+def rank_profile(
+    labelled: DataFrame,
+    languages: Sequence[str],
+    top: int = 1500,
+    text: str = "text",
+    lang: str = "lang",
+    grams: Grams = letter_trigrams,
+) -> DataFrame:
+    """(gram, lang, place): the most frequent letter groups of each language, from place 1; ties by name."""
+    known = labelled.where(F.col(lang).isin(list(languages)))
+    order = [F.col("n").desc(), F.col("gram")]
+    best = top_k_per_group(gram_counts(known, text, lang, grams), ["lang"], order, top)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    return best.select("gram", "lang", place.alias("place"))
+
+
+def detect_by_ranks(
+    posts: DataFrame,
+    profile: DataFrame,
+    languages: Sequence[str],
+    top: int = 300,
+    penalty: int = 1500,
+    key: str = "post_id",
+    text: str = "text",
+    grams: Grams = letter_trigrams,
+) -> DataFrame:
+    """(key, message_language) by the out-of-place measure of Cavnar and Trenkle (1994): the `top`
+    letter groups of a text take places as those of a language do; the distance is the sum of the
+    differences, or `penalty` for a group the language's profile lacks. Ties go to the first
+    name, texts without letters to the default. Keys are unique."""
+    names = sorted(languages)
+    wide = profile.groupBy("gram").agg(
+        *[F.max(F.when(F.col("lang") == name, F.col("place"))).alias(f"p{i}") for i, name in enumerate(names)]
+    )
+    if fits_broadcast(profile):
+        wide = F.broadcast(wide)
+    units = posts.select(key, F.explode_outer(grams(F.col(text))).alias("gram"))
+    counted = units.groupBy(key, "gram").agg(F.count("gram").alias("n"))
+    order = [F.col("n").desc(), F.col("gram")]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    placed = counted.withColumn("place", place).where(F.col("place") <= top)
+    apart = [
+        F.sum(F.when(F.col("gram").isNotNull(), F.coalesce(F.abs(F.col("place") - F.col(f"p{i}")), F.lit(penalty))))
+        for i in range(len(names))
+    ]
+    sums = placed.join(wide, "gram", "left").groupBy(key).agg(*[a.alias(f"d{i}") for i, a in enumerate(apart)])
+    best = F.when(F.col("d0").isNotNull(), _best([-F.col(f"d{i}") for i in range(len(names))], names))
+    return sums.select(key, F.coalesce(best, F.lit(DEFAULT_LANGUAGE)).alias("message_language"))
+
+
 def confusion(predicted: DataFrame, expected: str, found: str = "message_language") -> DataFrame:
     """Counts per pair of expected and found language, with the share within the expected one."""
     pairs = predicted.groupBy(expected, found).agg(F.count(F.lit(1)).alias("n"))

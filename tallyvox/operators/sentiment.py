@@ -60,25 +60,16 @@ def with_sentiment(
 ) -> DataFrame:
     """Add the compound score; texts that are blank, null or without a rated word get 0.0."""
     model = model or SentimentModel()
+    tokens = _tokens(posts, text)
     hits = f"""array_compact(transform(_low, (t, i) ->
         CASE WHEN t IN ({words(model.lexicon)}) THEN i END))"""
-    tokens = (
-        posts.withColumn("_clean", clean_text(F.col(text)))
-        .withColumn("_tok", opinion_tokens(F.col("_clean")))
-        .withColumn("_low", F.transform("_tok", lambda t: F.lower(t)))
-        .withColumn("_hits", F.expr(hits))
-    )
+    tokens = tokens.withColumn("_hits", F.expr(hits))
     any_hit = F.size("_hits") > 0
-    if rules:
-        # Facts about the whole text, found only where there is something to rate.
-        caps = F.expr("size(filter(_tok, t -> upper(t) = t AND lower(t) != t))")
-        tokens = tokens.withColumns(
-            {
-                "_caps": F.when(any_hit, caps),
-                "_pivot": F.when(any_hit, F.array_position("_low", F.lit(model.pivot)) - 1),
-            }
-        ).withColumn("_mixed", F.col("_caps").between(1, F.size("_tok") - 1))
-    one = _ruled(model) if rules else rating("get(_low, i)", model.lexicon)
+    if rules:  # facts about the whole text, found only where there is something to rate
+        tokens = _whole_text(tokens, model, any_hit)
+    rated = rating("get(_low, i)", model.lexicon)
+    push, factor = _ruled(model)
+    one = f"({rated} + sign({rated}) * ({push})) * {factor}" if rules else rated
     total = F.expr(f"aggregate(_hits, 0D, (acc, i) -> acc + {one})")
     summed = tokens.withColumn("_sum", F.when(any_hit, total))
     marked = _with_marks(F.col("_sum"), F.col("_clean")) if rules else F.col("_sum")
@@ -89,10 +80,27 @@ def with_sentiment(
     )
 
 
-def _ruled(model: SentimentModel) -> str:
-    """SQL for the rating of the hit at token `i` after capitals, boosters, negation and the
-    pivot word."""
-    rated = rating("get(_low, i)", model.lexicon)
+def _tokens(posts: DataFrame, text: str) -> DataFrame:
+    return (
+        posts.withColumn("_clean", clean_text(F.col(text)))
+        .withColumn("_tok", opinion_tokens(F.col("_clean")))
+        .withColumn("_low", F.transform("_tok", lambda t: F.lower(t)))
+    )
+
+
+def _whole_text(tokens: DataFrame, model: SentimentModel, wanted: Column | None = None) -> DataFrame:
+    """Whether some tokens, not all, are in capitals, and where the pivot word is."""
+    caps = F.expr("size(filter(_tok, t -> upper(t) = t AND lower(t) != t))")
+    pivot = F.array_position("_low", F.lit(model.pivot)) - 1
+    if wanted is not None:
+        caps, pivot = F.when(wanted, caps), F.when(wanted, pivot)
+    tokens = tokens.withColumns({"_caps": caps, "_pivot": pivot})
+    return tokens.withColumn("_mixed", F.col("_caps").between(1, F.size("_tok") - 1))
+
+
+def _ruled(model: SentimentModel) -> tuple[str, str]:
+    """SQL for what token `i` adds to a rating, in the rating's direction (capitals, boosters), and
+    what it is multiplied by (negation and the pivot word)."""
     pushes = [f"CASE WHEN _mixed AND upper(get(_tok, i)) = get(_tok, i) THEN {fixed.CAPS_BOOST}D ELSE 0D END"]
     negated = []
     for distance, decay in enumerate(fixed.BOOST_DECAY, start=1):
@@ -100,10 +108,10 @@ def _ruled(model: SentimentModel) -> str:
         pushes.append(f"{rating(before, model.boosters)} * {decay}D")
         if model.negators:
             negated.append(f"coalesce({before} IN ({words(model.negators)}), false)")
-    return f"""({rated} + sign({rated}) * ({' + '.join(pushes)}))
-        * CASE WHEN {' OR '.join(negated) or 'false'} THEN {fixed.NEGATION_FACTOR}D ELSE 1D END
+    factor = f"""CASE WHEN {' OR '.join(negated) or 'false'} THEN {fixed.NEGATION_FACTOR}D ELSE 1D END
         * CASE WHEN _pivot < 0 OR i = _pivot THEN 1D
                WHEN i < _pivot THEN {fixed.BEFORE_PIVOT}D ELSE {fixed.AFTER_PIVOT}D END"""
+    return " + ".join(pushes), factor
 
 
 def _with_marks(total: Column, cleaned: Column) -> Column:
@@ -131,3 +139,31 @@ def sentiment_by_join(
         .agg(F.sum("valence").alias("_sum"))
         .select(key, F.coalesce(compound(F.col("_sum")), F.lit(0.0)).alias("sentiment_score"))
     )
+
+
+def rules_by_join(
+    texts: DataFrame, lexicon: Dim, key: str, model: SentimentModel | None = None, text: str = "text"
+) -> DataFrame:
+    """(key, sentiment_score) with all rules, for a lexicon table (token, valence) of any size; keys
+    are unique. The model gives boosters, negators and pivot.
+
+    What stands around a token is settled inside the row, so each token carries only its push and
+    factor to the join with the lexicon. Hits come back in their order, and add up as
+    `with_sentiment` adds them. Unrated tokens, but for the first of a text, leave before the shuffle.
+    """
+    model = model or SentimentModel()
+    unique = lexicon.frame.groupBy("token").agg(F.max("valence").cast("double").alias("_valence"))
+    unique = F.broadcast(unique) if lexicon.is_small() else unique
+    tokens = _whole_text(_tokens(texts.select(key, text), text), model)
+    push, factor = _ruled(model)
+    around = f"transform(_low, (t, i) -> struct(i AS at, t AS token, {push} AS push, {factor} AS factor))"
+    one = tokens.select(key, "_clean", F.explode_outer(F.expr(around)).alias("_t"))
+    marked = F.when(F.coalesce(F.col("_t.at"), F.lit(0)) == 0, F.col("_clean"))  # once for each text
+    one = one.select(key, marked.alias("_clean"), "_t.*")
+    rated = one.join(unique, "token", "left").where("_valence IS NOT NULL OR coalesce(at, 0) = 0")
+    value = F.expr("(_valence + sign(_valence) * push) * factor")
+    hits = F.collect_list(F.when(F.col("_valence").isNotNull(), F.struct("at", value.alias("value"))))
+    summed = rated.groupBy(key).agg(F.sort_array(hits).alias("_hits"), F.max("_clean").alias("_clean"))
+    total = F.aggregate("_hits", F.lit(0.0), lambda acc, hit: acc + hit["value"])
+    total = _with_marks(F.when(F.size("_hits") > 0, total), F.col("_clean"))
+    return summed.select(key, F.coalesce(compound(total), F.lit(0.0)).alias("sentiment_score"))

@@ -61,6 +61,7 @@ TABLE_SCHEMAS = {
     "value double, props string",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "lineitem": "l_orderkey bigint, l_linenumber int",
     "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
 }
 

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvox.operators.language import LanguageModel, text_fold, train_profile
+from tallyvox.operators.lookup import inline_frame
 from tallyvox.operators.sentiment import SentimentModel
 from tallyvox.plans.adapters import table
 from tallyvox.session import discard, fresh_dir
 
 LANGUAGES = ("de", "en", "es", "fr")
 PROFILE_SIZE = 100
+LARGE_PROFILE = 2000  # words of each language
+RANKED_GROUPS, RANKED_IN_TEXT = 1500, 300
 TRAIN_FOLDS = 8  # folds 0-7 of 16 train, the others test
 
 KEYWORDS = [("the", "EN"), ("der", "DE"), ("les", "FR"), ("los", "ES"), ("uk", "GB")]
@@ -90,16 +93,23 @@ def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_profile(train_documents(spark, sf_dir), LANGUAGES, PROFILE_SIZE)
 
 
-_SAVED: dict[tuple[str, str], str] = {}
+def large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratings of the rule model among a word for every line item, which no text holds."""
+    number = F.concat_ws("_", F.lit("item"), "l_orderkey", "l_linenumber")
+    items = table(spark, sf_dir, "lineitem").select(number.alias("token"), F.lit(1.0).alias("valence"))
+    return items.union(inline_frame(spark, list(RULE_MODEL.lexicon.items()), ["token", "valence"]))
 
 
-def saved_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SAVED: dict[tuple, str] = {}
+
+
+def saved_profile(spark: SparkSession, sf_dir: str, size: int = PROFILE_SIZE) -> DataFrame:
     """The profile, trained once for each application and input and read again from then on."""
-    known = (spark.sparkContext.applicationId, sf_dir)
+    known = (spark.sparkContext.applicationId, sf_dir, size)
     if known not in _SAVED:
         path, counts = fresh_dir(spark, "profile"), fresh_dir(spark, "gram-counts")
         documents = train_documents(spark, sf_dir)
-        train_profile(documents, LANGUAGES, PROFILE_SIZE, counts_path=counts).write.parquet(path)
+        train_profile(documents, LANGUAGES, size, counts_path=counts).write.parquet(path)
         discard(spark, counts)
         _SAVED[known] = path
     path = _SAVED[known]

@@ -201,7 +201,8 @@ def _words(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}]+'), lambda w: w <> '')"
 
 
-PROFILE = f"""
+def profile(size: int) -> str:
+    return f"""
 counts AS (SELECT lang, gram, count(*) AS n FROM (
     SELECT lang, unnest({_words('text')}) AS gram FROM documents
     WHERE {fold('text')} < {models.TRAIN_FOLDS} AND lang IN {in_list(models.LANGUAGES)}) w
@@ -209,13 +210,16 @@ counts AS (SELECT lang, gram, count(*) AS n FROM (
 totals AS (SELECT lang, sum(n) AS total, count(*) AS distinct_words FROM counts GROUP BY lang),
 grams AS (SELECT DISTINCT gram FROM (
     SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM counts) r
-  WHERE r <= {models.PROFILE_SIZE}),
+  WHERE r <= {size}),
 profile AS (
   SELECT g.gram, t.lang, CAST(coalesce(c.n, 0) AS BIGINT) AS n,
     CAST(round(ln((coalesce(c.n, 0) + 1) / (t.total + t.distinct_words)) * 1000000) AS BIGINT) AS log_p
   FROM grams g CROSS JOIN totals t LEFT JOIN counts c ON c.gram = g.gram AND c.lang = t.lang)"""
 
 
+PROFILE = profile(models.PROFILE_SIZE)
+
+
 def language(source: str, text: str = "text") -> str:
     """(post_id, message_language); needs PROFILE in scope."""
     return f"""
@@ -235,10 +239,10 @@ class _Default:
     pivot = fixed.PIVOT_WORD
 
 
-def _enriched(posts: str, columns: str, tail: str = "") -> str:
-    return f"""WITH {PROFILE},
+def _enriched(posts: str, columns: str, tail: str = "", size: int = models.PROFILE_SIZE, rules=_Default) -> str:
+    return f"""WITH {profile(size)},
 kept AS (SELECT * FROM {posts} WHERE NOT {BOT}),
-scored AS ({sentiment_rules('kept', _Default)}),
+scored AS ({sentiment_rules('kept', rules)}),
 spoken AS ({language('kept')})
 SELECT {columns} FROM (
   SELECT k.post_id, k.author, s.sentiment_score, l.message_language,
@@ -363,6 +367,9 @@ SELECT event_id, CASE WHEN event_id % 4 = 2 THEN ' ' WHEN event_id % 4 = 3 THEN
 
 ORACLE["enrich_posts"] = _enriched(PD, "*")
 ORACLE["stream_enrich"] = ORACLE["enrich_posts"]
+ORACLE["enrich_large_models"] = _enriched(
+    PD, "post_id, sentiment_score, message_language, country, leader", size=models.LARGE_PROFILE, rules=models.RULE_MODEL
+)
 ORACLE["enrich_defaults"] = _enriched(
     f"""(SELECT * REPLACE ('someone' AS author, CASE CAST(post_id AS BIGINT) % 10 WHEN 0 THEN ''
       WHEN 1 THEN NULL WHEN 2 THEN ' ' || chr(9) || chr(10) || ' ' ELSE text END AS text) FROM {PD}) pd""",
@@ -533,6 +540,24 @@ pairs AS (SELECT expected_language, message_language, count(*) AS n
   FROM test JOIN ({language('test')}) l USING (post_id) GROUP BY 1, 2)
 SELECT *, round(n / sum(n) OVER (PARTITION BY expected_language), 6) AS share FROM pairs"""
 
+_GROUPS = f"""unnest(flatten(list_transform({_words('text')},
+      lambda w: list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3)))))"""
+ORACLE["lang_rank_confusion"] = f"""WITH {_TEST},
+ranked AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS place
+  FROM (SELECT lang, {_GROUPS} AS gram FROM documents
+    WHERE {fold('text')} < {models.TRAIN_FOLDS} AND lang IN {in_list(models.LANGUAGES)}) g GROUP BY lang, gram
+  QUALIFY place <= {models.RANKED_GROUPS}),
+own AS (SELECT post_id, gram, row_number() OVER (PARTITION BY post_id ORDER BY count(*) DESC, gram) AS place
+  FROM (SELECT post_id, {_GROUPS} AS gram FROM test) g GROUP BY post_id, gram
+  QUALIFY place <= {models.RANKED_IN_TEXT}),
+apart AS (SELECT post_id, l.lang, sum(coalesce(abs(o.place - r.place), {models.RANKED_GROUPS})) AS d
+  FROM own o CROSS JOIN (SELECT DISTINCT lang FROM ranked) l
+  LEFT JOIN ranked r ON r.gram = o.gram AND r.lang = l.lang GROUP BY post_id, l.lang),
+pairs AS (SELECT expected_language, coalesce(f.lang, 'en') AS message_language, count(*) AS n
+  FROM test LEFT JOIN (SELECT post_id, arg_min(lang, (d, lang)) AS lang FROM apart GROUP BY post_id) f USING (post_id)
+  GROUP BY ALL)
+SELECT *, round(n / sum(n) OVER (PARTITION BY expected_language), 6) AS share FROM pairs"""
+
 # --- streams whose result depends on arrival -----------------------------------------------
 
 _SLICE = "least(3, CAST(floor((extract(day FROM created_utc) - 1) / 8) AS INTEGER))"

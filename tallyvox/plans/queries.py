@@ -356,6 +356,21 @@ def enrich_posts(spark, sf_dir):
     )
 
 
+@query
+def enrich_large_models(spark, sf_dir):
+    """Models as tables: a lexicon as large as the line items, and 2,000 words of each language."""
+    enriched = enrich(
+        texts(spark, sf_dir),
+        models.saved_profile(spark, sf_dir, models.LARGE_PROFILE),
+        models.LOAD_TIME,
+        sentiment_model=models.RULE_MODEL,
+        lexicon=Dim(models.large_lexicon(spark, sf_dir)),
+        countries=models.KEYWORDS,
+        leaders=models.LEADER_WORDS,
+    )
+    return enriched.select("post_id", "sentiment_score", "message_language", "country", "leader")
+
+
 @query
 def enrich_defaults(spark, sf_dir):
     """Absent, empty and blank texts take the defaults."""
@@ -732,3 +747,15 @@ def lang_confusion(spark, sf_dir):
     return language.confusion(
         found.select("key.expected_language", "message_language"), "expected_language"
     )
+
+
+@query
+def lang_rank_confusion(spark, sf_dir):
+    """The out-of-place measure on documents the rank profiles have not seen."""
+    profile = language.rank_profile(models.train_documents(spark, sf_dir), models.LANGUAGES, models.RANKED_GROUPS)
+    test = _test_documents(spark, sf_dir)
+    found = language.detect_by_ranks(
+        test, profile, models.LANGUAGES, models.RANKED_IN_TEXT, models.RANKED_GROUPS
+    )
+    both = test.select("post_id", "expected_language").join(found, "post_id")
+    return language.confusion(both, "expected_language")

@@ -99,3 +99,49 @@ def test_profile_above_the_map_side_limit(spark):
     for lang in counts:
         grams |= {g for g, _ in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:1100]}
     assert {r.gram for r in profile.collect()} == grams
+
+
+def test_out_of_place_by_brute_force(spark):
+    import re
+    from collections import Counter
+
+    from tallyvox.operators.language import detect_by_ranks, rank_profile
+
+    def groups(text):
+        words = [w for w in re.split(r"[^a-zäöüéñ]+", (text or "").lower()) if w]
+        return Counter(f" {w} "[i : i + 3] for w in words for i in range(len(w)))
+
+    def places(counts, top):
+        order = sorted(counts, key=lambda g: (-counts[g], g))[:top]
+        return {g: i + 1 for i, g in enumerate(order)}
+
+    train = [("en", "the cat and the dog went there"), ("en", "then they thought"), ("de", "der hund und die katze gehen dort"), ("fr", "le chat")]
+    test = [(0, "the other one"), (1, "die anderen und der"), (2, ""), (3, None), (4, "123 !"), (5, "zzz"), (6, "a the der"), (7, "hund cat")]
+    for top, own, penalty in ((1500, 300, 1500), (6, 3, 10)):
+        profile = rank_profile(spark.createDataFrame(train, "lang string, text string"), ["de", "en"], top)
+        learnt = {c: places(sum((groups(t) for k, t in train if k == c), Counter()), top) for c in ("de", "en")}
+        assert {(r.lang, r.gram): r.place for r in profile.collect()} == {(c, g): p for c in learnt for g, p in learnt[c].items()}
+        docs = spark.createDataFrame(test, "post_id int, text string")
+        found = {r.post_id: r.message_language for r in detect_by_ranks(docs, profile, ["en", "de"], own, penalty).collect()}
+        for key, text in test:
+            mine = places(groups(text), own)
+            costs = [(sum(abs(p - learnt[c][g]) if g in learnt[c] else penalty for g, p in mine.items()), c) for c in ("de", "en")]
+            assert found[key] == (min(costs)[1] if mine else "en")
+
+
+def test_enrich_takes_tables_of_any_size(spark, sf_dir, monkeypatch):
+    """Posts that share a key or a text keep their rows; both ways of identifying agree."""
+    from tallyvox.operators import language
+    from tallyvox.operators.enrich import enrich
+    from tallyvox.plans import models
+    from tallyvox.plans.queries import texts
+
+    posts = texts(spark, sf_dir).limit(40).withColumn("author", F.lit("someone"))
+    posts = posts.union(posts.limit(5)).union(posts.limit(3).withColumn("text", F.lit(None).cast("string")))
+    profile = models.saved_profile(spark, sf_dir)
+    by_model = enrich(posts, language.LanguageModel.from_profile(profile), None)
+    monkeypatch.setattr(language, "IN_ROW_GRAMS", 10)
+    by_table = enrich(posts, profile, None)
+    names = ["post_id", "text", "message_language", "sentiment_score"]
+    as_rows = lambda frame: sorted(map(repr, frame.select(*names).collect()))
+    assert as_rows(by_table) == as_rows(by_model) and by_table.count() == 48

@@ -128,3 +128,22 @@ def test_scorer_hook(spark):
 
     found = enrich(posts, LanguageModel((), {}), datetime(2024, 1, 1), scorer=scorer).collect()
     assert [(r.post_id, r.sentiment_score, r.message_language) for r in found] == [("1", 0.4, "en")]
+
+
+def test_rules_by_join_equal_the_row_path(spark, sf_dir):
+    """All documents, odd texts and a lexicon far above what a plan can hold."""
+    from tallyvox.operators import sentiment
+    from tallyvox.plans import models
+    from tallyvox.plans.queries import texts
+
+    odd = ["", None, " \t", "STUPID thing!!!", "nicht best with idiot of scum!", "best best best", "trash", "A trash b", "!!!"]
+    rows = texts(spark, sf_dir).select("post_id", "text").union(
+        spark.createDataFrame([(f"x{i}", t) for i, t in enumerate(odd)], "post_id string, text string")
+    )
+    lexicon = models.large_lexicon(spark, "/root/testdata/sf0.01")
+    assert lexicon.count() > sentiment.MAX_LEXICON
+    want = sentiment.with_sentiment(rows, models.RULE_MODEL).select("post_id", "sentiment_score").collect()
+    for table in (Dim(lexicon), Dim(lexicon, rows=10**9)):  # broadcast or not
+        got = sentiment.rules_by_join(rows, table, "post_id", models.RULE_MODEL).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert sum(s != 0 for _, s in want) > 10
