@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tallyvox import fixed_values as fixed
 from tallyvox.functions.literals import literal
 from tallyvox.functions.text import strip, title_case, word_tokens
-from tallyvox.operators.lookup import Dim
+from tallyvox.operators.lookup import Dim, inline_frame
+from tallyvox.operators.texts import DIGEST, per_text
 
 # Up to this many keywords are compiled as one chain; longer lists are one constant array.
 MAX_CHAIN = 64
@@ -156,43 +157,119 @@ def country_iso(
 
     Order: special cases; exact name or code, ignoring case; the earliest place where the whole
     text stands as words inside a name; for five letters or more, the nearest name within
-    `max_edits`. Ties go to the first alpha-2 code. Meant for rows that are already aggregated by
-    country; the list (default: all of ISO 3166-1) is compiled into the plan.
+    `max_edits`. Ties go to the first alpha-2 code. The list defaults to all of ISO 3166-1.
+
+    All of that is one equi-join of each different text's keys: itself, and what is left of it without
+    up to `max_edits` letters, which two texts within so many edits share. Edits are then counted.
     """
-    rows = iso_countries() if countries is None else tuple(countries)
+    rows = (iso_countries() if countries is None else tuple(countries)) or [("", "", "")]
     query = F.lower(strip(F.col(column)))
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(name.lower()).alias("name"),
-                F.lit(f" {_words(name)} ").alias("words"),
-                F.lit(alpha2.lower()).alias("alpha2"),
-                F.lit(alpha3).alias("alpha3"),
-            )
-            for name, alpha2, alpha3 in sorted(rows, key=lambda c: c[1])
-        ]
+    found: dict[tuple[str, str, str], int] = {}  # text, alpha-2, code: cost
+    for name, alpha2, alpha3 in rows:
+        parts = _words(name).split()
+        inside = [(i, j) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1)]
+        costs = [(" ".join(parts[i:j]), len(" ".join(["", *parts[:i]])) + 1) for i, j in inside]
+        for text, cost in [*costs, *((t.lower(), 0) for t in (name, alpha2, alpha3))]:
+            place = (text, alpha2.lower(), alpha3)
+            found[place] = min(cost, found.get(place, cost))
+    spark = stats.sparkSession
+    whole = inline_frame(spark, [(*k, c) for k, c in found.items()], ["key", "a", "code", "cost"])
+    whole = whole.select("key", "a", "code", "cost", F.lit(None).cast("string").alias("name"))
+    names = inline_frame(spark, sorted({(n.lower(), a.lower(), c) for n, a, c in rows}), ["name", "a", "code"])
+    shortened = names.select(
+        F.explode(_shortened(F.col("name"), max_edits)).alias("key"), "a", "code", F.lit(None).cast("int").alias("cost"), "name"
     )
-
-    def cost(c: Column) -> Column:
-        exact = (query == c["name"]) | (query == c["alpha2"]) | (query == F.lower(c["alpha3"]))
-        inside = F.instr(c["words"], F.concat(F.lit(" "), query, F.lit(" ")))
-        edits = F.when(F.length(query) >= 5, F.levenshtein(query, c["name"], max_edits))
-        return (
-            F.when(exact, F.lit(0)).when(inside > 0, inside).when(edits >= 0, edits + 1000)
-        )
-
-    best = F.array_min(
-        F.filter(
-            F.transform(
-                table,
-                lambda c: F.struct(cost(c).alias("cost"), c["alpha2"].alias("a"), c["alpha3"].alias("code")),
+    asked = stats.select(F.col(column).alias("_asked"), query.alias("_query")).where("_query != ''").distinct()
+    # Whole texts meet whole texts; those of five letters or more, shortened ones meet shortened ones.
+    own = F.array(F.struct(F.lit(True).alias("whole"), F.col("_query").alias("key")))
+    less = F.transform(_shortened(F.col("_query"), max_edits), lambda k: F.struct(F.lit(False).alias("whole"), k.alias("key")))
+    keys = asked.select("_asked", "_query", F.inline(F.when(F.length("_query") >= 5, F.concat(own, less)).otherwise(own)))
+    table = whole.withColumn("whole", F.lit(True)).unionByName(shortened.withColumn("whole", F.lit(False)))
+    edits = F.levenshtein(F.col("_query"), F.col("name"), max_edits)
+    cost = F.coalesce(F.col("cost"), F.when(edits >= 0, edits + 1000))
+    # As many rows as the given list has texts within `max_edits`: a constant of the program.
+    hits = keys.join(F.broadcast(table), ["whole", "key"]).withColumn("cost", cost).where("cost IS NOT NULL")
+    best = hits.groupBy("_asked").agg(F.min(F.struct("cost", "a", "code"))["code"].alias("_code"))
+    # The special cases are a case-sensitive alias list whose default is the lookup.
+    code = _by_alias(F.col(column), special, F.col("_code"))
+    coded = stats.join(best, F.col(column) == F.col("_asked"), "left").withColumn("iso_alpha", code)
+    return coded.drop("_asked", "_code").where(F.col("iso_alpha").isNotNull())
+
+
+def _shortened(text: Column, letters: int) -> Column:
+    """The text and all that is left of it without up to `letters` letters."""
+    found = F.array(text)
+    for _ in range(letters):
+        without = F.transform(
+            found,
+            lambda t: F.transform(
+                F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))),
+                lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))),
             ),
-            lambda s: s["cost"].isNotNull(),
         )
-    )["code"]
-    # The special cases are a case-sensitive alias list whose default is the lookup.
-    code = _by_alias(F.col(column), special, F.when(query != "", best))
-    return stats.withColumn("iso_alpha", code).where(F.col("iso_alpha").isNotNull())
+        found = F.array_distinct(F.concat(found, F.flatten(without)))
+    return found
+
+
+# --- keyword tables of any size --------------------------------------------------------------
+
+GRAM = 4
+SAMPLE_TEXTS = 2_000  # in which grams are counted; has a say in the cost, not in the result
+
+
+def _grams(text: Column) -> Column:
+    """All different runs of GRAM characters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def keyword_hits(
+    texts: DataFrame, keywords: Dim, key: str, multiple: bool = False, text: str = "text"
+) -> DataFrame:
+    """(key, value) as `first_hit`, or `all_hits`, gives it, for a keyword table of any size (columns priority,
+    keyword, value); null without a hit. Keys are unique.
+
+    An inverted index: each keyword is filed under the gram of its own that fewest sampled texts hold.
+    A text looks up its different grams by an equi-join, and the keywords found there are verified in
+    the text. Keywords shorter than a gram, of which there can be few, are looked up as all runs of their length.
+    """
+    table = keywords.frame.select("priority", F.lower("keyword").alias("keyword"), "value")
+    side = F.broadcast if keywords.is_small() else lambda frame: frame
+    lowered = texts.select(key, F.lower(text).alias("_text"))
+    counts = lowered.limit(SAMPLE_TEXTS).select(F.explode(_grams(F.col("_text"))).alias("gram"))
+    counts = counts.groupBy("gram").agg(F.count("*").alias("n"))
+    long = table.where(F.length("keyword") >= GRAM)
+    filed = long.withColumn("gram", F.explode(_grams(F.col("keyword")))).join(counts, "gram", "left")
+    least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram")
+    filed = filed.groupBy("priority", "keyword", "value").agg(least)
+    short = table.where(F.length("keyword") < GRAM).withColumn("gram", F.col("keyword"))
+    index = filed.unionByName(short)
+    sizes = [row.n for row in short.select(F.length("keyword").alias("n")).distinct().collect()]  # 0 to 3
+    runs = [F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes if n]
+    own = F.array_distinct(F.concat(_grams(F.col("_text")), *runs, F.array(F.lit(""))))
+    grams = lowered.select(key, F.explode_outer(own).alias("gram"))
+    entry = F.struct("priority", "keyword", "value")
+    candidates = grams.join(side(index), "gram").groupBy(key).agg(F.array_sort(F.collect_set(entry)).alias("_hits"))
+    checked = lowered.join(candidates, key, "left")
+    hits = F.filter("_hits", lambda k: F.contains(F.col("_text"), k["keyword"]))
+    if multiple:
+        joined = F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda k: k["value"]))), ",")
+        return checked.select(key, F.when(joined != "", joined).alias("value"))
+    return checked.select(key, F.get(hits, F.lit(0))["value"].alias("value"))
+
+
+def with_entities_by_table(
+    posts: DataFrame, countries: Dim, leaders: Dim, multiple: bool = False
+) -> DataFrame:
+    """`with_entities` with keyword tables of any size; each different text is looked up once."""
+
+    def both(texts: DataFrame) -> DataFrame:
+        found = [
+            keyword_hits(texts, dim, DIGEST, multiple).withColumnRenamed("value", name)
+            for dim, name in ((countries, "country"), (leaders, "leader"))
+        ]
+        return found[0].join(found[1], DIGEST)
+
+    return per_text(posts, both)
 
 
 def gazetteer_mentions(posts: DataFrame, gazetteer: Dim, key: str = "post_id") -> DataFrame:

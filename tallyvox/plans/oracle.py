@@ -385,6 +385,9 @@ ORACLE["sample_enriched"] = _enriched(
 
 ORACLE["detect_country"] = f"SELECT post_id, {first_hit('text', models.KEYWORDS)} AS country FROM {PD}"
 ORACLE["detect_leader"] = f"SELECT post_id, {first_hit('text', models.LEADER_WORDS)} AS leader FROM {PD}"
+for _name, _hit in (("detect_long_lists", first_hit), ("detect_long_lists_all", all_hits)):
+    ORACLE[_name] = f"""SELECT post_id, {_hit('text', models.PHRASES)} AS country,
+  {_hit('text', models.LEADER_WORDS)} AS leader FROM {PD}"""
 ORACLE["detect_all_entities"] = f"""SELECT post_id, {all_hits('text', models.KEYWORDS)} AS country,
   {all_hits('text', models.LEADER_WORDS)} AS leader FROM {PD}"""
 

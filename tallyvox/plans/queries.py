@@ -435,6 +435,24 @@ def detect_leader(spark, sf_dir):
     return tagged.select("post_id", "leader")
 
 
+def _by_table(spark, sf_dir, multiple):
+    lists = [Dim(models.long_keywords(spark, sf_dir, rows)) for rows in (models.PHRASES, models.LEADER_WORDS)]
+    tagged = entities.with_entities_by_table(posts_documents(spark, sf_dir), *lists, multiple)
+    return tagged.select("post_id", "country", "leader")
+
+
+@query
+def detect_long_lists(spark, sf_dir):
+    """First hits of keyword tables as long as the line items, by an index of letter groups."""
+    return _by_table(spark, sf_dir, False)
+
+
+@query
+def detect_long_lists_all(spark, sf_dir):
+    """All hits of the same tables."""
+    return _by_table(spark, sf_dir, True)
+
+
 @query
 def detect_all_entities(spark, sf_dir):
     tagged = entities.with_entities(

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from tallyvox import fixed_values as fixed
 from tallyvox.operators import entities
 from tallyvox.operators.lookup import Dim
+from tallyvox.plans.adapters import posts_documents
 from tallyvox.sources.lookups import flatten_gazetteer, read_gazetteer
 
 
@@ -215,3 +216,71 @@ def test_read_gazetteer(spark, tmp_path):
     leaders.write_text(json.dumps([{"name": n, "alternatives": a} for n, a in fixed.LEADER_GAZETTEER]))
     found = {r.alias: r.value for r in read_gazetteer(spark, str(leaders), value="name").collect()}
     assert found["vdl"] == "Ursula von der Leyen" and len(found) == 32
+
+
+def test_keyword_tables_equal_the_list(spark, sf_dir):
+    """20,000 keywords, most cut from the texts, some shorter than a gram; first and all hits."""
+    import random
+
+    draw = random.Random(6)
+    rows = posts_documents(spark, sf_dir).select("post_id", "text").limit(60).collect()
+    texts = [r.text.lower() for r in rows if len(r.text) > 50]
+    keywords = {"uk", "x", "\n", "é", ".", "the"}
+    while len(keywords) < 20_000:
+        text = draw.choice(texts)
+        at, size = draw.randrange(len(text)), draw.randrange(4, 14)
+        keywords.add(text[at : at + size] + draw.choice(["", "", "zq"]))
+    listed = [(k, f"v{draw.randrange(9)}") for k in sorted(keywords, key=lambda _: draw.random())]
+    odd = [(f"o{i}", t) for i, t in enumerate(["", None, "a", "uk", "Duke", "x" * 5000, "THE", "\U0001f600 the \U0001f600"])]
+    posts = spark.createDataFrame([(r.post_id, r.text) for r in rows] + odd, "post_id string, text string")
+    table = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(listed)], "priority int, keyword string, value string")
+    for dim in (Dim(table), Dim(table, 10**9)):
+        for multiple in (False, True):
+            found = entities.keyword_hits(posts, dim, "post_id", multiple).collect()
+            assert len(found) == len(rows) + len(odd)
+            for row in found:
+                text = {r.post_id: r.text for r in rows} | dict(odd)
+                hits = [v for k, v in listed if k in (text[row.post_id] or "").lower()]
+                want = (",".join(sorted(set(hits))) if multiple else hits[0]) if hits else None
+                assert row.value == want, row.post_id
+    plan = entities.keyword_hits(posts, Dim(table, 10**9), "post_id")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_country_iso_by_brute_force(spark):
+    """Names, codes, parts of names and misspelt names against the rules read off one by one."""
+    import random
+
+    rows = [(n, a, c) for n, a, c in entities.iso_countries()]
+    draw = random.Random(3)
+    asked = {"", " ", "Korea", "islands", "AND", "united", "us", "xx", "guinea-bissau", "republic of"}
+    for name, alpha2, alpha3 in draw.sample(rows, 60):
+        at, letter = draw.randrange(len(name)), draw.choice("aeistz ")
+        asked |= {name, alpha2, alpha3.lower(), name[:at] + name[at + 1 :], name[:at] + letter + name[at:]}
+        asked |= {name[:at] + letter + name[at + 1 :], " ".join(name.split()[:2]), name.split()[-1], name[1:-1]}
+
+    def near(a, b):  # one edit at most
+        if abs(len(a) - len(b)) > 1:
+            return None
+        if a == b:
+            return 0
+        i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        return 1 if a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] else None
+
+    def code(text):
+        query = text.strip().lower()
+        costs = []
+        for name, alpha2, alpha3 in rows if query else []:
+            inside = f" {entities._words(name)} ".find(f" {query} ")
+            if query in (name.lower(), alpha2.lower(), alpha3.lower()):
+                costs.append((0, alpha2, alpha3))
+            elif inside >= 0:
+                costs.append((inside + 1, alpha2, alpha3))
+            elif len(query) >= 5 and (edits := near(query, name.lower())) is not None:
+                costs.append((edits + 1000, alpha2, alpha3))
+        return min(costs)[2] if costs else None
+
+    frame = spark.createDataFrame([(n, i) for i, n in enumerate(asked)] * 2, "country string, a int")
+    found = entities.country_iso(frame, special={}).collect()
+    want = {n: code(n) for n in asked}
+    assert sorted((r.country, r.iso_alpha) for r in found) == sorted([(n, c) for n, c in want.items() if c] * 2)
