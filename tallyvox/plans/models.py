@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +81,7 @@ def with_phrases(posts: DataFrame) -> DataFrame:
 
 
 LOAD_TIME = datetime(2024, 2, 1, tzinfo=timezone.utc)
+FIRST_DAY, LAST_DAY = date(2024, 1, 8), date(2024, 1, 17)
 MARK = datetime(2024, 1, 15, 12, tzinfo=timezone.utc)
 
 

@@ -443,6 +443,13 @@ SELECT (SELECT count(*) FROM loaded) AS total_posts,
   (SELECT round(avg(sentiment_score), 6) FROM loaded) AS avg_sentiment,
   (SELECT round(avg(upvotes), 6) FROM loaded) AS avg_upvotes"""
 
+_DAYS = f"(SELECT * FROM loaded WHERE date BETWEEN DATE '{models.FIRST_DAY}' AND DATE '{models.LAST_DAY}')"
+ORACLE["headline_by_days"] = f"""WITH {LOADED}
+SELECT (SELECT count(*) FROM {_DAYS}) AS total_posts,
+  (SELECT count(DISTINCT {country_name('item')}) FROM {_items('country', _DAYS)}) AS countries,
+  (SELECT count(DISTINCT {leader_name('item')}) FROM {_items('leader', _DAYS)}) AS leaders,
+  (SELECT round(avg(sentiment_score), 6) FROM {_DAYS}) AS avg_sentiment,
+  (SELECT round(avg(upvotes), 6) FROM {_DAYS}) AS avg_upvotes"""
 ORACLE["country_stats"] = f"""WITH {COUNTRIES}, {STATS}
 SELECT entity AS country, round(sentiment, 6) AS avg_sentiment, mentions AS post_count,
   round(avg_upvotes, 6) AS avg_upvotes FROM stats"""
@@ -467,6 +474,17 @@ counts AS (SELECT least(29, greatest(0, CAST(floor((sentiment_score + 1) * CAST(
 SELECT CAST(b.bin AS INTEGER) AS bin, round(CAST(-1 AS DOUBLE) + b.bin * (CAST(2 AS DOUBLE) / 30), 6) AS bin_start,
   coalesce(n, 0) AS posts FROM (SELECT unnest(range(30)) AS bin) b LEFT JOIN counts c ON c.bin = b.bin"""
 
+for _name, _value in (("sentiment_bins", "sentiment_score"), ("votes_bins", "upvotes")):
+    ORACLE[_name] = f"""WITH {LOADED},
+x AS (SELECT CAST({_value} AS DOUBLE) AS x FROM loaded WHERE {_value} IS NOT NULL),
+ends AS (SELECT min(x) AS a, max(x) AS b FROM x),
+widths AS (SELECT m * CAST(10 AS DOUBLE) ** e AS w FROM (SELECT unnest([1, 2, 5]) AS m), (SELECT unnest(range(-6, 7)) AS e)),
+width AS (SELECT min(w) AS w FROM widths, ends WHERE floor(round(b / w, 9)) - floor(round(a / w, 9)) < 30),
+counts AS (SELECT floor(round(x / w, 9)) AS bin, count(*) AS n FROM x, width GROUP BY 1),
+bins AS (SELECT unnest(range(CAST(min(bin) AS BIGINT), CAST(max(bin) AS BIGINT) + 1)) AS bin FROM counts)
+SELECT round(b.bin * w, 9) AS bin_start, round((b.bin + 1) * w, 9) AS bin_end, coalesce(n, 0) AS posts
+FROM bins b CROSS JOIN width LEFT JOIN counts c ON c.bin = b.bin"""
+
 ORACLE["activity_heatmap"] = f"""WITH {LOADED}
 SELECT day_of_week, hour_of_day, count(*) AS posts, round(avg(sentiment_score), 6) AS sentiment
 FROM loaded GROUP BY day_of_week, hour_of_day"""
@@ -586,6 +604,14 @@ FROM arrived JOIN marks USING (slice)"""
 ORACLE["stream_upsert"] = MERGED_VIEW
 ORACLE["stream_restart"] = MERGED_VIEW
 ORACLE["stream_resume"] = MERGED_VIEW
+ORACLE["stream_threads"] = f"""
+SELECT c.post_id, c.parent_post_id FROM (SELECT * FROM {PE}) c JOIN (SELECT * FROM {PE}) p ON p.post_id = c.parent_post_id
+WHERE p.parent_post_id IS NULL AND c.created_utc >= p.created_utc AND c.created_utc <= p.created_utc + INTERVAL 1 HOUR"""
+ORACLE["stream_fair"] = f"SELECT post_id, subreddit, true AS within_quota FROM {PE}"
+ORACLE["stream_state_check"] = f"""
+SELECT 'cursor' AS state, count(DISTINCT subreddit) AS in_state, CAST(0 AS BIGINT) AS differing FROM {PE}
+UNION ALL SELECT 'dedupe', count(*), CAST(0 AS BIGINT) FROM (SELECT *, max(created_utc) OVER () AS newest FROM {PE}) z
+WHERE created_utc + INTERVAL 2 HOUR > date_trunc('milliseconds', newest)"""
 ORACLE["stream_moved_days"] = f"""WITH {UPSERT}
 SELECT m.post_id, m.upvotes, CASE WHEN {_NUMBER.replace('post_id', 'm.post_id')} % 3 <> 0 THEN {stamp('p.created_utc')}
   ELSE {stamp('p.created_utc + INTERVAL 1 DAY')} END AS created_utc

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyvox.fixed_values import COUNTRY_GAZETTEER, LEADER_ALIASES, LEADER_GAZETTEER, LEXICON
 from tallyvox.functions import scores, text, times
-from tallyvox.operators import entities, language, merge, quality, ranking, sentiment, threads
+from tallyvox.operators import entities, language, merge, quality, ranking, sentiment, sketches, threads
 from tallyvox.operators.enrich import analysis_struct, enrich
 from tallyvox.operators.lookup import Dim
 from tallyvox.plans import models, reports
@@ -544,6 +544,15 @@ def headline_metrics(spark, sf_dir):
     )
 
 
+@query
+def headline_by_days(spark, sf_dir):
+    """The headline of ten days from the stored sketches of all days."""
+    path = fresh_dir(spark, "sketches")
+    sketches.daily_sketches(loaded(spark, sf_dir)).write.parquet(path)
+    headline = sketches.headline_between(spark.read.parquet(path), models.FIRST_DAY, models.LAST_DAY)
+    return headline.select("total_posts", "countries", "leaders", six("avg_sentiment"), six("avg_upvotes"))
+
+
 @query
 def country_stats(spark, sf_dir):
     return reports.country_stats(loaded(spark, sf_dir)).select(
@@ -596,6 +605,18 @@ def sentiment_histogram(spark, sf_dir):
     return reports.sentiment_histogram(loaded(spark, sf_dir))
 
 
+@query
+def sentiment_bins(spark, sf_dir):
+    """At most 30 bins of a round width."""
+    return reports.auto_histogram(loaded(spark, sf_dir), "sentiment_score")
+
+
+@query
+def votes_bins(spark, sf_dir):
+    """The same for votes, which have another range."""
+    return reports.auto_histogram(loaded(spark, sf_dir), "upvotes")
+
+
 @query
 def activity_heatmap(spark, sf_dir):
     return reports.activity_heatmap(loaded(spark, sf_dir)).select(

@@ -6,6 +6,8 @@ splitting and naming run over distinct lists, not over posts, and only sums are
 
 from __future__ import annotations
 
+from decimal import ROUND_FLOOR, Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,6 +159,46 @@ def sentiment_histogram(loaded: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFr
     )
 
 
+def bin_width(least: float, most: float, bins: int = HISTOGRAM_BINS) -> Decimal:
+    """The smallest width 1, 2 or 5 times a power of ten that covers the range with at most `bins`
+    bins that begin at its multiples; 1 for a single value."""
+    low, high = Decimal(str(least)), Decimal(str(most))
+    if low == high:
+        return Decimal(1)
+    power = Decimal(10) ** (((high - low) / bins).adjusted() - 1)
+    while True:
+        for step in (1, 2, 5):
+            width = power * step
+            if _place(high, width) - _place(low, width) < bins:
+                return width
+        power *= 10
+
+
+def _place(value: Decimal, width: Decimal) -> int:
+    return int((value / width).to_integral_value(ROUND_FLOOR))
+
+
+def auto_histogram(frame: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """Rows per bin of a width that the data's range decides (`bin_width`): bin_start, bin_end and posts;
+    empty bins within the range are listed with 0. Nulls and NaN are left out; without values, no row.
+
+    Two passes: the range, then the counts. Quotients are rounded to nine digits before they are cut, so
+    that 0.3 / 0.1 is 3."""
+    values = frame.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+    found = values.agg(F.min("x").alias("least"), F.max("x").alias("most")).first()
+    if found.least is None:
+        return values.select(F.col("x").alias("bin_start"), F.col("x").alias("bin_end"), F.lit(0).cast("long").alias("posts")).limit(0)
+    width = bin_width(found.least, found.most, bins)
+    place = lambda x: F.floor(F.round(x / float(width), 9)).cast("long")
+    counts = values.groupBy(place(F.col("x")).alias("bin")).agg(F.count("*").alias("n"))
+    ends = [_place(round(Decimal(str(v)) / width, 9), Decimal(1)) for v in (found.least, found.most)]
+    every = frame.sparkSession.range(ends[0], ends[1] + 1, 1, 1).select(F.col("id").alias("bin"))
+    edge = lambda b: F.round(b * F.lit(float(width)), 9)
+    return every.join(F.broadcast(counts), "bin", "left").select(
+        edge(F.col("bin")).alias("bin_start"), edge(F.col("bin") + 1).alias("bin_end"), F.coalesce("n", F.lit(0)).alias("posts")
+    )
+
+
 def activity_heatmap(loaded: DataFrame) -> DataFrame:
     return loaded.groupBy("day_of_week", "hour_of_day").agg(
         F.count(F.lit(1)).alias("posts"), F.avg("sentiment_score").alias("sentiment")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyvox.operators.enrich import enrich
+from tallyvox.operators.threads import comments_only, posts_only
 from tallyvox.plans import models, reports
 from tallyvox.plans.adapters import POSTS_DOCUMENTS, TABLE_SCHEMAS, posts_events, table
 from tallyvox.plans.queries import Query, _merged_view, _upsert_pair, six, stamp
@@ -23,7 +24,7 @@ from tallyvox.session import fresh_dir, pin_utc
 from tallyvox.sources.keyed_table import compact, publish_snapshot, read_current, read_snapshot, write_log_batch
 from tallyvox.sources.landed import cursor_token, read_listings
 from tallyvox.sources.posts import load_posts
-from tallyvox.streaming import feeds, sinks
+from tallyvox.streaming import admission, feeds, recovery, sinks
 from tallyvox.streaming.collector import collect
 
 STREAM_QUERIES: dict[str, Query] = {}
@@ -306,3 +307,62 @@ def stream_clean_source(spark, sf_dir):
     return reports.source_counts(posts, models.MARK).withColumns(
         {"some_archived": F.lit(archived > 0), "none_lost": F.lit(archived + left == events.count())}
     )
+
+
+@stream_query
+def stream_threads(spark, sf_dir):
+    """Comments within an hour of their post; some comments come a slice before it, some a slice after."""
+    landing, out, checkpoint = (fresh_dir(spark, n) for n in ("landing", "out", "checkpoint"))
+    delayed = F.col("upvotes") > 40
+    arrives = F.least(F.lit(3), time_slice() + F.when(delayed, 1).otherwise(0))
+    items = posts_events(spark, sf_dir)
+
+    def start():
+        feed = _posts_feed(spark, landing)
+        found = feeds.comments_feed(posts_only(feed), comments_only(feed), "1 hour", "10 days")
+        return sinks.append_sink(found.select("post_id", "parent_post_id"), out, checkpoint)
+
+    land([items.where(arrives == i) for i in range(4)], landing, start)
+    return spark.read.parquet(out)
+
+
+@stream_query
+def stream_fair(spark, sf_dir):
+    """Sources with a quota, three at a time: at the end all posts are in, each once."""
+    landing, path, checkpoint = (fresh_dir(spark, n) for n in ("landing", "fair", "checkpoint"))
+    posts = posts_events(spark, sf_dir)
+    quota = -(-posts.count() // 20)
+
+    def start():
+        return admission.fair_sink(_posts_feed(spark, landing), path, checkpoint, quota, sources=3)
+
+    land(_in_time_order(posts), landing, start)
+    while not admission.read_backlog(spark, path).isEmpty():  # cycles in which nothing arrives
+        land([posts.limit(0)], landing, start)
+    admitted = admission.read_admitted(spark, path)
+    over = admitted.groupBy("cycle", "subreddit").agg(F.count("*").alias("n")).where(F.col("n") > quota)
+    in_turn = over.join(admitted, ["cycle", "subreddit"], "right")
+    return in_turn.select("post_id", "subreddit", F.col("n").isNull().alias("within_quota"))
+
+
+@stream_query
+def stream_state_check(spark, sf_dir):
+    """The state in the checkpoints of restarted streams against what they have stored."""
+    posts, found = posts_events(spark, sf_dir), []
+    for name in ("cursor", "dedupe"):
+        landing, out, checkpoint = (fresh_dir(spark, n) for n in ("landing", "out", "checkpoint"))
+
+        def start():
+            feed = _posts_feed(spark, landing)
+            if name == "cursor":
+                return sinks.changes_sink(feeds.source_cursor(feed), out, checkpoint)
+            return sinks.append_sink(feeds.on_time(feed).select("post_id", "created_utc"), out, checkpoint)
+
+        land(_in_time_order(posts), landing, start)
+        if name == "cursor":
+            latest = sinks.latest_changes(spark, out, ["subreddit"])
+            rows = recovery.cursor_differences(spark, checkpoint, latest)
+        else:
+            rows = recovery.dedupe_differences(spark, checkpoint, spark.read.parquet(out))
+        found.append(rows.select(F.lit(name).alias("state"), "in_state", "differing"))
+    return found[0].union(found[1])

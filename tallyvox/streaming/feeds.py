@@ -50,3 +50,19 @@ def daily_trend(posts: DataFrame, lateness: str = LATENESS) -> DataFrame:
         )
         .select(F.to_date("_day.start").alias("date"), "sentiment", "posts")
     )
+
+
+def comments_feed(
+    posts: DataFrame, comments: DataFrame, within: str = "7 days", lateness: str = LATENESS
+) -> DataFrame:
+    """Comments whose post is known, each once, as soon as both have arrived, in any order.
+
+    A comment counts from its post's creation until `within` later. That bound and the watermarks
+    (`lateness`: how far arrivals may be out of order) let both sides' state go: of posts that no
+    comment can still meet, and of comments whose post can no longer come.
+    """
+    parents = posts.select(F.col(POST_KEY).alias("_post"), F.col("created_utc").alias("_posted"))
+    parents = parents.withWatermark("_posted", lateness)
+    same = F.col("parent_post_id") == F.col("_post")
+    in_time = F.expr(f"created_utc >= _posted AND created_utc <= _posted + INTERVAL {within}")
+    return comments.withWatermark("created_utc", lateness).join(parents, same & in_time, "left_semi")
