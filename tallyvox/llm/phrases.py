@@ -36,10 +36,11 @@ SCALE = 1_000_000
 KEYS = ["lang", "words", "phrase"]
 OUT = "lang string, words int, phrase string, count long"
 NAMES = [*KEYS, "count"]
-REPORT = "lang string, bucket long, words int, open boolean, found binary"
+REPORT = "lang string, open boolean, bucket long, words int, phrases binary, counts binary"
 REPORT_NAMES = [field.split()[0] for field in REPORT.split(", ")]
 BUCKET_BYTES = 2 << 20  # of a language's texts, for each bucket of its phrases
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+BLANK, NOTHING, LINE_END = (pa.scalar(x, pa.large_binary()) for x in (b" ", b"", b"\n"))
 TO_BREAK = bytes.maketrans(BREAKS.encode() + b"\t", b"." * len(BREAKS) + b" ")
 
 
@@ -83,25 +84,26 @@ def mined(codes: np.ndarray, longest: int, support: int) -> Iterator[tuple[int,
 
 def shard_counts(
     texts: list[str | None], longest: int, support: int, buckets: int
-) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    """(bucket, words, phrases and counts) of the shard's phrases that occur at least `support` times; its
-    number of words goes as a phrase of none. A phrase's words decide its bucket."""
+) -> Iterator[pa.RecordBatch]:
+    """(bucket, words, phrases, counts), a row for each bucket and number of words: the shard's phrases that
+    occur at least `support` times, each with a line end after it, and their counts. The number of all
+    its words goes as an empty phrase of none. A phrase's words decide its bucket."""
     words, codes = words_of(texts)
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
 
-    def placed(codes: np.ndarray, support: int, sign: int) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    def placed(codes: np.ndarray, support: int, sign: int) -> Iterator[pa.RecordBatch]:
         for size, at, counts in mined(codes, longest, support):
             mixed = np.zeros(len(at), np.uint64)
             for i in range(size):
                 mixed = (mixed ^ hashes[codes[at + i]]) * FACTOR
-            bucket = (mixed >> np.uint64(32)).astype(np.int64) % buckets
+            bucket = (mixed >> np.uint64(16)).astype(np.int64) % buckets
             order = np.argsort(bucket)
-            found = _batch(_phrases(words, codes, at[order], size), sign * counts[order])
             starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
-                yield int(bucket[order[start]]), size, found.slice(start, stop - start)
+            parts = [words.take(pa.array(codes[at[order] + i])).cast(pa.large_binary()) for i in range(size)]
+            lines = pc.binary_join_element_wise(pc.binary_join_element_wise(*parts, BLANK), NOTHING, LINE_END)
+            yield _rows(bucket[order[starts]], size, lines, sign * counts[order], starts)
 
-    yield 0, 0, _batch(pa.array([""]), np.array([np.count_nonzero(codes >= 0)]))
+    yield _rows(np.zeros(1, np.int64), 0, pa.array([b"\n"], pa.large_binary()), np.array([np.count_nonzero(codes >= 0)]), np.zeros(1, np.int64))
     for start in range(0, len(codes), SHARD_WORDS):
         # Parts of a long run overlap, and report all they hold; what the next part counts is taken off.
         least = support if len(codes) <= SHARD_WORDS else 1
@@ -109,20 +111,30 @@ def shard_counts(
         yield from placed(codes[start + SHARD_WORDS :][: longest - 1], 1, -1)
 
 
-def _phrases(words: pa.Array, codes: np.ndarray, places: np.ndarray, size: int) -> pa.Array:
-    parts = [words.take(pa.array(codes[places + i])).cast(pa.binary()) for i in range(size)]
-    return (pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0]).cast(pa.string())
+def _rows(bucket: np.ndarray, size: int, lines: pa.Array, counts: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """A row for each start: the lines and counts from there to the next, cut out of their buffers."""
+    cuts = np.append(starts, len(lines))
+    ends = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset :][cuts] if len(lines) else np.zeros(1, np.int64)
 
+    def blobs(offsets: np.ndarray, data) -> pa.Array:
+        offsets = pa.py_buffer(np.ascontiguousarray(offsets, np.int64))
+        return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, data]).cast(pa.binary())
 
-def _batch(phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([phrases, pa.array(counts.astype(np.int64))], names=["phrase", "count"])
+    columns = [pa.array(bucket), pa.array(np.full(len(starts), size, np.int32))]
+    columns += [blobs(ends, lines.buffers()[2] or pa.py_buffer(b"")), blobs(8 * cuts, pa.py_buffer(counts.astype("<i8")))]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "words", "phrases", "counts"])
 
 
-def _written(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def reported(words: list[int], phrases: list[bytes], counts: list[bytes]) -> pa.Table:
+    """(phrase, count, words) of rows that `shard_counts` gives."""
+    parts = [pa.table({"phrase": pa.array([], pa.large_string()), "count": pa.array([], pa.int64()), "words": pa.array([], pa.int32())})]
+    for size in sorted(set(words)):
+        mine = [i for i, w in enumerate(words) if w == size]
+        lines = pa.array([b"".join(phrases[i] for i in mine)], pa.large_binary())
+        found = pc.split_pattern(lines, pattern=b"\n").flatten()[:-1].cast(pa.large_string())
+        numbers = pa.array(np.frombuffer(b"".join(counts[i] for i in mine), "<i8"))
+        parts.append(pa.table({"phrase": found, "count": numbers, "words": pa.repeat(pa.scalar(size, pa.int32()), len(found))}))
+    return pa.concat_tables(parts)
 
 
 def summed(rows: DataFrame, longest: int, support: int) -> DataFrame:
@@ -137,9 +149,9 @@ def summed(rows: DataFrame, longest: int, support: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, (texts, weight, total, open_) in held.items():
                 local = max(1, -(-support * weight // total)) if open_ else 1
-                for bucket, words, found in shard_counts(texts, longest, local, -(-total // BUCKET_BYTES)):
-                    row = [lang], [bucket], pa.array([words], pa.int32()), [open_], [_written(found)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, row)], names=REPORT_NAMES)
+                for rows in shard_counts(texts, longest, local, -(-total // BUCKET_BYTES)):
+                    same = [pa.repeat(pa.scalar(value), len(rows)) for value in (lang, open_)]
+                    yield pa.RecordBatch.from_arrays([*same, *rows.columns], names=REPORT_NAMES)
             held.clear()
 
         for batch in batches:
@@ -155,16 +167,14 @@ def summed(rows: DataFrame, longest: int, support: int) -> DataFrame:
         yield from flush()
 
     def add_up(group: pa.Table) -> pa.Table:
-        parts = []
-        for words, payload in zip(group.column("words").to_pylist(), group.column("found").to_pylist()):
-            part = pa.ipc.open_stream(payload).read_all()
-            parts.append(part.append_column("words", pa.repeat(pa.scalar(words, pa.int32()), len(part))))
-        total = pa.concat_tables(parts).group_by(["words", "phrase"], use_threads=False).aggregate([("count", "sum")])
+        parts = reported(*(group.column(name).to_pylist() for name in ("words", "phrases", "counts")))
+        total = parts.group_by(["words", "phrase"], use_threads=False).aggregate([("count", "sum")])
         if not group.column("open")[0].as_py():
             often = pc.greater_equal(total.column("count_sum"), support)
             total = total.filter(pc.or_(often, pc.equal(total.column("words"), 0)))
         lang = pa.repeat(group.column("lang")[0], len(total))
-        return pa.table([lang, *(total.column(c) for c in ("words", "phrase", "count_sum"))], names=NAMES)
+        phrases = total.column("phrase").cast(pa.string())
+        return pa.table([lang, total.column("words"), phrases, total.column("count_sum")], names=NAMES)
 
     found = rows.select("lang", "total", "open", "text").mapInArrow(report, REPORT)
     return found.groupBy("lang", "bucket").applyInArrow(add_up, OUT)
