@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyvox.llm.common import PART_BYTES, parts, stored
+from tallyvox.llm.common import PART_BYTES, parts, shuffle_partitions, stored
 from tallyvox.session import fresh_dir
 
 PACKAGE_BYTES = 64 << 20
@@ -382,9 +382,11 @@ def read_packages(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
             file.close()
 
     located = manifest.select("uri").repartition("uri").mapInArrow(places, "uri string, at long, length long")
-    # Neighbouring records of a package stay together, whatever the size of a package.
+    # Neighbouring records of a package stay together, whatever the size of a package. A given
+    # number of tasks: by the few bytes of the ranges, all of them would be coalesced into one.
     spread = located.withColumn("block", F.floor(F.col("at") / (4 << 20)))
-    spread = spread.repartition("uri", "block").sortWithinPartitions("uri", "at")
+    tasks = shuffle_partitions(manifest.sparkSession)
+    spread = spread.repartition(tasks, "uri", "block").sortWithinPartitions("uri", "at")
     return spread.select("uri", "at", "length").mapInArrow(fetch, READ_SCHEMA)
 
 
