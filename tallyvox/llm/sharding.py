@@ -44,8 +44,9 @@ def write_shards(
     and shard. Columns of `docs` named shard, bucket or slot are kept as `<name>_in`.
 
     The same input, seed and sizes give the same slots. Null keys and texts are hashed like any
-    value; repeated rows each get a slot, and rows that share a key share a shard but not a
-    bucket. An empty table writes no shard and returns no row.
+    value; repeated rows each get a slot. Rows that share a key share a shard, and spread over its
+    buckets by their texts; rows that share both share a bucket, so the keys are meant to be
+    unique, or nearly so. An empty table writes no shard and returns no row.
     """
     spark = docs.sparkSession
     kept = docs.withColumnsRenamed({n: f"{n}_in" for n in OWN_COLUMNS})

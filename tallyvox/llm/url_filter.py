@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyvox.operators.lookup import inline_frame
+
 BITS_PER_RULE = 16
 BLOCK_BITS = 256
 WORDS = BLOCK_BITS // 64
@@ -20,6 +22,7 @@ LEAST_BLOCKS = 1024  # few rules still spread over many blocks
 BROADCAST_ROWS = 500_000  # of 5 longs: 20 MB; larger filters and lists are joined by shuffle
 
 RULE_SCHEMA = "rule_host string, rule_path string, action string"
+MAX_INLINE = 1000  # rules
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -34,11 +37,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rules_frame(spark: SparkSession, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """`(action, "host/path")` pairs as a rule table."""
+    """`(action, "host/path")` pairs as a rule table: up to MAX_INLINE of them as constants of the plan."""
     rows = []
     for action, rule in rules:
         host, slash, path = rule.partition("/")
         rows.append((host.lower(), slash + path, action))
+    if 0 < len(rows) <= MAX_INLINE:
+        return inline_frame(spark, rows, ["rule_host", "rule_path", "action"])
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
