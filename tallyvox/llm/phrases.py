@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tallyvox.llm.common import stored
 from tallyvox.operators.ranking import top_k_per_group
 
-SHARD_BYTES = 16 << 20  # of texts that a task holds, of all languages
+SHARD_BYTES = 8 << 20  # of texts that a task holds, of all languages
 SHARD_WORDS = 1 << 21  # sorted at once
 MAX_LANGUAGES = 100_000  # with their sizes, broadcast; more are joined by shuffle
 BREAKS = ".,;:!?\n\x0b\x0c\r"  # end a piece
