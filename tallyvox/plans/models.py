@@ -102,11 +102,11 @@ def large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_keywords(spark: SparkSession, sf_dir: str, listed: list[tuple[str, str]]) -> DataFrame:
-    """A keyword for every line item, and the given ones after them in their order."""
-    number = F.concat_ws("_", F.lit("item"), "l_orderkey", "l_linenumber")
-    items = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("priority"), number.alias("keyword"), F.lit("item").alias("value"))
+    """A keyword for every part, and the given ones after them in their order."""
+    number = F.concat_ws("_", F.lit("part"), "p_partkey")
+    parts = table(spark, sf_dir, "part").select(F.lit(0).alias("priority"), number.alias("keyword"), F.lit("part").alias("value"))
     rows = [(i + 1, keyword, value) for i, (keyword, value) in enumerate(listed)]
-    return items.union(inline_frame(spark, rows, ["priority", "keyword", "value"]))
+    return parts.union(inline_frame(spark, rows, ["priority", "keyword", "value"]))
 
 
 _SAVED: dict[tuple, str] = {}

@@ -443,7 +443,7 @@ def _by_table(spark, sf_dir, multiple):
 
 @query
 def detect_long_lists(spark, sf_dir):
-    """First hits of keyword tables as long as the line items, by an index of letter groups."""
+    """First hits of keyword tables as long as the parts, by an index of letter groups."""
     return _by_table(spark, sf_dir, False)
 
 
