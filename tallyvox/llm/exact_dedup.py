@@ -3,7 +3,8 @@
 Sampled splitters range-partition the normalised text, an external sort places equal texts next
 to each other, and a window compares neighbours in full. Texts whose copies exceed a fair share
 of one partition are salted first: each salt is a run of its own, and the few runs of such a text
-are merged afterwards. There are at most `4 x partitions` such texts, since each holds more than
+are merged afterwards. The salt comes from the key and the input partition, so copies that share
+the key, or have none, are split as well, and a repeated task salts its rows as before. There are at most `4 x partitions` such texts, since each holds more than
 1 / (4 x partitions) of all rows.
 """
 
@@ -60,7 +61,7 @@ def group_copies(
     # Splitters are sampled from what sorts first: the head of the text, its digest, the salt. So
     # the sample that the driver sees stays small however long the texts are.
     digest = F.xxhash64("text")
-    salt = F.pmod(F.xxhash64("id"), F.lit(share // 2)) + 1
+    salt = F.pmod(F.xxhash64("id", F.spark_partition_id()), F.lit(share // 2)) + 1
     sorts = {
         "head": F.substring("text", 1, HEAD_CHARS),
         "digest": digest,

@@ -33,6 +33,19 @@ def test_hot_text_is_salted_and_merged(spark, keep):
     assert sorted(r.doc_id for r in kept) == sorted(k for k, _ in wanted.values())
 
 
+@pytest.mark.parametrize("key", ["7", "NULL"])
+def test_hot_rows_repeated_whole(spark, key):
+    """A third of all rows share the text and the key, or have no key: one stays, and all are counted."""
+    docs = spark.range(0, 3000, 1, 6).selectExpr(
+        f"CASE WHEN id % 3 = 0 THEN {key} ELSE id END AS doc_id", "IF(id % 3 = 0, 'hot', 't' || id) AS text"
+    )
+    found = exact_dedup.group_copies(docs, keep="largest")
+    hot = [r for r in found.collect() if r.group_size > 1]
+    assert len(hot) == 1000 and {r.group_size for r in hot} == {1000} and sum(r.kept for r in hot) == 1
+    assert {r.keep_id for r in hot} == {None if key == "NULL" else 7}
+    assert exact_dedup.without_copies(docs, keep="largest").count() == 2001
+
+
 def test_odd_rows(odd_documents):
     found = exact_dedup.group_copies(odd_documents, keep="largest").collect()
     assert len(found) == odd_documents.count()
