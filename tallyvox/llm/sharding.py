@@ -2,12 +2,14 @@
 
 Pass one scatters the rows, by seeded hashes, over buckets that fit in memory. Pass two gives each
 bucket a Fisher-Yates shuffle (Spark's `shuffle` of an array is one) and writes it. A shard is a
-run of buckets. The shard of a row depends on its key and the number of shards alone: the shard
+run of as many buckets as its own bytes ask for, so a shard that one key makes large has more of them. The shard of a row depends on its key and the number of shards alone: the shard
 with the highest seeded hash of the key wins, so one more shard takes rows only into itself.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,22 +54,24 @@ def write_shards(
     kept = docs.withColumnsRenamed({n: f"{n}_in" for n in OWN_COLUMNS})
     key, text = (f"{n}_in" if n in OWN_COLUMNS else n for n in (key, text))
     id_, body = F.col(f"`{key}`"), F.col(f"`{text}`")
-    total = kept.agg(F.sum(row_size(body))).first()[0] or 0
-    each = max(1, -(-total // (bucket_bytes * shards)))  # buckets of a shard
-    partitions = min(shards * each, max(shards, shuffle_partitions(spark)))
+    shard = shard_of(id_, shards, seed)
+    held = dict(kept.groupBy(shard.alias("shard")).agg(F.sum(row_size(body))).collect())  # a row per shard
+    each = [max(1, -(-held.get(i, 0) // bucket_bytes)) for i in range(shards)]
+    first = [0, *accumulate(each)]  # bucket of each shard, then the number of buckets
+    partitions = min(first[-1], max(shards, shuffle_partitions(spark)))
     # The text is hashed too, so that rows of one key still spread over the buckets.
     drawn = F.xxhash64(id_, F.xxhash64(body), F.lit(seed))
-    bucket = shard_of(id_, shards, seed) * each + F.pmod(drawn, F.lit(each)).cast("int")
-    scattered = kept.select(
-        bucket.alias("bucket"), F.struct(F.xxhash64(drawn).alias("draw"), as_row(kept)).alias("entry")
-    ).withColumn("part", F.pmod("bucket", F.lit(partitions)))
-    sizes = scattered.groupBy("bucket").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("shard", _shard(each)).select(
-        "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")
+    bucket = F.get(F.lit(first), "shard") + F.pmod("draw", F.get(F.lit(each), "shard")).cast("int")
+    scattered = (
+        kept.select(shard.alias("shard"), drawn.alias("draw"), as_row(kept))
+        .select("shard", bucket.alias("bucket"), F.struct(F.xxhash64("draw").alias("draw"), "row").alias("entry"))
+        .withColumn("part", F.pmod("bucket", F.lit(partitions)))
     )
+    sizes = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
     # A row per bucket. Beyond the bound the join goes by the bucket like any other.
-    starts = F.broadcast(starts) if shards * each <= BROADCAST_BUCKETS else starts
+    starts = F.broadcast(starts) if first[-1] <= BROADCAST_BUCKETS else starts
     by_draw = lambda a, b: F.when(a.draw < b.draw, -1).when(a.draw > b.draw, 1).otherwise(0)
     shuffled = (
         scattered.repartitionById(partitions, "part")
@@ -77,14 +81,8 @@ def write_shards(
         .sortWithinPartitions("bucket")
         .select("bucket", F.shuffle(F.array_sort("entries", by_draw), seed).alias("entries"))
         .join(starts, "bucket")
-        .select("bucket", "start", F.posexplode("entries").alias("pos", "entry"))
-        .select(
-            "entry.row.*", _shard(each).alias("shard"), "bucket", (F.col("start") + F.col("pos")).alias("slot")
-        )
+        .select("shard", "bucket", "start", F.posexplode("entries").alias("pos", "entry"))
+        .select("entry.row.*", "shard", "bucket", (F.col("start") + F.col("pos")).alias("slot"))
     )
     shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return spark.read.schema(shuffled.schema).parquet(path)
-
-
-def _shard(each: int) -> Column:
-    return F.floor(F.col("bucket") / each).cast("int")

@@ -72,3 +72,15 @@ def test_odd_rows(spark, odd_documents, no_documents):
     spread = write(spark, hot, shards=2, bucket_bytes=2000)
     assert spread.select("shard").distinct().count() == 1 and spread.select("bucket").distinct().count() > 5
     assert write(spark, no_documents, shards=3).count() == 0
+
+
+def test_a_shard_has_the_buckets_its_bytes_ask_for(spark):
+    """One key holds a third of all rows: its shard has more buckets, none of them larger."""
+    docs = spark.range(6000).selectExpr("IF(id % 3 = 0, -1, id) AS doc_id", "'text ' || id || repeat('x', 90) AS text")
+    found = write(spark, docs, shards=6, bucket_bytes=20_000)
+    sizes = found.groupBy("shard", "bucket").agg(F.sum(F.length("text") + 16).alias("bytes")).collect()
+    assert max(r.bytes for r in sizes) < 2 * 20_000 and found.count() == 6000
+    counts = Counter(r.shard for r in sizes)
+    hot = found.where("doc_id = -1").first().shard
+    assert counts[hot] > 2 * max(n for shard, n in counts.items() if shard != hot)
+    assert len({r.bucket for r in sizes}) == len(sizes)
