@@ -33,6 +33,8 @@ SAMPLES = 128
 GROUP_CHARS = 6 << 20
 FEW = 12  # so few walks are quicker one by one
 BANDS, BAND_SAMPLES = 16, 4
+BAND_PLACES = SAMPLES // 4  # of the first samples at a stride
+LINKED = 0.8  # likeness of linked texts
 HEADER = 8  # bytes of the length before the samples
 
 
@@ -156,24 +158,43 @@ def from_hex(text: str) -> bytes:
 # --- near documents --------------------------------------------------------------------------
 
 
-def band_keys(print_: bytes) -> list[int]:
-    """Keys of one fingerprint: bands of samples at its own stride and at the next longer one,
-    so that texts on both sides of a change of stride meet."""
-    n = int.from_bytes(print_[:HEADER], "big")
-    samples, wide, keys = np.frombuffer(print_, np.uint8, offset=HEADER), stride(n), set()
+@cache
+def _places() -> np.ndarray:
+    """The samples of each band."""
+    drawn = _mix(np.arange(BANDS * BAND_SAMPLES, dtype=np.uint64) + np.uint64(1 << 40))
+    return (drawn % np.uint64(BAND_PLACES)).astype(np.int64).reshape(BANDS, BAND_SAMPLES)
+
+
+def _bands(print_: bytes) -> dict[int, np.ndarray]:
+    """The bands of one fingerprint at its own stride and at the next longer one, so that texts on
+    both sides of a change of stride meet."""
+    wide = stride(int.from_bytes(print_[:HEADER], "big"))
+    samples, found = np.frombuffer(print_, np.uint8, offset=HEADER), {}
     for step in (1, 2):
         level = samples[::step]
-        level = level[level > 0]  # the walk has an end, so only its samples count
-        places = _mix(np.arange(BANDS * BAND_SAMPLES, dtype=np.uint64) + np.uint64(1 << 40))
-        places = (places % np.uint64(SAMPLES // 4)).astype(np.int64).reshape(BANDS, BAND_SAMPLES)
-        for band, at in enumerate(places):
-            taken = [int(level[p]) if p < len(level) else 0 for p in at]
-            text = f"{wide * step}:{band}:{taken}".encode()
+        level = level[level > 0][:BAND_PLACES]  # the walk has an end, so only its samples count
+        padded = np.zeros(BAND_PLACES, np.uint8)
+        padded[: len(level)] = level
+        found[wide * step] = padded[_places()]
+    return found
+
+
+def band_keys(print_: bytes) -> list[int]:
+    keys = set()
+    for wide, bands in _bands(print_).items():
+        for band, taken in enumerate(bands.tolist()):
+            text = f"{wide}:{band}:{taken}".encode()
             keys.add(int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True))
     return sorted(keys)
 
 
-def near_links(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+def meet(one: bytes, two: bytes) -> bool:
+    """Whether two fingerprints share a band, and so a key."""
+    a, b = _bands(one), _bands(two)
+    return any((a[wide] == b[wide]).all(axis=1).any() for wide in a.keys() & b.keys())
+
+
+def near_links(prints: DataFrame, threshold: float = LINKED) -> DataFrame:
     """(a, b, likeness) of nodes whose fingerprints share a band and are at least `threshold`
     alike; `prints` has node (long) and print (binary), one row for each distinct print."""
 
@@ -218,18 +239,13 @@ def _compared(keys: list, texts: list[str], following: list[str]) -> list[tuple]
     changed = [edited(t, f) for t, f in zip(texts, following)]
     known = dict.fromkeys([*texts, *following, *changed])
     known = dict(zip(known, fingerprints(list(known))))
-    return [
-        (
-            key,
-            len(t),
-            hashlib.sha256(c.encode("utf-8")).hexdigest(),
-            known[t],
-            known[c],
-            likeness(known[t], known[c]),
-            likeness(known[t], known[f]),
-        )
-        for key, t, f, c in zip(keys, texts, following, changed)
-    ]
+    rows = []
+    for key, t, f, c in zip(keys, texts, following, changed):
+        mine, its, next_ = known[t], known[c], known[f]
+        alike, after = likeness(mine, its), likeness(mine, next_)
+        linked = (alike >= LINKED and meet(mine, its), after >= LINKED and meet(mine, next_))
+        rows.append((key, len(t), hashlib.sha256(c.encode("utf-8")).hexdigest(), mine, its, alike, after, *linked))
+    return rows
 
 
 FIELDS = [
@@ -239,12 +255,15 @@ FIELDS = [
     ("edited_print", "binary", pa.binary()),
     ("near_edited", "double", pa.float64()),
     ("near_next", "double", pa.float64()),
+    ("linked_edited", "boolean", pa.bool_()),
+    ("linked_next", "boolean", pa.bool_()),
 ]
 
 
 def compare_successors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_chars, edited_sha256, fingerprint and edited_fingerprint (hex),
-    near_edited and near_next.
+    near_edited and near_next, linked_edited and linked_next (they share a band, and the check of
+    their likeness gives at least LINKED).
 
     Each text (null: empty) is compared with its edited text and with the next document in order of
     the key (of equal keys, of the text); after the last comes the first. A single document follows
@@ -327,4 +346,6 @@ def compare_successors(docs: DataFrame, key: str = "doc_id", text: str = "text")
         F.lower(F.hex("edited_print")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
+        "linked_edited",
+        "linked_next",
     )

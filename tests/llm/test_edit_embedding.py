@@ -63,7 +63,49 @@ def test_likeness_across_a_change_of_stride():
     for n in sizes:
         a, b = ee.fingerprints([text[:n], text[: n + 1]])
         assert len(a) != len(b) and ee.likeness(a, b) > 0.9
-        assert set(ee.band_keys(a)) & set(ee.band_keys(b))
+        assert set(ee.band_keys(a)) & set(ee.band_keys(b)) and ee.meet(a, b)
+
+
+def slow_edited(text, following):
+    """Code point by code point."""
+    out = list(text)
+    for _ in range(len(text) // 2):
+        out.pop()
+    for place, char in enumerate(following):
+        if place < len(text) // 2:
+            out.append(char)
+    return "".join(out)
+
+
+def slow_likeness(one, two):
+    """Step by step, at the steps both know."""
+    known = []
+    for print_ in (one, two):
+        size = ee.stride(int.from_bytes(print_[:8], "big"))
+        known.append(({i * size: s for i, s in enumerate(print_[8:])}, size))
+    (a, wide), (b, other) = known
+    steps = [s for s in {*a, *b} if s % max(wide, other) == 0]
+    seen = [(a.get(s, 0), b.get(s, 0)) for s in steps]
+    seen = [pair for pair in seen if pair != (0, 0)]
+    return sum(x == y for x, y in seen) / len(seen) if seen else 1.0
+
+
+def test_likeness_and_edits_against_slow_forms(documents):
+    texts = ["", "a", "ab", "é😀x", *[t or "" for _, t in documents[:150]]]
+    prints = dict(zip(texts, ee.fingerprints(texts)))
+    for t, f in zip(texts, [*texts[1:], texts[0]]):
+        assert ee.edited(t, f) == slow_edited(t, f)
+        assert abs(ee.likeness(prints[t], prints[f]) - slow_likeness(prints[t], prints[f])) < 1e-12
+
+
+def test_meeting_is_a_shared_key(documents):
+    draw = random.Random(9)
+    for _, text in documents[:80]:
+        text = text or ""
+        cut = draw.randrange(len(text) + 1)
+        for other in (text[:cut] + "#" + text[cut:], text[: cut // 2 + len(text) // 2], documents[0][1] or ""):
+            a, b = ee.fingerprints([text, other])
+            assert ee.meet(a, b) == bool(set(ee.band_keys(a)) & set(ee.band_keys(b)))
 
 
 def test_near_links(spark):
@@ -85,15 +127,18 @@ def brute(rows):
     rows = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r))
     out = []
     for (key, text), (_, following) in zip(rows, [*rows[1:], *rows[:1]]):
-        changed = ee.edited(text, following)
+        changed = slow_edited(text, following)
         one, two, three = ee.fingerprints([text, changed, following])
         digest = hashlib.sha256(changed.encode()).hexdigest()
-        out.append((key, len(text), digest, ee.likeness(one, two), ee.likeness(one, three), one.hex(), two.hex()))
+        near = (ee.likeness(one, two), ee.likeness(one, three))
+        keys = [set(ee.band_keys(p)) for p in (one, two, three)]
+        linked = (near[0] >= 0.8 and bool(keys[0] & keys[1]), near[1] >= 0.8 and bool(keys[0] & keys[2]))
+        out.append((key, len(text), digest, *near, one.hex(), two.hex(), *linked))
     return sorted(out, key=repr)
 
 
 def rows_of(frame):
-    names = [*NAMES, "fingerprint", "edited_fingerprint"]
+    names = [*NAMES, "fingerprint", "edited_fingerprint", "linked_edited", "linked_next"]
     return sorted((tuple(r) for r in frame.select(*names).collect()), key=repr)
 
 
