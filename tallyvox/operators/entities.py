@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyvox import fixed_values as fixed
-from tallyvox.functions.literals import literal
+from tallyvox.functions.literals import literal, words
 from tallyvox.functions.text import strip, title_case, word_tokens
-from tallyvox.operators.lookup import Dim, inline_frame
-from tallyvox.operators.texts import DIGEST, per_text
+from tallyvox.operators.lookup import Dim, fits_broadcast, inline_frame
+from tallyvox.operators.texts import DIGEST
+from tallyvox.session import fresh_dir
 
 # Up to this many keywords are compiled as one chain; longer lists are one constant array.
 MAX_CHAIN = 64
@@ -214,12 +215,102 @@ def _shortened(text: Column, letters: int) -> Column:
 # --- keyword tables of any size --------------------------------------------------------------
 
 GRAM = 4
+BLOCK = 64  # characters of a text that are looked through together, at least
 SAMPLE_TEXTS = 2_000  # in which grams are counted; has a say in the cost, not in the result
-
-
-def _grams(text: Column) -> Column:
-    """All different runs of GRAM characters."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+# A match for each character: what stands from there on, a gram or, at the end, up to a gram.
+WHOLE_GRAMS, PIECES = f"(?s)(?=(.{{{GRAM}}})).", f"(?s)(?=(.{{1,{GRAM}}}))."
+
+
+def _runs(text: str, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
+def _starts(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(gram, offset, length), different ones: each keyword is filed under the gram of its own that fewest
+    sampled texts hold, the first of them on a tie, and of that only the place and the keyword's length are kept.
+    A gram stands as its hash: what two grams with one hash let through falls out with the whole keyword."""
+    n = texts.count()
+    sample = texts if n <= SAMPLE_TEXTS else texts.sample(SAMPLE_TEXTS / n, seed=0)
+    grams = sample.select(F.explode_outer(F.array_distinct(_runs("_text", WHOLE_GRAMS))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    # Rarer ones count as absent, so the sample's size bounds what is broadcast.
+    common = counts.where(F.col("n") >= max(2, min(n, SAMPLE_TEXTS) // 200))
+    places = keywords.select("keyword").distinct().select(
+        "keyword", F.posexplode_outer(_runs("keyword", WHOLE_GRAMS)).alias("offset", "gram")
+    )
+    cost = F.coalesce("n", F.lit(0)) * (1 << 31) + F.col("offset")
+    best = places.join(F.broadcast(common), "gram", "left").groupBy("keyword").agg(F.min(cost).alias("_cost"))
+    offset = (F.col("_cost") % (1 << 31)).cast("int")
+    filed = best.select(
+        F.xxhash64(F.col("keyword").substr(offset + 1, F.lit(GRAM))).alias("gram"),
+        offset.alias("offset"),
+        F.length("keyword").alias("length"),
+    )
+    path = fresh_dir(texts.sparkSession, "keyword-starts")
+    filed.distinct().write.parquet(path)
+    return texts.sparkSession.read.schema("gram bigint, offset int, length int").parquet(path)
+
+
+def _long_runs(texts: DataFrame, starts: DataFrame, key: str) -> DataFrame:
+    """(key, keyword): the runs of a text that have a keyword's gram in its place and a keyword's length.
+
+    Texts are cut into blocks that reach into the next one as far as a run that begins in them can, so a
+    place carries its block, never the whole text."""
+    most = starts.agg(F.max("length").alias("length"), F.max("offset").alias("offset")).first()
+    if most.length is None:
+        return texts.select(key, F.lit("").alias("keyword")).limit(0)
+    size = max(BLOCK, most.length // 2)
+    # The outer form: for the plain one, the optimizer adds a filter that cuts the text again.
+    cut = _runs("_text", f"(?s)(?=(.{{1,{size + most.length - 1}}})).{{1,{size}}}")
+    blocks = texts.select(key, F.explode_outer(cut).alias("_block")).where(F.length("_block") >= GRAM)
+    last = F.least(F.length("_block") - GRAM, F.lit(size - 1 + most.offset))
+    places = blocks.select(key, "_block", F.explode_outer(F.sequence(F.lit(0), last)).alias("_at"))
+    gram = F.xxhash64(F.col("_block").substr(F.col("_at") + 1, F.lit(GRAM))).alias("gram")
+    side = F.broadcast if fits_broadcast(starts) else lambda frame: frame
+    spots = places.select(key, "_block", "_at", gram).join(side(starts), "gram")
+    begin = F.col("_at") - F.col("offset")
+    inside = (begin >= 0) & (begin < size) & (begin + F.col("length") <= F.length("_block"))
+    return spots.where(inside).select(key, F.col("_block").substr(begin + 1, F.col("length")).alias("keyword")).distinct()
+
+
+def _short_runs(texts: DataFrame, short: DataFrame, key: str) -> DataFrame:
+    """(key, keyword) for keywords shorter than a gram: a few are searched one by one, of more all runs
+    as long as one are looked up."""
+    few = [row.keyword for row in short.select("keyword").distinct().limit(MAX_CHAIN + 1).collect()]
+    if len(few) <= MAX_CHAIN:
+        listed = f"CAST(array({words(sorted(few))}) AS array<string>)"
+        found = F.expr(f"filter({listed}, k -> contains(_text, k))")
+        return texts.select(key, F.explode_outer(found).alias("keyword"))
+    sizes = [row.n for row in short.select(F.length("keyword").alias("n")).distinct().collect()]  # 0 to 3
+    pieces = texts.select(key, _runs("_text", PIECES).alias("_pieces"), F.array(F.lit("")).alias("_empty"))
+    runs = [F.expr(f"transform(_pieces, p -> substring(p, 1, {n}))") for n in sizes if n]
+    own = F.array_distinct(F.concat("_empty", *runs))
+    side = F.broadcast if fits_broadcast(short) else lambda frame: frame
+    every = pieces.where("_pieces IS NOT NULL").select(key, F.explode_outer(own).alias("keyword"))
+    return every.join(side(short.select("keyword").distinct()), "keyword", "left_semi").select(key, "keyword")
+
+
+def _occurring(texts: DataFrame, lists: Mapping[str, Dim], key: str, multiple: bool, text: str = "text") -> DataFrame:
+    """The key of each text with a hit, and a column for each list, as `keyword_hits` gives it."""
+    table = None
+    for name, dim in lists.items():
+        lowered = F.lower("keyword").alias("keyword")
+        rows = dim.frame.select(F.lit(name).alias("_list"), "priority", lowered, "value").where("keyword IS NOT NULL")
+        table = rows if table is None else table.unionByName(rows)
+    texts = texts.select(key, F.lower(text).alias("_text"))
+    long, short = table.where(F.length("keyword") >= GRAM), table.where(F.length("keyword") < GRAM)
+    runs = _long_runs(texts, _starts(texts, long), key).unionByName(_short_runs(texts, short, key))
+    side = F.broadcast if all(dim.is_small() for dim in lists.values()) else lambda frame: frame
+    hits = runs.join(side(table), "keyword")
+    entry, found = F.struct("priority", "keyword", "value"), []
+    for name in lists:
+        listed = F.col("_list") == name
+        if multiple:
+            joined = F.array_join(F.array_sort(F.collect_set(F.when(listed, F.col("value")))), ",")
+            found.append(F.when(joined != "", joined).alias(name))
+        else:
+            found.append(F.min(F.when(listed, entry))["value"].alias(name))
+    return hits.groupBy(key).agg(*found)
 
 
 def keyword_hits(
@@ -228,48 +319,24 @@ def keyword_hits(
     """(key, value) as `first_hit`, or `all_hits`, gives it, for a keyword table of any size (columns priority,
     keyword, value); null without a hit. Keys are unique.
 
-    An inverted index: each keyword is filed under the gram of its own that fewest sampled texts hold.
-    A text looks up its different grams by an equi-join, and the keywords found there are verified in
-    the text. Keywords shorter than a gram, of which there can be few, are looked up as all runs of their length.
+    A text's grams are looked up among the places they have in keywords; what stands there, cut to a
+    keyword's length, meets the table by an equi-join on the whole keyword. So a gram that many keywords
+    share costs a text as many rows as these keywords have lengths and places of it, not one for each keyword.
     """
-    table = keywords.frame.select("priority", F.lower("keyword").alias("keyword"), "value")
-    side = F.broadcast if keywords.is_small() else lambda frame: frame
-    lowered = texts.select(key, F.lower(text).alias("_text"))
-    counts = lowered.limit(SAMPLE_TEXTS).select(F.explode(_grams(F.col("_text"))).alias("gram"))
-    counts = counts.groupBy("gram").agg(F.count("*").alias("n"))
-    long = table.where(F.length("keyword") >= GRAM)
-    filed = long.withColumn("gram", F.explode(_grams(F.col("keyword")))).join(counts, "gram", "left")
-    least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram")
-    filed = filed.groupBy("priority", "keyword", "value").agg(least)
-    short = table.where(F.length("keyword") < GRAM).withColumn("gram", F.col("keyword"))
-    index = filed.unionByName(short)
-    sizes = [row.n for row in short.select(F.length("keyword").alias("n")).distinct().collect()]  # 0 to 3
-    runs = [F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes if n]
-    own = F.array_distinct(F.concat(_grams(F.col("_text")), *runs, F.array(F.lit(""))))
-    grams = lowered.select(key, F.explode_outer(own).alias("gram"))
-    entry = F.struct("priority", "keyword", "value")
-    candidates = grams.join(side(index), "gram").groupBy(key).agg(F.array_sort(F.collect_set(entry)).alias("_hits"))
-    checked = lowered.join(candidates, key, "left")
-    hits = F.filter("_hits", lambda k: F.contains(F.col("_text"), k["keyword"]))
-    if multiple:
-        joined = F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda k: k["value"]))), ",")
-        return checked.select(key, F.when(joined != "", joined).alias("value"))
-    return checked.select(key, F.get(hits, F.lit(0))["value"].alias("value"))
+    return texts.select(key).join(_occurring(texts, {"value": keywords}, key, multiple, text), key, "left")
 
 
 def with_entities_by_table(
     posts: DataFrame, countries: Dim, leaders: Dim, multiple: bool = False
 ) -> DataFrame:
-    """`with_entities` with keyword tables of any size; each different text is looked up once."""
-
-    def both(texts: DataFrame) -> DataFrame:
-        found = [
-            keyword_hits(texts, dim, DIGEST, multiple).withColumnRenamed("value", name)
-            for dim, name in ((countries, "country"), (leaders, "leader"))
-        ]
-        return found[0].join(found[1], DIGEST)
-
-    return per_text(posts, both)
+    """`with_entities` with keyword tables of any size, both looked up in one pass over the texts. Posts
+    that share a text, or a key, keep their rows; a null text counts as empty. The priorities of both
+    tables have one type."""
+    text = F.coalesce("text", F.lit(""))
+    marked = posts.withColumn(DIGEST, F.md5(text.cast("binary")))
+    texts = marked.select(DIGEST, text.alias("text"))
+    found = _occurring(texts, {"country": countries, "leader": leaders}, DIGEST, multiple)
+    return marked.drop("country", "leader").join(found, DIGEST, "left").drop(DIGEST)
 
 
 def gazetteer_mentions(posts: DataFrame, gazetteer: Dim, key: str = "post_id") -> DataFrame:

@@ -247,6 +247,56 @@ def test_keyword_tables_equal_the_list(spark, sf_dir):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def _join_rows(frame):
+    """The most rows that a join of the frame's plan makes, without adaptive planning."""
+
+    def walk(node):
+        rows = node.metrics().get("numOutputRows")
+        mine = rows.get().value() if "Join" in node.nodeName() and rows.isDefined() else 0
+        children = node.children()
+        return max([mine, *(walk(children.apply(i)) for i in range(children.size()))])
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+def test_keywords_of_the_same_grams_do_not_meet_each_text(spark):
+    """Every text holds every gram of 16,384 keywords, but few of the keywords."""
+    import itertools
+    import random
+
+    draw = random.Random(8)
+    keywords = ["".join(k) for k in itertools.product("ab", repeat=14)]
+    texts = {i: "aaaabaabbababbbbaaa" + "".join(draw.choice("ab") for _ in range(41)) for i in range(20)}
+    table = spark.createDataFrame([(i, k, k) for i, k in enumerate(keywords)], "priority int, keyword string, value string")
+    posts = spark.createDataFrame(list(texts.items()), "post_id int, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frame = entities.keyword_hits(posts, Dim(table, 10**9), "post_id", multiple=True)
+        found = {r.post_id: r.value for r in frame.collect()}
+        assert _join_rows(frame) <= len(texts) * 60 * (14 - entities.GRAM + 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert found == {i: ",".join(sorted({t[a : a + 14] for a in range(60 - 13)})) for i, t in texts.items()}
+
+
+def test_many_short_keywords_and_runs_across_blocks(spark):
+    """More short keywords than are searched one by one, the empty one too; long ones at each place of a block."""
+    import string
+
+    text = "".join(f"{i:03d}\U0001f600\n" for i in range(120))
+    cut = [text[a : a + n] for a in range(0, 200, 3) for n in (4, 9, 70)] + [text[-5:], text[-5:] + "x", text]
+    short = [a + b for a in string.ascii_lowercase[:9] for b in string.ascii_lowercase[:9]] + ["99\U0001f600", "00"]
+    texts = {0: text, 1: "", 2: None, 3: "AB", 4: "a", 5: text[1:90], 6: text[:-1], 7: "00"}
+    posts = spark.createDataFrame(list(texts.items()), "post_id int, text string")
+    for listed in (cut + short, short, cut, cut + short + [""]):
+        rows = [(i, k, str(i)) for i, k in enumerate(dict.fromkeys(listed))]
+        table = spark.createDataFrame(rows, "priority int, keyword string, value string")
+        for row in entities.keyword_hits(posts, Dim(table), "post_id", multiple=True).collect():
+            given = texts[row.post_id]
+            hits = [v for _, k, v in rows if given is not None and k in given.lower()]
+            assert row.value == (",".join(sorted(hits)) or None), row.post_id
+
+
 def test_country_iso_by_brute_force(spark):
     """Names, codes, parts of names and misspelt names against the rules read off one by one."""
     import random
