@@ -82,9 +82,6 @@ def letter_tokens(text: Column) -> Column:
 
 
 def letter_trigrams(text: Column) -> Column:
-    """Groups of three letters of each word, the word set between blanks."""
-    padded = F.transform(letter_tokens(text), lambda t: F.concat(F.lit(" "), t, F.lit(" ")))
-    groups = F.transform(
-        padded, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, 3))
-    )
-    return F.flatten(groups)
+    """Groups of three letters of each word, the word set between blanks: one around each letter."""
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
+    return F.regexp_extract_all(spaced, F.lit(r"(?=(.\p{L}.))."), F.lit(1))

@@ -218,12 +218,30 @@ def rank_profile(
     lang: str = "lang",
     grams: Grams = letter_trigrams,
 ) -> DataFrame:
-    """(gram, lang, place): the most frequent letter groups of each language, from place 1; ties by name."""
+    """(gram, lang, place): the most frequent letter groups of each language, from place 1; ties by name.
+    The texts are read once: the profile, of at most `top` rows for each language, is written and read again."""
     known = labelled.where(F.col(lang).isin(list(languages)))
     order = [F.col("n").desc(), F.col("gram")]
     best = top_k_per_group(gram_counts(known, text, lang, grams), ["lang"], order, top)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    return best.select("gram", "lang", place.alias("place"))
+    spark, path = labelled.sparkSession, fresh_dir(labelled.sparkSession, "rank-profile")
+    best.select("gram", "lang", place.alias("place")).write.parquet(path)
+    return spark.read.schema("gram string, lang string, place int").parquet(path)
+
+
+def _ranked_grams(text: Column, frame: DataFrame, grams: Grams, top: int) -> DataFrame:
+    """Add `_ranked`: the `top` most frequent letter groups of the text, ties by name. All in the row: the
+    sorted groups fall into runs, whose lengths are the counts."""
+    firsts = "filter(sequence(0, size(_sorted)), i -> i = size(_sorted) OR i = 0 OR _sorted[i] != _sorted[i - 1])"
+    count = "_firsts[j] - _firsts[j + 1]"  # less than zero, so that the largest comes first
+    runs = f"transform(sequence(0, size(_firsts) - 2), j -> struct({count} AS n, _sorted[_firsts[j]] AS gram))"
+    return (
+        frame.withColumn("_sorted", F.sort_array(grams(text)))
+        .withColumn("_firsts", F.when(F.size("_sorted") > 0, F.expr(firsts)))
+        .withColumn("_runs", F.expr(f"sort_array({runs})"))
+        .withColumn("_ranked", F.transform(F.slice("_runs", 1, top), lambda r: r["gram"]))
+        .drop("_sorted", "_firsts", "_runs")
+    )
 
 
 def detect_by_ranks(
@@ -239,18 +257,17 @@ def detect_by_ranks(
     """(key, message_language) by the out-of-place measure of Cavnar and Trenkle (1994): the `top`
     letter groups of a text take places as those of a language do; the distance is the sum of the
     differences, or `penalty` for a group the language's profile lacks. Ties go to the first
-    name, texts without letters to the default. Keys are unique."""
+    name, texts without letters to the default. Keys are unique. A text's groups are counted in its
+    row; only those that take a place leave it."""
     names = sorted(languages)
     wide = profile.groupBy("gram").agg(
         *[F.max(F.when(F.col("lang") == name, F.col("place"))).alias(f"p{i}") for i, name in enumerate(names)]
     )
     if fits_broadcast(profile):
         wide = F.broadcast(wide)
-    units = posts.select(key, F.explode_outer(grams(F.col(text))).alias("gram"))
-    counted = units.groupBy(key, "gram").agg(F.count("gram").alias("n"))
-    order = [F.col("n").desc(), F.col("gram")]
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    placed = counted.withColumn("place", place).where(F.col("place") <= top)
+    ranked = _ranked_grams(F.col(text), posts.select(key, text), grams, top)
+    placed = ranked.select(key, F.posexplode_outer("_ranked").alias("_at", "gram"))
+    placed = placed.withColumn("place", F.col("_at") + 1)
     apart = [
         F.sum(F.when(F.col("gram").isNotNull(), F.coalesce(F.abs(F.col("place") - F.col(f"p{i}")), F.lit(penalty))))
         for i in range(len(names))

@@ -790,11 +790,11 @@ def lang_confusion(spark, sf_dir):
 
 @query
 def lang_rank_confusion(spark, sf_dir):
-    """The out-of-place measure on documents the rank profiles have not seen."""
+    """The out-of-place measure on documents the rank profiles have not seen; the expected language
+    travels with the key."""
     profile = language.rank_profile(models.train_documents(spark, sf_dir), models.LANGUAGES, models.RANKED_GROUPS)
-    test = _test_documents(spark, sf_dir)
+    test = _test_documents(spark, sf_dir).withColumn("key", F.struct("post_id", "expected_language"))
     found = language.detect_by_ranks(
-        test, profile, models.LANGUAGES, models.RANKED_IN_TEXT, models.RANKED_GROUPS
+        test, profile, models.LANGUAGES, models.RANKED_IN_TEXT, models.RANKED_GROUPS, key="key"
     )
-    both = test.select("post_id", "expected_language").join(found, "post_id")
-    return language.confusion(both, "expected_language")
+    return language.confusion(found.select("key.expected_language", "message_language"), "expected_language")

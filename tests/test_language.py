@@ -129,6 +129,22 @@ def test_out_of_place_by_brute_force(spark):
             assert found[key] == (min(costs)[1] if mine else "en")
 
 
+def test_letter_groups_of_a_text_are_ranked_in_its_row(spark):
+    """No letter group is shuffled or sorted with those of other texts, and the profile is read, not made anew."""
+    from tallyvox.operators.language import detect_by_ranks, rank_profile
+
+    texts = [(0, "en", "b a, a\u00e9a \U00010428x--\n ab ab"), (1, "en", ""), (2, "en", None), (3, "en", "!"), (4, "en", "x")]
+    docs = spark.createDataFrame(texts, "post_id int, lang string, text string")
+    found = {r.post_id: r.g for r in docs.select("post_id", letter_trigrams(F.col("text")).alias("g")).collect()}
+    words = [" b ", " a ", " a\u00e9", "a\u00e9a", "\u00e9a ", " \U00010428x", "\U00010428x ", " ab", "ab ", " ab", "ab "]
+    assert found == {0: words, 1: [], 2: None, 3: [], 4: [" x "]}
+    profile = rank_profile(docs, ["en"])
+    for frame in (profile, detect_by_ranks(docs, profile, ["en"])):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan
+        assert not any("gram" in line and "post_id" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
 def test_enrich_takes_tables_of_any_size(spark, sf_dir, monkeypatch):
     """Posts that share a key or a text keep their rows; both ways of identifying agree."""
     from tallyvox.operators import language
