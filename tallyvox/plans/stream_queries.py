@@ -13,9 +13,9 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tallyvox.operators.enrich import enrich
-from tallyvox.operators.threads import comments_only, posts_only
 from tallyvox.plans import models, reports
 from tallyvox.plans.adapters import POSTS_DOCUMENTS, TABLE_SCHEMAS, posts_events, table
 from tallyvox.plans.queries import Query, _merged_view, _upsert_pair, six, stamp
@@ -24,7 +24,7 @@ from tallyvox.session import fresh_dir, pin_utc
 from tallyvox.sources.keyed_table import compact, publish_snapshot, read_current, read_snapshot, write_log_batch
 from tallyvox.sources.landed import cursor_token, read_listings
 from tallyvox.sources.posts import load_posts
-from tallyvox.streaming import admission, feeds, recovery, sinks
+from tallyvox.streaming import admission, feeds, recovery, sinks, threads
 from tallyvox.streaming.collector import collect
 
 STREAM_QUERIES: dict[str, Query] = {}
@@ -312,18 +312,18 @@ def stream_clean_source(spark, sf_dir):
 @stream_query
 def stream_threads(spark, sf_dir):
     """Comments within an hour of their post; some comments come a slice before it, some a slice after."""
-    landing, out, checkpoint = (fresh_dir(spark, n) for n in ("landing", "out", "checkpoint"))
+    landing, path, checkpoint = (fresh_dir(spark, n) for n in ("landing", "threads", "checkpoint"))
     delayed = F.col("upvotes") > 40
     arrives = F.least(F.lit(3), time_slice() + F.when(delayed, 1).otherwise(0))
     items = posts_events(spark, sf_dir)
 
     def start():
-        feed = _posts_feed(spark, landing)
-        found = feeds.comments_feed(posts_only(feed), comments_only(feed), "1 hour", "10 days")
-        return sinks.append_sink(found.select("post_id", "parent_post_id"), out, checkpoint)
+        feed = _posts_feed(spark, landing).select("post_id", "parent_post_id", "created_utc")
+        return threads.comments_sink(feed, path, checkpoint, "1 hour", "10 days")
 
     land([items.where(arrives == i) for i in range(4)], landing, start)
-    return spark.read.parquet(out)
+    found = StructType([POST_SCHEMA["post_id"], POST_SCHEMA["parent_post_id"]])
+    return threads.read_comments(spark, path, found)
 
 
 @stream_query
