@@ -227,8 +227,7 @@ def _runs(text: str, pattern: str) -> Column:
 
 def _starts(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(gram, offset, length), different ones: each keyword is filed under the gram of its own that fewest
-    sampled texts hold, the first of them on a tie, and of that only the place and the keyword's length are kept.
-    A gram stands as its hash: what two grams with one hash let through falls out with the whole keyword."""
+    sampled texts hold, the first of them on a tie, and of that only the place and the keyword's length are kept."""
     n = texts.count()
     sample = texts if n <= SAMPLE_TEXTS else texts.sample(SAMPLE_TEXTS / n, seed=0)
     grams = sample.select(F.explode_outer(F.array_distinct(_runs("_text", WHOLE_GRAMS))).alias("gram"))
@@ -242,20 +241,22 @@ def _starts(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     best = places.join(F.broadcast(common), "gram", "left").groupBy("keyword").agg(F.min(cost).alias("_cost"))
     offset = (F.col("_cost") % (1 << 31)).cast("int")
     filed = best.select(
-        F.xxhash64(F.col("keyword").substr(offset + 1, F.lit(GRAM))).alias("gram"),
+        F.col("keyword").substr(offset + 1, F.lit(GRAM)).alias("gram"),
         offset.alias("offset"),
         F.length("keyword").alias("length"),
     )
     path = fresh_dir(texts.sparkSession, "keyword-starts")
     filed.distinct().write.parquet(path)
-    return texts.sparkSession.read.schema("gram bigint, offset int, length int").parquet(path)
+    return texts.sparkSession.read.schema("gram string, offset int, length int").parquet(path)
 
 
 def _long_runs(texts: DataFrame, starts: DataFrame, key: str) -> DataFrame:
     """(key, keyword): the runs of a text that have a keyword's gram in its place and a keyword's length.
 
     Texts are cut into blocks that reach into the next one as far as a run that begins in them can, so a
-    place carries its block, never the whole text."""
+    place carries its block, never the whole text. If the keywords have few grams, blocks without one leave
+    before their places are looked at. A gram meets by its hash: what two grams with one hash let through
+    falls out with the whole keyword."""
     most = starts.agg(F.max("length").alias("length"), F.max("offset").alias("offset")).first()
     if most.length is None:
         return texts.select(key, F.lit("").alias("keyword")).limit(0)
@@ -263,6 +264,10 @@ def _long_runs(texts: DataFrame, starts: DataFrame, key: str) -> DataFrame:
     # The outer form: for the plain one, the optimizer adds a filter that cuts the text again.
     cut = _runs("_text", f"(?s)(?=(.{{1,{size + most.length - 1}}})).{{1,{size}}}")
     blocks = texts.select(key, F.explode_outer(cut).alias("_block")).where(F.length("_block") >= GRAM)
+    few = [row.gram for row in starts.select("gram").distinct().limit(MAX_CHAIN + 1).collect()]
+    if len(few) <= MAX_CHAIN:
+        blocks = blocks.where(" OR ".join(f"contains(_block, {literal(gram)})" for gram in sorted(few)))
+    starts = starts.withColumn("gram", F.xxhash64("gram"))
     last = F.least(F.length("_block") - GRAM, F.lit(size - 1 + most.offset))
     places = blocks.select(key, "_block", F.explode_outer(F.sequence(F.lit(0), last)).alias("_at"))
     gram = F.xxhash64(F.col("_block").substr(F.col("_at") + 1, F.lit(GRAM))).alias("gram")

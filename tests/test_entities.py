@@ -297,6 +297,31 @@ def test_many_short_keywords_and_runs_across_blocks(spark):
             assert row.value == (",".join(sorted(hits)) or None), row.post_id
 
 
+def _generated_rows(node):
+    """The most rows that a generator of the plan below makes."""
+    rows = node.metrics().get("numOutputRows")
+    mine = rows.get().value() if node.nodeName() == "Generate" and rows.isDefined() else 0
+    children = node.children()
+    return max([mine, *(_generated_rows(children.apply(i)) for i in range(children.size()))])
+
+
+def test_blocks_without_a_gram_of_few_are_not_looked_through(spark):
+    """Odd characters in the grams, hits at each end of a block; one block in fifty holds a keyword."""
+    odd = ["it's", "a\\nb\\", "x\n\ty", "50%_\"", "\U0001f600\U0001f600ab"]
+    texts = {i: "." * (3150 + i) + (odd + ["its", ""])[i % 7] + "." * 50 for i in range(70)}
+    table = spark.createDataFrame([(i, k, str(i)) for i, k in enumerate(odd)], "priority int, keyword string, value string")
+    posts = spark.createDataFrame(list(texts.items()), "post_id int, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frame = entities.keyword_hits(posts, Dim(table), "post_id")
+        found = {r.post_id: r.value for r in frame.collect()}
+        made = _generated_rows(frame._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert found == {i: str(i % 7) if i % 7 < 5 else None for i in texts}
+    assert made <= sum(map(len, texts.values())) / 10
+
+
 def test_country_iso_by_brute_force(spark):
     """Names, codes, parts of names and misspelt names against the rules read off one by one."""
     import random
